@@ -531,14 +531,24 @@ def grammar(language: str) -> Grammar:
     return _grammars[language]
 
 
+_last: list = ["", None]
+
+
+def python_tree(text: str) -> ast.Module | None:
+    """The syntax tree, or None; the last text's tree is kept for the operator that asks next."""
+    if _last[0] != text or not text:
+        _last[0], _last[1] = text, None
+        try:
+            with warnings.catch_warnings():
+                warnings.simplefilter("ignore")
+                _last[1] = ast.parse(text)
+        except (SyntaxError, ValueError, RecursionError, MemoryError):
+            pass
+    return _last[1]
+
+
 def _python(text: str) -> bool:
-    try:
-        with warnings.catch_warnings():
-            warnings.simplefilter("ignore")
-            ast.parse(text)
-        return True
-    except (SyntaxError, ValueError, RecursionError, MemoryError):
-        return False
+    return python_tree(text) is not None
 
 
 def _no_constant(name: str):
