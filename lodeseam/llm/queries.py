@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,8 +10,12 @@ from pyspark.sql import functions as F
 
 from lodeseam.llm.docpairs import file_pairs
 from lodeseam.llm.files import map_files
+from lodeseam.llm.leaks import find_leaks, remove_leaks
+from lodeseam.llm.neighbours import nearest_vectors, neighbour_pairs
+from lodeseam.llm.packing import pack_documents
 from lodeseam.llm.parsing import failure_rates, file_syntax
 from lodeseam.llm.provenance import file_provenance, provenance
+from lodeseam.llm.reading import reading_levels
 from lodeseam.llm.splitting import split_oversized
 from lodeseam.llm.syntax import language_of, parses
 
@@ -72,7 +77,47 @@ def p4_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documented_functions(_table(spark, sf_dir, "code_chunks"), JAVA_TRAILING_COMMA)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_files, p3_found, p3_rates, p4_found, p4_pairs)}
+#: Dimensions of the models of the embedding cache.
+DIMENSIONS = {"mesh-embed-base": 96, "mesh-embed-large": 128, "mesh-embed-mini": 64}
+
+
+def p5_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest_vectors(_table(spark, sf_dir, "embedding_cache"), DIMENSIONS)
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbour_pairs(p5_neighbours(spark, sf_dir))
+
+
+#: The public tokenizer in whose tokens documents are measured.
+VOCABULARY = os.environ.get("LODESEAM_VOCABULARY", "/opt/tokenizers/byte_bpe_50k.tiktoken")
+
+
+def p6_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(_table(spark, sf_dir, "documents"), VOCABULARY)
+
+
+def p7_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "eval_items"))
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p7_leaks(spark, sf_dir).select("doc_id", "item_id").distinct()
+
+
+def p7_cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "eval_items"))
+
+
+def p8_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reading_levels(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "level_labels"))
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p8_levels(spark, sf_dir).select("doc_id", "reading_level").distinct()
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_files, p3_found, p3_rates, p4_found, p4_pairs, p5_found, p5_neighbours, p6_containers, p7_found, p7_leaks, p7_cleaned, p8_found, p8_levels)}
 
 ORACLES: dict[str, str] = {
     "p1_found": "SELECT chunk_id FROM code_chunks WHERE chunk_id IS NOT NULL GROUP BY chunk_id HAVING length(arg_max(content, indexed_at)) > 2000",
