@@ -53,55 +53,52 @@ def split_text(text: str, start_line: int = 1, limit: int = 2000, overlap: int =
     under the limit, best rank first as long as the piece is at least half full. The next piece repeats the last
     ``overlap`` lines, fewer where the limit leaves no room for a new line, none within a line. A line longer than the
     limit is cut at its last gap between words or behind punctuation, and hard at the limit where there is none.
-    A text within the limit is its own single piece.
+    A text within the limit is its own single piece; blank pieces are left out.
     """
     if limit < 1:
         raise ValueError("limit must be positive")
+    total = len(text)
+    if total <= limit:
+        return [(start_line, start_line + text.count("\n"), text)]
     lines = text.split("\n")
-    if len(text) <= limit:
-        return [(start_line, start_line + len(lines) - 1, text)]
     ends = list(accumulate(len(x) + 1 for x in lines))  # offset behind line k and its line end
-    starts = [0, *ends]
+    starts = [0, *ends[:-1]]
     ranks = boundaries(lines)
     pieces: list[tuple[int, int, str]] = []
-    first = fresh = 0  # first line of the piece; first line that no piece holds yet
-    while fresh < len(lines):
-        # last line that fits: its text ends at ends[k] - 1
-        last = bisect_right(ends, starts[first] + limit + 1) - 1
-        if last < fresh:
-            if first < fresh:
-                first += 1  # less overlap
+
+    def emit(begin: int, end: int, last: int) -> None:
+        part = text[begin:end]
+        if part.strip():  # a blank piece would say nothing
+            pieces.append((start_line + bisect_right(starts, begin) - 1, start_line + last, part))
+
+    begin = fresh = 0  # where the piece starts; the first text that no piece holds yet
+    while fresh < total:
+        if begin + limit >= total:
+            emit(begin, total, len(lines) - 1)
+            break
+        last = bisect_right(ends, begin + limit + 1) - 1
+        line = bisect_right(starts, fresh) - 1
+        if last < line:
+            if begin < fresh:  # less overlap
+                begin = min(fresh, starts[bisect_right(starts, begin)])
                 continue
-            pieces.extend((start_line + fresh, start_line + fresh, part) for part in _split_line(lines[fresh], limit))
-            fresh += 1
-            first = fresh
+            gaps = [m.end() for m in _CUT.finditer(text, fresh, fresh + limit) if m.end() > fresh + limit // 2]
+            cut = gaps[-1] if gaps else fresh + limit
+            emit(begin, cut, line)
+            begin = fresh = cut
             continue
-        if last >= len(lines) - 1:
-            last = len(lines) - 1
-        else:
-            least = max(fresh, bisect_left(ends, starts[first] + limit // 2))
-            for rank in ranks:
-                k = bisect_right(rank, last) - 1
-                if k >= 0 and rank[k] >= least:
-                    last = rank[k]
-                    break
-        pieces.append((start_line + first, start_line + last, text[starts[first] : ends[last] - 1]))
-        fresh = last + 1
-        first = max(fresh - overlap, first + 1) if fresh < len(lines) else fresh
+        least = max(line, bisect_left(ends, begin + limit // 2))
+        for rank in ranks:
+            k = bisect_right(rank, last) - 1
+            if k >= 0 and rank[k] >= least:
+                last = rank[k]
+                break
+        emit(begin, ends[last] - 1, last)
+        fresh = ends[last]
+        begin = max(starts[max(0, last + 1 - overlap)], min(fresh, starts[bisect_right(starts, begin)])) if overlap else fresh
     return pieces
 
 
-def _split_line(line: str, limit: int) -> Iterator[str]:
-    gaps = [m.end() for m in _CUT.finditer(line) if m.end()]
-    pos = 0
-    while len(line) - pos > limit:
-        k = bisect_right(gaps, pos + limit) - 1
-        cut = gaps[k] if k >= 0 and gaps[k] > pos + limit // 2 else pos + limit
-        yield line[pos:cut]
-        pos = cut
-    yield line[pos:]
-
-
 PIECES = "chunk_id string, project string, file_path string, piece int, pieces int, start_line int, end_line int, chunk_type string, language string, content string"
 
 
