@@ -36,6 +36,7 @@ _START = {kind: re.compile(r"^[ \t]*(?:" + rule + ")", re.M) for kind, rule in D
 _NESTED_ONLY = {"method"}
 _INERT = re.compile(r"//[^\n]*|/\*.*?\*/|\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|`(?:[^`\\]|\\.)*`", re.S)
 _CALL = re.compile(r"(?<![\w$])((?:[A-Za-z_$][\w$]*\s*(?:\.|::)\s*)*[A-Za-z_$][\w$]*)\s*\(")
+_DEFINED = re.compile(r"\b(?:def|class|function|func|fn|fun)\b\s*\*?\s*(?:\([^)]*\)\s*)?\w*\s*\(?")
 _NO_CALL = {"if", "for", "while", "switch", "catch", "return", "function", "func", "fn", "fun", "sizeof", "typeof", "super", "match", "and", "or", "not", "in"}
 
 
@@ -73,7 +74,7 @@ def _imports(language: str, text: str) -> list[str]:
 
 def _calls(text: str) -> list[str]:
     """P10: what stands before an opening bracket."""
-    return sorted({re.sub(r"\s", "", c) for c in _CALL.findall(_INERT.sub('""', text)) if c not in _NO_CALL})
+    return sorted({re.sub(r"\s", "", c) for c in _CALL.findall(_DEFINED.sub(" ", _INERT.sub('""', text))) if c not in _NO_CALL})
 
 
 def _comment_above(lines: list[str], start: int) -> str:

@@ -8,6 +8,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 
 
@@ -105,6 +107,7 @@ def vector_search(queries: DataFrame, rows: DataFrame, k: int, query_id: str, ro
     spark = rows.sparkSession
     kinds = dict(queries.dtypes)[query_id], dict(rows.dtypes)[row_id]
     schema = f"query_id {kinds[0]}, row_id {kinds[1]}, cosine double"
+    arrow = to_arrow_schema(StructType.fromDDL(schema))
     source = rows.select(F.col(row_id).alias("row_id"), F.col(vector).alias("vector")).filter("vector is not null")
     blocks: list[DataFrame] = []
     ids: list = []
@@ -115,7 +118,7 @@ def vector_search(queries: DataFrame, rows: DataFrame, k: int, query_id: str, ro
         for size in {len(v) for v in vectors}:
             at = [i for i, v in enumerate(vectors) if len(v) == size]
             by_size[size] = ([ids[i] for i in at], _unit(np.array([vectors[i] for i in at], dtype=np.float64).reshape(len(at), size)))
-        blocks.append(source.mapInArrow(_searcher(spark.sparkContext.broadcast(by_size), k, exclude_self), schema))
+        blocks.append(source.mapInArrow(_searcher(spark.sparkContext.broadcast(by_size), k, exclude_self, arrow), schema))
         ids.clear()
         vectors.clear()
 
@@ -138,7 +141,7 @@ def _unit(m: np.ndarray) -> np.ndarray:
     return m / np.where(norms == 0, 1.0, norms)
 
 
-def _searcher(shared, k: int, exclude_self: bool):
+def _searcher(shared, k: int, exclude_self: bool, schema: pa.Schema):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sizes = np.array([len(v) for v in batch.column(1)])
@@ -157,7 +160,7 @@ def _searcher(shared, k: int, exclude_self: bool):
                 take = min(k, len(at))
                 cut = np.partition(sims, len(at) - take, axis=1)[:, [len(at) - take]]
                 i, j = np.nonzero((sims >= cut) & (sims > -np.inf))
-                yield pa.RecordBatch.from_arrays([pa.array([ids[x] for x in i]), pa.array([own[x] for x in j]), pa.array(sims[i, j])], names=["query_id", "row_id", "cosine"])
+                yield pa.RecordBatch.from_arrays([pa.array([ids[x] for x in i], type=schema[0].type), pa.array([own[x] for x in j], type=schema[1].type), pa.array(sims[i, j])], schema=schema)
 
     return run
 

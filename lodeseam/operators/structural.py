@@ -1,7 +1,7 @@
 """Structural patterns over source code.
 
 A pattern is a piece of code with metavariables: $NAME stands for one token or bracket group (equal names for equal
-code), $_ for any one, $$NAME and $$$NAME for any number.  Texts are compared token by token with brackets as units, so
+code), $_ for any one, $$NAME, $$$NAME and $$$ for any number.  Texts are compared token by token with brackets as units, so
 white space, comments and line ends play no role.  This is weaker than a full grammar: operators are plain tokens.
 """
 
@@ -19,7 +19,7 @@ from pyspark.sql.types import StructType
 
 MATCH_SCORE = 0.9
 _TOKEN = re.compile(
-    r"(?P<skip>\s+|//[^\n]*|/\*.*?\*/)|(?P<meta>\${1,3}[A-Z_][A-Z0-9_]*)|(?P<str>\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|`(?:[^`\\]|\\.)*`)|(?P<word>\w+)|(?P<op>->|=>|::|:=|==|!=|<=|>=|&&|\|\||\+\+|--|.)", re.S
+    r"(?P<skip>\s+|//[^\n]*|/\*.*?\*/)|(?P<meta>\${1,3}[A-Z_][A-Z0-9_]*|\${2,3})|(?P<str>\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|`(?:[^`\\]|\\.)*`)|(?P<word>\w+)|(?P<op>->|=>|::|:=|==|!=|<=|>=|&&|\|\||\+\+|--|.)", re.S
 )
 _HASH_TOKEN = re.compile(_TOKEN.pattern.replace(r"//[^\n]*|/\*.*?\*/", r"#[^\n]*"), re.S)
 _PAIRS = {"(": ")", "[": "]", "{": "}"}
@@ -82,10 +82,10 @@ class Pattern:
             reach = self._nodes(k, tokens, ends, limit)
         for end in reach:
             before = caught.get(name)
-            if name != "_" and before is not None and not self._same(tokens, before, (k, end)):
+            if name not in ("", "_") and before is not None and not self._same(tokens, before, (k, end)):
                 continue
             trial = dict(caught)
-            if name != "_":
+            if name not in ("", "_"):
                 trial[name] = (k, end)
             got = self._match(p + 1, end, tokens, ends, trial, limit)
             if got is not None:
