@@ -8,7 +8,8 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 _WORDS = re.compile(r"[^\W_]+")
 _FORMAT = re.compile("[" + "".join(f"\\U{c:08x}" for c in [*range(0x80, 0x3000), *range(0xFE00, 0x10000), *range(0x11000, 0x1D200), *range(0xE0000, 0xE0080)] if unicodedata.category(chr(c)) == "Cf") + "]")
@@ -173,12 +174,12 @@ def find_leaks(documents: DataFrame, items: DataFrame, least: int = 13) -> DataF
     source = documents.filter("doc_id is not null and text is not null").select("doc_id", "text")
     found = None
     for automaton in _automata(items, least):
-        part = source.mapInArrow(_finder(spark.sparkContext.broadcast(automaton)), schema)
+        part = source.mapInArrow(_finder(spark.sparkContext.broadcast(automaton), to_arrow_schema(StructType.fromDDL(schema))), schema)
         found = part if found is None else found.unionByName(part)
     return found.distinct() if found is not None else spark.createDataFrame([], schema)
 
 
-def _finder(shared):
+def _finder(shared, schema: pa.Schema):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton: SuffixAutomaton = shared.value
         sizes = None
@@ -193,10 +194,7 @@ def _finder(shared):
                 index = {i: k for k, i in enumerate(automaton.ids)}
                 columns = list(zip(*out))
                 columns[4] = tuple(sizes[index[i]] for i in columns[1])
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(columns[0]), pa.array(columns[1]), *(pa.array(c, type=pa.int32()) for c in columns[2:])],
-                    names=["doc_id", "item_id", "leaked_words", "longest", "item_words", "doc_words"],
-                )
+                yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(columns, schema)], schema=schema)
 
     return run
 
@@ -264,7 +262,7 @@ def remove_leaks(documents: DataFrame, items: DataFrame, least: int = 13, max_wo
                             continue
                     kept.append((doc, text))
                 if kept:
-                    yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in kept]), pa.array([k[1] for k in kept], type=pa.string())], names=["doc_id", "text"])
+                    yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in kept], type=batch.column(0).type), pa.array([k[1] for k in kept], type=pa.string())], names=["doc_id", "text"])
 
         result = result.mapInArrow(run, f"doc_id {kind}, text string")
     return result

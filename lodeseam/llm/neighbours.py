@@ -12,6 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -146,8 +147,8 @@ def nearest_vectors(
     index: dict[str, tuple[int, CentroidGraph, np.ndarray]] = {}
     for number, model in enumerate(sorted(counts)):
         d = dimensions[model]
-        rows = [v for m, v in zip(drawn.column(0).to_pylist(), drawn.column(2).to_pylist()) if m == model and v is not None and len(v) == d and None not in v]
-        sample = np.array(rows, dtype=np.float32).reshape(-1, d)
+        own = drawn.filter(pc.and_(pc.equal(drawn.column(0), model), pc.equal(pc.list_value_length(drawn.column(2)), d))).column(2).combine_chunks()
+        sample = own.flatten().fill_null(np.float32("nan")).to_numpy(zero_copy_only=False).astype(np.float32).reshape(-1, d)
         sample = sample[np.isfinite(sample).all(axis=1) & sample.any(axis=1)]
         if not len(sample):
             sample = np.eye(1, d, dtype=np.float32)

@@ -10,6 +10,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 #: Splits text before byte pairs are merged, as the 50k byte-level vocabularies expect it.
 BYTE_LEVEL_PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -208,26 +210,24 @@ def pack_documents(documents: DataFrame, vocabulary: str, capacity: int = 2048,
         .agg(F.max(F.struct("created_at", "tokens", "copies", "source")).alias("row"))
         .select(F.pmod(F.xxhash64("doc_id"), F.lit(groups)).cast("int").alias("task"), "doc_id", "row.tokens", "row.source", "row.copies")
     )
-    kind = dict(documents.dtypes)["doc_id"]
+    schema = f"container bigint, doc_id {dict(documents.dtypes)['doc_id']}, token_start bigint, token_end bigint"
+    arrow = to_arrow_schema(StructType.fromDDL(schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, items = None, []
         for batch in batches:
             for task, *item in zip(*(batch.column(k).to_pylist() for k in range(5))):
                 if task != current and items:
-                    yield _rows(current, pack(items, capacity, slack))
+                    yield _rows(current, pack(items, capacity, slack), arrow)
                     items = []
                 current = task
                 items.append(tuple(item))
         if items:
-            yield _rows(current, pack(items, capacity, slack))
+            yield _rows(current, pack(items, capacity, slack), arrow)
 
-    return rows.repartition("task").sortWithinPartitions("task", "doc_id").mapInArrow(run, f"container bigint, doc_id {kind}, token_start bigint, token_end bigint")
+    return rows.repartition("task").sortWithinPartitions("task", "doc_id").mapInArrow(run, schema)
 
 
-def _rows(task: int, placed: list[tuple]) -> pa.RecordBatch:
-    number, docs, starts, ends = zip(*placed)
-    return pa.RecordBatch.from_arrays(
-        [pa.array([(task << 32) + n for n in number], type=pa.int64()), pa.array(docs), pa.array(starts, type=pa.int64()), pa.array(ends, type=pa.int64())],
-        names=["container", "doc_id", "token_start", "token_end"],
-    )
+def _rows(task: int, placed: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    number, *rest = zip(*placed)
+    return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip([[(task << 32) + n for n in number], *rest], schema)], schema=schema)
