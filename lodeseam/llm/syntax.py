@@ -189,12 +189,12 @@ def _script(ts: bool) -> Grammar:
     )
     words = {
         "V": "let const var", "f": "function", "k": "class", "R": "return", "H": "throw", "I": "if", "Z": "else", "Q": "for", "w": "while", "D": "do", "S": "switch",
-        "C": "case", "d": "default", "b": "break continue debugger", "t": "try", "h": "catch", "y": "finally", "W": "new", "u": "typeof void delete await", "Y": "yield",
+        "C": "case", "d": "default", "b": "break continue debugger", "t": "try", "h": "catch", "y": "finally", "W": "new", "u": "typeof delete await", "Ø": "void", "Y": "yield",
         "j": "in instanceof", "l": "this super null true false", "A": "async", "F": "from", "z": "static", "x": "extends", "m": "import", "e": "export", "B": "enum",
         "X": "with package interface implements private protected public",
     }
     if ts:
-        words |= {"X": "with package", "P": "interface namespace module", "T": "type", "G": "as satisfies", "U": "private protected public readonly abstract declare override", "x": "extends implements"}
+        words |= {"X": "with package", "P": "interface namespace module", "T": "type", "G": "as satisfies", "J": "keyof infer unique asserts", "$": "is", "U": "private protected public readonly abstract declare override", "x": "extends implements"}
     fixed = (
         _word_kinds(words)
         | _BRACKETS
@@ -205,13 +205,13 @@ def _script(ts: bool) -> Grammar:
     )
     P, K, G = _roles("(", "E A F H T"), _roles("[", "L K B T"), _roles("{", "S O D C W M T N")
     opens = "".join((_any("(")[1:-1], _any("[")[1:-1], _any("{")[1:-1]))
-    word_set = "iVfkRHIZQwDSCdbthyWuYjlAFzxmeBXPTGU"
-    word, ident = f"[{word_set}]", "[iAFTGUP]" if ts else "[iAF]"
+    word_set = "iVfkRHIZQwDSCdbthyWuYjlAFzxmeBXPTGUJ$Ø"
+    word, ident = f"[{word_set}]", "[iAFTGUPJ$]" if ts else "[iAF]"
     key = rf"(?:#?{word}|[sn]|{K['K']})"
-    qn = rf"(?:[iATFGUPlu]|m{P['A']})(?:\.{word})*"
-    atom = rf"(?:(?:[iu]+(?=[iPTUuls]))?(?:{qn}|[sng]|\+n)|{G['T']}|{K['T']}|{P['T']})"
-    one = rf"(?:(?:[iUu]+(?=[{opens}]))?(?:W?{P['F']}r)*{atom}(?:{K['T']}|{K['K']})*)"
-    typ = rf"(?>[|&]?(?:{one}(?:[|&x¿%]|i(?=[iPTUuls])|(?![|&])))+)"
+    qn = rf"(?:[iATFGUPJ$luØ]|m{P['A']})(?:\.{word})*"
+    atom = rf"(?:(?:[JuU]+(?=[iPTUulsØ]))?(?:{qn}|[sng]|\+n)|{G['T']}|{K['T']}|{P['T']})"
+    one = rf"(?:(?:[JUu]+(?=[{opens}]))?(?:W?{P['F']}r)*{atom}(?:{K['T']}|{K['K']})*)"
+    typ = rf"(?>[|&]?{one}(?:[|&x¿%$]{one})*)"
     ann = rf"(?:[?!]?:{typ}|\?)?" if ts else ""
     E = "(?>@E@)"
     fbody = rf"{P['F']}{ann}N?{G['S']}"
@@ -220,13 +220,13 @@ def _script(ts: bool) -> Grammar:
     heritage = rf"(?:x{lhs}(?:,{lhs})*)*"
     cls = rf"k{ident}?{heritage}N?{G['C']}"
     arrow = rf"A?(?:{ident}|{P['F']}{ann})r"
-    prefix = rf"(?:[!+pu]|W(?!\.)|Y\*?(?=[^,;N])|{arrow})"
+    prefix = rf"(?:[!+puØ]|W(?!\.)|Y\*?(?=[^,;N])|{arrow})"
     primary = rf"(?:(?<=r){G['S']}|{func}|{cls}|{ident}|[nslgY]|W\.{word}|m(?=\.|{P['A']})|#i|{P['E']}|{K['L']}|{G['O']}|{G['D']})"
     postfix = rf"(?:[.]#?{word}|q(?:#?{word}|{P['A']}|{K['K']})|{P['A']}|{K['K']}|g|p" + ("|!" if ts else "") + ")"
     unary = rf"(?:{prefix}*{primary}{postfix}*" + (rf"(?:G{typ})*" if ts else "") + ")"
-    starts = "iAFfknslgYWm#" + ("TGUP" if ts else "") + opens
-    expr = _chain(unary, r"(?:[oj+*|&=a<¿%]|>>?>?)", starts, "!+pu")
-    exprs = _chain(unary, r"(?:[oj+*|&=a<¿%,]|>>?>?)", starts, "!+pu")
+    starts = "iAFfknslgYWm#" + ("TUPJ$" if ts else "") + opens
+    expr = _chain(unary, r"(?:[oj+*|&=a<¿%]|>>?>?)", starts, "!+puØ")
+    exprs = _chain(unary, r"(?:[oj+*|&=a<¿%,]|>>?>?)", starts, "!+puØ")
 
     def full(p: str) -> str:
         return p.replace("@L@", exprs).replace("@E@", expr)
@@ -235,7 +235,7 @@ def _script(ts: bool) -> Grammar:
     end = r"(?:;|N|\Z)"
     target = rf"(?:{ident}|{K['B']}|{G['D']})"
     binding = rf"{target}{ann}(?:={E})?"
-    decl = rf"V(?:{binding}(?:,(?=[iAFTGUP{opens}])|(?!,)))+"
+    decl = rf"V(?:{binding}(?:,(?=[iAFTGUPJ${opens}])|(?=[;N]|\Z)))+"
     body = rf"N?{G['S']}"
     or_end = rf"|{end}" if ts else ""
     block_fn = rf"A?f\*?{ident}{P['F']}{ann}(?:{body}{or_end})"
@@ -249,12 +249,13 @@ def _script(ts: bool) -> Grammar:
     names = rf"(?:T?{ident}(?:,(?:\*[iG]{ident}|{G['M']}))?|T?\*[iG]{ident}|T?{G['M']})"
     imports = rf"m{names}Fs{end}|ms{end}"
     exports = rf"e(?:{decl}{end}|{block_fn}|{klass}|d(?:A?f\*?{ident}?{P['F']}{ann}{body}|{deco}U*k{ident}?{heritage}N?{G['C']}|{E}{end})|T?{G['M']}(?:Fs)?{end}|\*(?:[iG]{word})?Fs{end}{ts_decl})"
-    pre = rf"(?:I{P['E']}N?|w{P['E']}N?|Qu?{P['H']}N?|Z|D|{ident}:N?)"
+    after = rf"(?<=[;N{_any('{')[1:-1]}])"
+    pre = rf"(?:I{P['E']}N?|w{P['E']}N?|Qu?{P['H']}N?|{after}Z|D|{ident}:N?)"
     simple = (
         rf"(?:{decl}{end}|{block_fn}|{klass}|t{G['S']}(?:N?h{P['F']}?N?{G['S']}(?:N?y{G['S']})?|N?y{G['S']})|S{P['E']}N?{G['W']}|R(?:{el})?{end}|H{el}{end}|b{ident}?{end}|{G['S']}(?![.=q])|;"
         rf"{ts_decl}|{imports}|{exports}|{el}{end})"
     )
-    stmts = rf"(?>(?:[N;]|(?:{pre})*{simple}))*"
+    stmts = rf"(?![^I]*Z)(?>(?:[N;]|(?:{pre})*{simple}))*"
     cases = rf"N*(?>(?:C{el}|d):{stmts})*"
     field_type = rf"|\?{P['F']}{ann}{end}|{K['T']}:{typ}{end}" if ts else ""
     member = rf"(?:[N;]|zN?{G['S']}|{deco}(?:{word}(?=[{word_set}#sn*]|{K['K']}))*\*?{key}(?:{P['F']}{ann}(?:N?{G['S']}{or_end})|{ann}(?:={E})?{end}{field_type}))"
@@ -278,7 +279,7 @@ def _script(ts: bool) -> Grammar:
     )
     generics = None
     if ts:
-        inner = r"[iATFGUPlsnux.,&|?=\[\](){}:;rW+jkN]"
+        inner = r"[iATFGUPJ$lsnuØx.,&|?=\[\](){}:;rW+jkN]"
         generics = re.compile(rf"(?<=[{word_set}])<(?!=)(?:{inner}*?(?<!=))>(?=[(){{}}\[\],;:=.&|>?iNsgrxZq!l]|\Z)|(?<=[=(,:?])<[iA,xTU=]+>(?=\()")
     return Grammar(
         lexer, fixed, _classifier(), rewrite, {b: [full(p) for p in ps] for b, ps in roles.items()}, full(stmts), generics, [("{", 0), ("{", 3), ("{", 4), ("{", 6)]
@@ -293,7 +294,7 @@ def _java(trailing_comma: bool) -> Grammar:
     words = {
         "m": "public private protected static final abstract native transient volatile strictfp sealed", "T": "int long short byte char boolean float double void", "k": "class interface enum",
         "x": "extends implements throws permits", "M": "package import", "W": "new", "j": "instanceof", "R": "return", "H": "throw", "I": "if", "Z": "else", "Q": "for", "w": "while", "D": "do",
-        "S": "switch", "C": "case", "d": "default", "b": "break continue", "t": "try", "h": "catch", "y": "finally", "v": "assert", "Y": "synchronized", "l": "this super null true false", "X": "goto const _",
+        "S": "switch", "C": "case", "d": "default", "b": "break continue", "t": "try", "h": "catch", "y": "finally", "v": "assert", "Y": "synchronized", "l": "this super null true false", "X": "goto const _", "J": "yield",
     }
     fixed = (
         _word_kinds(words)
@@ -327,12 +328,12 @@ def _java(trailing_comma: bool) -> Grammar:
 
     el = "(?>@L@)"
     var = rf"i{brk}(?:=(?:{E}|{G['A']}))?"
-    decl = rf"{typ}(?:{var}(?:,(?=i)|(?!,)))+"
-    pre = rf"(?:I{P['E']}|w{P['E']}|Q{P['H']}|Z|D|i:)"
+    decl = rf"{typ}(?:{var}(?:,(?=i)|(?=;)))+"
+    pre = rf"(?:I{P['E']}|w{P['E']}|Q{P['H']}|(?<=[;{_any('{')[1:-1]}])Z|D|i:)"
     stmt = (
-        rf"(?:;|{G['S']}|(?:m|{ann})*{decl};|(?=[^;]*?(?:[=apWc]|{_any('(')})){E};|R(?:{E})?;|H{E};|bi?;|v{E}(?::{E})?;|t{P['R']}?{G['S']}(?:h{P['C']}{G['S']})*(?:y{G['S']})?|S{P['E']}{G['W']}|Y{P['E']}{G['S']}|{kls})"
+        rf"(?:;|{G['S']}|(?:m|{ann})*{decl};|(?=[^;]*?(?:[=apWc]|{_any('(')})){E};|R(?:{E})?;|[HJ]{E};|bi?;|v{E}(?::{E})?;|t{P['R']}?{G['S']}(?:h{P['C']}{G['S']})*(?:y{G['S']})?|S{P['E']}{G['W']}|Y{P['E']}{G['S']}|{kls})"
     )
-    stmts = rf"(?>{pre}*{stmt})*"
+    stmts = rf"(?![^I]*Z)(?>{pre}*{stmt})*"
     label = rf"(?:C(?:{E}|{typ}i|d)(?:,(?:{E}|d))*(?:i{E})?|d)"
     cases = rf"(?>{label}(?::{stmts}|g(?:{G['S']}|H{E};|{E};)))*"
     member = (
@@ -461,7 +462,7 @@ def _rust() -> Grammar:
     where = rf"(?:h(?:(?:{typ}|L):{bound}(?:\+{bound})*,?)*)?"
     lit = r"(?:-?n|s|l)"
     # patterns
-    patom = rf"(?:(?:&m?)*(?:{lit}(?:e{lit}?)?|e{lit}?|m*i(?:@{lit}(?:e{lit})?|@i)?|{path}(?:{P['P']}|{G['P']})?(?:e{lit})?|{P['P']}|{K['P']}|{macro}))"
+    patom = rf"(?:(?:&m?)*(?:{lit}(?:e{lit}?)?|e{lit}?|m*i(?:@{lit}(?:e{lit}?)?|@i)?|{path}(?:{P['P']}|{G['P']})?(?:e{lit})?|{P['P']}|{K['P']}|{macro}))"
     pat = rf"\|?{patom}(?:\|{patom})*"
     # expressions
     blockish = rf"(?:(?:L:)?(?:a*{G['S']}|(?:I@C@{G['S']}Z(?=I))*I@C@{G['S']}(?:Z{G['S']})?|M{N}{G['M']}|w@C@{G['S']}|D{G['S']}|Q{pat}j{N}{G['S']}))"
