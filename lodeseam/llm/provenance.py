@@ -51,9 +51,9 @@ _RUNS = re.compile(rb"a+")
 _HASH_COMMENT, _SLASH_COMMENT = re.compile(rb"^[ \t]*#[^\n]*$", re.M), re.compile(rb"/\*.*?\*/|^[ \t]*//[^\n]*$", re.M | re.S)
 
 #: Share of a file's code that literals make up from which it is data, and the literals it then has at least.
-DATA_SHARE, DATA_LITERALS = 0.45, 16
+DATA_SHARE, DATA_LITERALS = 0.5, 16
 #: Share of a file's lines that have its two commonest shapes from which a tool wrote it, and the lines it then has at least.
-SHAPE_SHARE, SHAPE_LINES = 0.7, 16
+SHAPE_SHARE, SHAPE_LINES = 0.62, 16
 #: Bytes a code line has on average, and share of white space, from which code is minified.
 MINIFIED_LINE, MINIFIED_SPACE = 160, 0.07
 #: Lines at the top and at the end of a file in which notices are looked for, besides the whole leading comment.
@@ -142,7 +142,7 @@ def _by_content(text: str, python: bool) -> str | None:
         if held >= DATA_SHARE * size:
             return "data"
         rows = sum(1 for x in lines if x[:1] in b"\"'`[({-0123456789]})" and not LITERALS.sub(b"", x).strip(b" \t,;:()[]{}|+-=>#"))
-        if len(lines) >= SHAPE_LINES and rows >= SHAPE_SHARE * len(lines):
+        if len(lines) >= SHAPE_LINES and rows >= 0.7 * len(lines):
             return "data"
     if size / len(lines) >= MINIFIED_LINE and (code.count(b" ") + code.count(b"\t")) <= MINIFIED_SPACE * len(code):
         return "minified"
