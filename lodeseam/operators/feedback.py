@@ -28,9 +28,9 @@ def accesses(results: DataFrame) -> DataFrame:
 
 
 def affinity(counts: DataFrame) -> DataFrame:
-    """Each file's share of all accesses; the total is one row, joined by broadcast."""
-    total = counts.agg(F.sum("accesses").alias("total"))
-    return counts.crossJoin(F.broadcast(total)).select("file_path", "accesses", F.try_divide(F.col("accesses").cast("double"), F.col("total").cast("double")).alias("affinity"))
+    """Each file's share of all accesses; the total is one number."""
+    total = counts.agg(F.sum("accesses")).first()[0] or 1
+    return counts.select("file_path", "accesses", (F.col("accesses") / float(total)).alias("affinity"))
 
 
 def preferred_languages(counts: DataFrame, top: int = 5) -> DataFrame:

@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -100,7 +101,7 @@ def vector_search(queries: DataFrame, rows: DataFrame, k: int, query_id: str, ro
     """T1, T2, exact: (query_id, row_id, cosine, rank), the k rows most similar to each query.
 
     The queries are broadcast in blocks of QUERY_BLOCK, one pass over the rows per block; every Arrow batch of rows is
-    multiplied with the block and sends on only its own k best per query, so what is shuffled is k per query and batch.
+    multiplied with the block, and a task sends on only its own k best per query.
     Null vectors and vectors of another dimension than the query's are no partners; zero vectors have cosine 0. Ties
     go to the smaller row id.
     """
@@ -143,8 +144,9 @@ def _unit(m: np.ndarray) -> np.ndarray:
 
 def _searcher(shared, k: int, exclude_self: bool, schema: pa.Schema):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}  # per dimension: query numbers, row ids, cosines
         for batch in batches:
-            sizes = np.array([len(v) for v in batch.column(1)])
+            sizes = pc.list_value_length(batch.column(1)).to_numpy(zero_copy_only=False)
             for size, (ids, queries) in shared.value.items():
                 at = np.flatnonzero(sizes == size)
                 if not len(at):
@@ -157,14 +159,26 @@ def _searcher(shared, k: int, exclude_self: bool, schema: pa.Schema):
                     for i, q in enumerate(ids):
                         if q in place:
                             sims[i, place[q]] = -np.inf
-                take = min(k, len(at))
-                cut = np.partition(sims, len(at) - take, axis=1)[:, [len(at) - take]]
+                cut = np.partition(sims, max(0, len(at) - k), axis=1)[:, [max(0, len(at) - k)]]
                 i, j = np.nonzero((sims >= cut) & (sims > -np.inf))
-                yield pa.RecordBatch.from_arrays([pa.array([ids[x] for x in i], type=schema[0].type), pa.array([own[x] for x in j], type=schema[1].type), pa.array(sims[i, j])], schema=schema)
+                found = i, np.array(own)[j], sims[i, j]
+                best[size] = _best(tuple(map(np.concatenate, zip(best[size], found))) if size in best else found, k)
+        for size, (i, rows, cosine) in best.items():
+            ids = shared.value[size][0]
+            yield pa.RecordBatch.from_arrays([pa.array([ids[x] for x in i], type=schema[0].type), pa.array(rows.tolist(), type=schema[1].type), pa.array(cosine)], schema=schema)
 
     return run
 
 
+def _best(found: tuple[np.ndarray, np.ndarray, np.ndarray], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k best of each query number by cosine, then row id."""
+    query, rows, cosine = found
+    order = np.lexsort((rows, -cosine, query))
+    query, rows, cosine = query[order], rows[order], cosine[order]
+    place = np.arange(len(query)) - np.searchsorted(query, query)
+    return query[place < k], rows[place < k], cosine[place < k]
+
+
 def best_of_variants(results: DataFrame, penalty: float = 0.9) -> DataFrame:
     """A3: (query_id, row_id, variant, score): a row's best score over a query's variants.
 

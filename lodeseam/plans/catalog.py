@@ -14,7 +14,7 @@ from lodeseam.functions import text as tx
 from lodeseam.functions import vectors as vx
 from lodeseam.operators import chunking, diversity, embedding, feedback, graph, incremental, merge, ranking, search, structural
 from lodeseam.plans import planner
-from lodeseam.sources import corpus
+from lodeseam.sources import assembly, corpus
 from lodeseam.streaming import refresh
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -54,10 +54,9 @@ def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Source files put together from code_chunks: overlapping chunks agree, so a line is any chunk's."""
-    rows = table(spark, sf_dir, "code_chunks").filter("file_path is not null and content is not null").select("file_path", F.posexplode(F.split("content", "\n")).alias("pos", "line"), "start_line")
-    lines = rows.groupBy("file_path", (F.col("start_line") + F.col("pos")).alias("n")).agg(F.first("line").alias("line"))
-    return lines.groupBy("file_path").agg(F.array_sort(F.collect_list(F.struct("n", "line"))).alias("l")).select("file_path", F.array_join("l.line", "\n").alias("content"), tx.language_for_path(F.col("file_path")).alias("language"))
+    """Source files put together from code_chunks, in one streamed pass."""
+    rows = assembly.map_files(table(spark, sf_dir, "code_chunks"), lambda path, text, project: [(path, text)], "file_path string, content string")
+    return rows.withColumn("language", tx.language_for_path(F.col("file_path")))
 
 
 _FILES = "(SELECT concat_ws('/', coalesce(source, 'none'), doc_id::VARCHAR) AS file_path, text AS content FROM documents)"
