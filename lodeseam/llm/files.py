@@ -1,89 +1,7 @@
-"""Source files put together from their chunks."""
+"""Source files put together from their chunks, as the core does it."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from lodeseam.sources.assembly import assemble, chunk_rows, map_files
 
-import pyarrow as pa
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-
-def chunk_rows(chunks: DataFrame, *extra: str) -> DataFrame:
-    """The distinct chunk rows that files are made of, one row per version of a chunk.
-
-    Copies of a row collapse before the shuffle, so a chunk repeated any number of times costs one row per map task.
-    Rows without a file_path belong to no file and are left out; a null start_line counts as 1, a null content as "".
-    """
-    return (
-        chunks.filter(F.col("file_path").isNotNull())
-        .groupBy(
-            "file_path", *extra, F.col("chunk_id"), F.coalesce("start_line", F.lit(1)).alias("start_line"), F.coalesce("content", F.lit("")).alias("content")
-        )
-        .agg(F.max("indexed_at").alias("indexed_at"))
-    )
-
-
-def map_files(chunks: DataFrame, function: Callable[[str, str, str | None], Iterator[tuple]], schema: pa.Schema | str, project: bool = False) -> DataFrame:
-    """Rows of ``function(file_path, text, project)`` for every file, as a DataFrame of the given DDL schema.
-
-    A file's text: the k-th line of a chunk is line start_line + k - 1; of two versions of a chunk the one indexed last
-    counts; lines that no chunk covers are blank. Rows arrive sorted by file and line, so one file at a time is held in
-    memory, whatever the size of its project. Nothing is collected.
-    """
-    from pyspark.sql.types import StructType
-    from pyspark.sql.pandas.types import to_arrow_schema
-
-    struct = StructType.fromDDL(schema)
-    extra = ("project",) if project else ()
-    rows = (
-        chunk_rows(chunks, *extra)
-        .repartition("file_path")
-        .sortWithinPartitions("file_path", "start_line", "chunk_id", F.col("indexed_at").desc_nulls_last())
-        .select("file_path", "start_line", "chunk_id", "content", *extra)
-    )
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        arrow = to_arrow_schema(struct)
-        out: list[tuple] = []
-        for path, text, owner in assemble(batches, project):
-            out.extend(function(path, text, owner))
-            if len(out) >= 2000:
-                yield _batch(out, arrow)
-                out = []
-        if out:
-            yield _batch(out, arrow)
-
-    return rows.mapInArrow(run, struct)
-
-
-def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
-
-
-def assemble(batches: Iterator[pa.RecordBatch], project: bool = False) -> Iterator[tuple[str, str, str | None]]:
-    """(file_path, text, project) from batches sorted by file_path, start_line, chunk_id and latest version first."""
-    path, owner, lines, last = None, None, [], None
-    for batch in batches:
-        columns = [batch.column(k).to_pylist() for k in range(batch.num_columns)]
-        for k, p in enumerate(columns[0]):
-            if p != path:
-                if path is not None:
-                    yield path, "\n".join(lines), owner
-                path, lines, last = p, [], None
-                owner = columns[4][k] if project else None
-            start, chunk = columns[1][k], columns[2][k]
-            if chunk is not None and (start, chunk) == last:
-                continue
-            last = (start, chunk)
-            first, content = max(start, 1) - 1, columns[3][k]
-            have = len(lines)
-            if first + content.count("\n") + 1 <= have:
-                continue
-            if first > have:
-                lines.extend([""] * (first - have))
-                have = first
-            new = content.split("\n")
-            lines.extend(new[have - first :] if have > first else new)
-    if path is not None:
-        yield path, "\n".join(lines), owner
+__all__ = ["assemble", "chunk_rows", "map_files"]

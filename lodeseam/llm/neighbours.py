@@ -2,12 +2,14 @@
 
 Balanced posting lists: centroids are fitted per model on a bounded sample and balanced by splitting the lists that
 would be large; every vector is then put into the list of its nearest centroid and, near a boundary, into those of the
-other centroids within a ratio of that distance.  Two vectors are compared when they share a list.
+other centroids within a ratio of that distance.  Two vectors are compared when they share a list.  Copies of one vector
+travel and are compared as one row that carries their hashes.
 """
 
 from __future__ import annotations
 
 import math
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -152,7 +154,8 @@ def nearest_vectors(
         sample = sample[np.isfinite(sample).all(axis=1) & sample.any(axis=1)]
         if not len(sample):
             sample = np.eye(1, d, dtype=np.float32)
-        centroids, share = balanced_centroids(_unit(sample).astype(np.float32), plan[model])
+        # copies count once: they travel as one row
+        centroids, share = balanced_centroids(_unit(np.unique(sample, axis=0)).astype(np.float32), plan[model])
         blocks = np.maximum(1, np.ceil(share * counts[model] * 1.4 / block)).astype(np.int64)
         index[model] = (number, CentroidGraph(centroids), blocks)
     shared = spark.sparkContext.broadcast(index)
@@ -167,12 +170,14 @@ def nearest_vectors(
                 at = pa.array(np.flatnonzero(models == model))
                 own = arrays.take(at)
                 raw = np.ascontiguousarray(own.flatten().to_numpy(zero_copy_only=False).astype(np.float32).reshape(len(at), -1))
+                names = hashes.take(at).to_pylist()
+                raw, members = _collapse(raw, [[h] for h in names])
                 rows, ids = graph.search(_unit(raw).astype(np.float32), lists, ratio)
                 split = blocks[ids]
                 if (split > 1).any():
                     reps = np.repeat(np.arange(len(rows)), split)
                     other = np.concatenate([np.arange(s) for s in split])
-                    mine = np.array([hash_block(h) for h in hashes.take(at).to_pylist()])[rows[reps]] % split[reps]
+                    mine = np.array([hash_block(m[0]) for m in members])[rows[reps]] % split[reps]
                     rows, ids, low, high, side = rows[reps], ids[reps], np.minimum(mine, other), np.maximum(mine, other), (mine > other)
                 else:
                     low = high = np.zeros(len(rows), dtype=np.int64)
@@ -183,65 +188,67 @@ def nearest_vectors(
                         pa.array((number << 48) + (ids << 24) + (low << 12) + high, type=pa.int64()),
                         pa.array(side.astype(np.int8), type=pa.int8()),
                         pa.array([model] * len(rows), type=pa.string()),
-                        hashes.take(at).take(pa.array(rows)),
+                        pa.array(members, type=pa.list_(pa.string())).take(pa.array(rows)),
                         pa.array([b.tobytes() for b in blob], type=pa.binary()).take(pa.array(rows)),
                     ],
-                    names=["task", "side", "model", "text_hash", "vector"],
+                    names=["task", "side", "model", "hashes", "vector"],
                 )
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for sides, model, hashes, raw in _groups(batches):
-            low, high = np.flatnonzero(sides == 0), np.flatnonzero(sides == 1)
-            if len(high):
-                jobs = [(low, high), (high, low)]
-            else:
-                jobs = [(low, low)]
-            unit = _unit(raw)
-            narrow = unit.astype(np.float32)
+            parts = [_collapse(raw[sides == side], [h for h, x in zip(hashes, sides) if x == side]) for side in (0, 1) if (sides == side).any()]
+            jobs = [(parts[0], parts[1]), (parts[1], parts[0])] if len(parts) == 2 else [(parts[0], parts[0])]
             for queries, members in jobs:
-                if not len(members):
-                    continue
-                for i in range(0, len(queries), 1024):
-                    q = queries[i : i + 1024]
-                    sims = narrow[q] @ narrow[members].T
+                out: list[tuple[str, list[tuple[float, str]]]] = []
+                unit = _unit(members[0])
+                narrow = unit.astype(np.float32)
+                for i in range(0, len(queries[0]), 1024):
+                    q = _unit(queries[0][i : i + 1024])
+                    sims = q.astype(np.float32) @ narrow.T
                     if members is queries:
                         sims[np.arange(len(q)), np.arange(i, i + len(q))] = -2.0
-                    take = min(k + 3, len(members))
-                    part = np.argpartition(-sims, take - 1, axis=1)[:, :take] if take < len(members) else np.broadcast_to(np.arange(len(members)), sims.shape)
-                    exact = np.einsum("ijk,ik->ij", unit[members[part]], unit[q])
+                    take = min(k + 3, len(narrow))
+                    part = np.argpartition(-sims, take - 1, axis=1)[:, :take]
+                    # copies of a vector agree to the last digits only; 14 digits make them ties
+                    exact = np.round(np.einsum("ijk,ik->ij", unit[part], q), 14)
                     exact[np.take_along_axis(sims, part, 1) == -2.0] = -2.0
-                    best = np.argsort(-exact, axis=1, kind="stable")[:, : k + 1]
-                    others, cos = members[np.take_along_axis(part, best, 1)], np.take_along_axis(exact, best, 1)
-                    keep = (cos > -1.5) & (np.arange(best.shape[1]) < k)
-                    if best.shape[1] > k:  # ties at the last place are settled by hash below
-                        keep[:, k] = (cos[:, k] == cos[:, k - 1]) & (cos[:, k] > -1.5)
-                    n = keep.sum(1)
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array([model] * len(q), type=pa.string()),
-                            pa.array([hashes[x] for x in q], type=pa.string()),
-                            pa.ListArray.from_arrays(
-                                pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)),
-                                pa.StructArray.from_arrays([pa.array(-cos[keep]), pa.array([hashes[x] for x in others[keep]], type=pa.string())], names=["d", "h"]),
-                            ),
-                        ],
-                        names=["model", "text_hash", "near"],
-                    )
-
-    listed = usable_vectors(cache, dimensions).mapInArrow(assign, "task bigint, side tinyint, model string, text_hash string, vector binary")
+                    for own, found, cosines in zip(queries[1][i : i + 1024], part.tolist(), exact.tolist()):
+                        near = [(-c, h) for j, c in zip(found, cosines) if c > -1.5 for h in members[1][j][: k + 1]]
+                        if len(own) > 1:
+                            near += [(-1.0, h) for h in own[: k + 1]]
+                        near.sort()
+                        out.extend((h, [x for x in near[: k + 1] if x[1] != h][:k]) for h in own)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([model] * len(out), type=pa.string()), pa.array([h for h, _ in out], type=pa.string()), pa.array([[{"d": d, "h": h} for d, h in near] for _, near in out], type=_NEAR)], names=["model", "text_hash", "near"]
+                )
+
+    listed = usable_vectors(cache, dimensions).mapInArrow(assign, "task bigint, side tinyint, model string, hashes array<string>, vector binary")
     near = listed.repartition("task").sortWithinPartitions("task").mapInArrow(compare, "model string, text_hash string, near array<struct<d:double,h:string>>")
     merged = near.groupBy("model", "text_hash").agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("near")))), 1, k).alias("near"))
     return merged.select("model", "text_hash", F.posexplode("near").alias("pos", "n")).select("model", "text_hash", (F.col("pos") + 1).alias("rank"), F.col("n.h").alias("neighbour"), (-F.col("n.d")).alias("cosine"))
 
 
+_NEAR = pa.list_(pa.struct([("d", pa.float64()), ("h", pa.string())]))
+
+
+def _collapse(raw: np.ndarray, hashes: list[list[str]]) -> tuple[np.ndarray, list[list[str]]]:
+    """Equal vectors as one row with all their hashes, sorted."""
+    raw = np.ascontiguousarray(raw)
+    _, first, group = np.unique(raw.view(np.dtype((np.void, raw.dtype.itemsize * raw.shape[1]))).ravel(), return_index=True, return_inverse=True)
+    if len(first) == len(raw):
+        return raw, hashes
+    members: list[list[str]] = [[] for _ in first]
+    for g, own in zip(group.tolist(), hashes):
+        members[g].extend(own)
+    return raw[first], [sorted(set(m)) for m in members]
+
+
 def hash_block(text: str) -> int:
     """A stable number for a hash string."""
-    import zlib
-
     return zlib.crc32(text.encode())
 
 
-def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, str, list[str], np.ndarray]]:
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, str, list[list[str]], np.ndarray]]:
     """The rows of each task, which are consecutive: (side, model, hashes, vectors)."""
     parts: list[pa.RecordBatch] = []
     current = None

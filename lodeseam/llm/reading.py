@@ -92,20 +92,24 @@ class ReadingModel:
         if len(self.log_words) != len(self.vocabulary) + 1:
             self.log_words = np.zeros((len(self.vocabulary) + 1, LEVELS))
 
-    def _sentences(self, ids, sentence, words) -> np.ndarray:
-        """log p(words of the sentence | sentence level) against the average level; short fragments say nothing."""
+    def _sentences(self, ids, sentence, words, of, n_docs) -> np.ndarray:
+        """log p(words of the sentence | sentence level) against the average level.
+
+        Fragments shorter than a sentence (titles, labels) say nothing, save in documents that have nothing else.
+        """
         score = np.empty((len(words), LEVELS))
         for k in range(LEVELS):
             score[:, k] = np.bincount(sentence, weights=self.log_words[ids, k], minlength=len(words))
         z = (np.log(np.maximum(words, 1))[:, None] - self.length[:, 0]) / self.length[:, 1]
-        score += -0.5 * z * z - np.log(self.length[:, 1])
-        score[words < _MIN_WORDS] = 0
+        short = words < _MIN_WORDS
+        score += np.where(short[:, None], 0.0, -0.5 * z * z - np.log(self.length[:, 1]))
+        score[short & (np.bincount(of, weights=~short, minlength=n_docs) > 0)[of]] = 0
         return score - score.max(axis=1, keepdims=True) if len(score) else score
 
     def documents(self, ids, sentence, of, n_docs) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """log p(level, document) per document and level, sentence likelihoods, unfamiliar shares."""
         words, unfamiliar = self.observe(ids, sentence, of, n_docs)
-        likely = np.exp(np.maximum(self._sentences(ids, sentence, words), -12.0))
+        likely = np.exp(np.maximum(self._sentences(ids, sentence, words, of, n_docs), -12.0))
         under = np.log(likely @ self.mixture.T + 1e-12)  # sentence x document level
         out = np.tile(np.log(self.prior), (n_docs, 1))
         for k in range(LEVELS):
