@@ -193,14 +193,14 @@ def _end(text: str, language: str, pos: int) -> int:
 def _brace_pairs(text: str, language: str) -> Iterator[tuple[str, int, int, list[str], int]]:
     declaration = _DECLARATIONS[language]
     units: list[list[int]] = []  # [start, end, is block] of comments that stand alone on their lines
-    find = text.find
     for m in _SCAN[language].finditer(text):
         s, e = m.span()
         if text[s] != "/" or text[s + 1 : s + 2] not in ("/", "*") or not m.group().startswith(("//", "/*")):
             continue
-        line = text.rfind("\n", 0, s) + 1
-        after = find("\n", e)
-        if text[line:s].strip(" \t") or text[e : after if after >= 0 else None].strip(" \t"):
+        before, after = s - 1, _skip(text, e)
+        while before >= 0 and text[before] in " \t":
+            before -= 1
+        if before >= 0 and text[before] != "\n" or after < len(text) and text[after] != "\n":
             continue
         block = text[s + 1] == "*"
         if units and not block and not units[-1][2] and text[units[-1][1] : s].count("\n") == 1 and not text[units[-1][1] : s].strip():
@@ -208,6 +208,7 @@ def _brace_pairs(text: str, language: str) -> Iterator[tuple[str, int, int, list
         else:
             units.append([s, e, block])
     for u, (s, e, _) in enumerate(units):
+        e = _skip(text, e)
         if text[e : e + 1] != "\n":
             continue
         m = declaration.match(text, _skip(text, e + 1))
@@ -247,10 +248,13 @@ def pairs(text: str, language: str | None) -> list[Pair]:
                 lines = lines or text.split("\n")
                 out.append(Pair(name, first, last, clean, "\n".join(lines[first - 1 : last])))
     elif language in _DECLARATIONS:
+        line = 1
+        counted = 0
         for name, at, end, doc, start in _brace_pairs(text, language):
+            line += text.count("\n", counted, at)
+            counted = at
             clean = description(doc)
             if clean and not is_trivial(clean, name):
-                line = text.count("\n", 0, at) + 1
                 out.append(Pair(name, line, line + text.count("\n", at, end), clean, text[start:end]))
     return out
 
