@@ -450,12 +450,14 @@ def chunk_symbols(spark, sf_dir):
 
 @query(
     "SELECT chunk_id, CASE language WHEN 'python' THEN list_sort(list_distinct(list_concat(regexp_extract_all(content, '(?m)^\\s*import\\s+([A-Za-z0-9_\\.]+)', 1), regexp_extract_all(content, '(?m)^\\s*from\\s+([A-Za-z0-9_\\.]+)\\s+import', 1))))"
+    " WHEN 'javascript' THEN list_sort(list_distinct(list_concat(regexp_extract_all(content, '(?-s)import\\s+.*?from\\s+[\"'']([^\"'']+)[\"'']', 1), regexp_extract_all(content, 'require\\([\"'']([^\"'']+)[\"'']\\)', 1))))"
+    " WHEN 'typescript' THEN list_sort(list_distinct(list_concat(regexp_extract_all(content, '(?-s)import\\s+.*?from\\s+[\"'']([^\"'']+)[\"'']', 1), regexp_extract_all(content, 'require\\([\"'']([^\"'']+)[\"'']\\)', 1))))"
     " WHEN 'rust' THEN list_sort(list_distinct(regexp_extract_all(content, '(?m)^\\s*use\\s+([A-Za-z0-9_:]+)', 1))) WHEN 'java' THEN list_sort(list_distinct(regexp_extract_all(content, '(?m)^\\s*import\\s+([A-Za-z0-9_\\.]+)', 1)))"
-    f" WHEN 'go' THEN list_sort(list_distinct(regexp_extract_all(content, 'import\\s+\"([^\"]+)\"', 1))) ELSE []::VARCHAR[] END AS imports FROM (SELECT * REPLACE ({_language('file_path')} AS language) FROM {_CHUNKS}) WHERE language NOT IN ('javascript', 'typescript')"
+    f" WHEN 'go' THEN list_sort(list_distinct(regexp_extract_all(content, 'import\\s+\"([^\"]+)\"', 1))) ELSE []::VARCHAR[] END AS imports FROM (SELECT * REPLACE ({_language('file_path')} AS language) FROM {_CHUNKS})"
 )
 def chunk_imports(spark, sf_dir):
-    """[P9] imports of all chunks but those whose pattern needs lazy matching over lines, which engines read differently."""
-    df = chunks(spark, sf_dir).withColumn("language", tx.language_for_path(F.col("file_path"))).filter("language not in ('javascript', 'typescript')")
+    """[P9]"""
+    df = chunks(spark, sf_dir).withColumn("language", tx.language_for_path(F.col("file_path")))
     return df.select("chunk_id", tx.imports(F.col("language"), F.col("content")).alias("imports"))
 
 
