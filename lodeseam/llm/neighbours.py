@@ -22,45 +22,60 @@ from pyspark.sql import functions as F
 class CentroidGraph:
     """Centroids with a graph of near ones.
 
-    A search starts at the nearest landmark (a few centroids spread over all) and looks at the ball of centroids that a
-    best-first walk over the graph reached from it; the balls are walked once, when the graph is built.
+    A search enters at the nearest landmarks (centroids spread over all) and looks at the balls of centroids that a
+    best-first walk over the graph reached from them; the balls are walked once, when the graph is built. As long as a
+    few balls would cover everything the graph is one ball, and all centroids are looked at.
     """
 
-    def __init__(self, centroids: np.ndarray, degree: int = 24, ball: int = 192):
-        self.centroids = centroids
+    def __init__(self, centroids: np.ndarray, degree: int = 32, ball: int = 512, entries: int = 6, one_ball: int = 2048):
+        self.centroids, self.entries = centroids, entries
         n = len(centroids)
-        step = max(1, round(math.sqrt(n) / 2))
-        self.landmarks = np.arange(0, n, step)
-        if n <= ball:
-            self.balls = None
+        self.balls = None
+        if n <= one_ball:
             return
-        sims = centroids @ centroids.T
-        near = np.argpartition(-sims, min(degree, n - 1), axis=1)[:, : degree + 1]
+        self.landmarks = np.arange(0, n, max(1, n // 512))
+        near = np.concatenate([np.argpartition(-(centroids[i : i + 1024] @ centroids.T), degree, axis=1)[:, : degree + 1] for i in range(0, n, 1024)])
         self.balls = []
-        size = max(ball, 8 * step)
         for mark in self.landmarks:
             seen, frontier = {int(mark)}, [int(mark)]
-            while frontier and len(seen) < size:
-                found = {int(x) for f in frontier for x in near[f]} - seen
-                frontier = sorted(found, key=lambda x: -sims[mark, x])[: size - len(seen)]
+            while frontier and len(seen) < ball:
+                found = np.array(sorted({int(x) for f in frontier for x in near[f]} - seen), dtype=np.int64)
+                frontier = found[np.argsort(-(centroids[found] @ centroids[mark]), kind="stable")][: ball - len(seen)].tolist()
                 seen.update(frontier)
             self.balls.append(np.fromiter(seen, dtype=np.int64))
 
     def search(self, vectors: np.ndarray, lists: int, ratio: float) -> tuple[np.ndarray, np.ndarray]:
         """(row, centroid) pairs: for each unit vector the centroids within ``ratio`` of its smallest distance, ``lists`` at most."""
         if self.balls is None:
-            return self._pick(vectors, np.arange(len(vectors)), np.arange(len(self.centroids)), lists, ratio)
-        mark = np.argmax(vectors @ self.centroids[self.landmarks].T, axis=1)
-        out = [self._pick(vectors, rows, self.balls[m], lists, ratio) for m in np.unique(mark) if len(rows := np.flatnonzero(mark == m))]
-        return np.concatenate([a for a, _ in out]), np.concatenate([b for _, b in out])
-
-    def _pick(self, vectors, rows, ids, lists, ratio):
+            return self._prune(*self._nearest(vectors, np.arange(len(vectors)), np.arange(len(self.centroids)), lists), lists, ratio)
+        m = min(self.entries, len(self.landmarks))
+        entry = np.argpartition(-(vectors @ self.centroids[self.landmarks].T), m - 1, axis=1)[:, :m]
+        who, mark = np.repeat(np.arange(len(vectors)), m), entry.ravel()
+        order = np.argsort(mark, kind="stable")
+        cuts = np.flatnonzero(np.diff(mark[order])) + 1
+        found = [self._nearest(vectors, who[part], self.balls[mark[part[0]]], lists) for part in np.split(order, cuts) if len(part)]
+        return self._prune(*(np.concatenate(c) for c in zip(*found)), lists, ratio)
+
+    def _nearest(self, vectors, rows, ids, lists):
+        """(row, centroid, distance) of the nearest of the given centroids for each row."""
         r = min(lists, len(ids))
         distance = np.sqrt(np.maximum(0.0, 2.0 - 2.0 * (vectors[rows] @ self.centroids[ids].T)))
         part = np.argpartition(distance, r - 1, axis=1)[:, :r]
-        near = np.take_along_axis(distance, part, 1)
-        keep = near <= ratio * near.min(axis=1, keepdims=True) + 1e-7
-        return np.repeat(rows, keep.sum(1)), ids[part[keep]]
+        return np.repeat(rows, r), ids[part].ravel(), np.take_along_axis(distance, part, 1).ravel()
+
+    @staticmethod
+    def _prune(rows, ids, distance, lists, ratio):
+        """The distance-ratio rule over what all balls gave, each centroid once."""
+        if not len(rows):
+            return rows, ids
+        order = np.lexsort((ids, distance, rows))
+        rows, ids, distance = rows[order], ids[order], distance[order]
+        # the same centroid from two balls has the same distance and is its neighbour here
+        fresh = np.concatenate([[True], (rows[1:] != rows[:-1]) | (ids[1:] != ids[:-1])])
+        rows, ids, distance = rows[fresh], ids[fresh], distance[fresh]
+        first = np.searchsorted(rows, rows)
+        keep = (np.arange(len(rows)) - first < lists) & (distance <= ratio * distance[first] + 1e-7)
+        return rows[keep], ids[keep]
 
 
 def balanced_centroids(sample: np.ndarray, k: int, rounds: int = 8) -> tuple[np.ndarray, np.ndarray]:
@@ -119,8 +134,8 @@ def nearest_vectors(
     dimensions: dict[str, int],
     k: int = 5,
     list_size: int = 600,
-    lists: int = 4,
-    ratio: float = 1.25,
+    lists: int = 5,
+    ratio: float = 1.35,
     max_centroids: int = 4096,
     sample_per_list: int = 32,
     block: int = 4096,

@@ -73,7 +73,7 @@ def test_centroids_are_balanced_and_searched():
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     centroids, share = balanced_centroids(x, 400)
     assert share.max() < 6 / 400 and share.sum() == pytest.approx(1.0)
-    graph = CentroidGraph(centroids, ball=64)
+    graph = CentroidGraph(centroids, ball=64, one_ball=100)
     rows, ids = graph.search(x[:500], 1, 1.0)
     exact = np.argmax(x[:500] @ centroids.T, axis=1)
     assert (ids[np.argsort(rows)] == exact).mean() > 0.9
