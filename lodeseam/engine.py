@@ -17,6 +17,7 @@ from lodeseam.operators.embedding import Embedder, embed, hashing_embedder
 from lodeseam.plans import planner
 from lodeseam.schemas import as_hits
 from lodeseam.sources import corpus, state
+from lodeseam.streaming import refresh
 
 
 class Engine:
@@ -75,6 +76,15 @@ class Engine:
             shutil.rmtree(self.store / old, ignore_errors=True)
         return counts
 
+    def warm(self) -> int:
+        """Keep the chunk table in memory; the number of its rows."""
+        return self.table("chunks").persist().count()
+
+    def follow(self, changes: DataFrame, checkpoint: str):
+        """M4-M6: reindex after every micro-batch of a stream of changed paths that are not ignored."""
+        kept = changes.filter(corpus.is_indexable(F.col("path"), self.ignore, self.root))
+        return refresh.refresh_index(kept, lambda paths, _: self.index() if paths.limit(1).count() else None, checkpoint)
+
     def clear(self) -> None:
         """K4"""
         version = self._version()

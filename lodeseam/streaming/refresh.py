@@ -86,3 +86,39 @@ def refresh_index(changes: DataFrame, apply: Callable[[DataFrame, int], None], c
     """
     writer = changes.writeStream.foreachBatch(lambda batch, number: apply(batch.select("path").distinct(), number)).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime=interval)).start()
+
+
+def dirty_flushes(events: DataFrame, key: str, item: str, limit: int = DIRTY_LIMIT, idle_ms: int = int(IDLE_SECONDS * 1000)) -> DataFrame:
+    """M1, M2, M7 on a stream: (key, items, reason): each key's dirty set when it reaches the limit or was quiet for a while.
+
+    The set is keyed state that survives restarts; a processing-time timer flushes quiet keys. Null keys and items are
+    passed over.
+    """
+    from pyspark.sql.streaming.state import GroupStateTimeout
+
+    kind = dict(events.dtypes)[key]
+
+    def run(k, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        dirty = list(state.get[0]) if state.exists else []
+        out = []
+        if state.hasTimedOut:
+            out.append((k[0], sorted(dirty), "idle"))
+            dirty = []
+        else:
+            seen = set(dirty)
+            for batch in batches:
+                for value in batch[item]:
+                    seen.add(value)
+                    if len(seen) >= limit:
+                        out.append((k[0], sorted(seen), "limit"))
+                        seen = set()
+            dirty = sorted(seen)
+        if dirty:
+            state.update((dirty,))
+            state.setTimeoutDuration(idle_ms)
+        elif state.exists:
+            state.remove()
+        yield pd.DataFrame(out, columns=[key, "items", "reason"])
+
+    rows = events.filter(F.col(key).isNotNull() & F.col(item).isNotNull()).select(key, F.col(item).cast("string").alias(item))
+    return rows.groupBy(key).applyInPandasWithState(run, f"`{key}` {kind}, items array<string>, reason string", "dirty array<string>", "append", GroupStateTimeout.ProcessingTimeTimeout)

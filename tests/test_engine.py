@@ -74,3 +74,16 @@ def test_feedback(engine):
     weights = engine.train()
     assert weights and set(weights) >= {"intercept", "grep_score"} and engine.weights() == weights
     assert engine.find("login token", ltr=weights).count() == len(hits)
+
+
+def test_follow(engine, spark, tmp_path):
+    engine.index()
+    assert engine.warm() == engine.table("chunks").count()
+    path = os.path.join(engine.root, "db/query.go")
+    with open(path, "a") as f:
+        f.write("\nfunc Again() error {\n\treturn nil\n}\n")
+    os.utime(path, (time.time() + 9, time.time() + 9))
+    spark.createDataFrame([(path,)], "path string").write.json(str(tmp_path / "changes"))
+    q = engine.follow(spark.readStream.schema("path string").json(str(tmp_path / "changes")), str(tmp_path / "ck"))
+    q.awaitTermination(120)
+    assert q.exception() is None and engine.table("chunks").filter("array_contains(symbols, 'Again')").count() == 1

@@ -3,7 +3,8 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from lodeseam.operators import feedback, graph
-from lodeseam.streaming.refresh import DirtySet, idle_sessions, refresh_index, threshold_flushes
+from lodeseam.plans.session_state import SessionState, UserProfile
+from lodeseam.streaming.refresh import DirtySet, dirty_flushes, idle_sessions, refresh_index, threshold_flushes
 
 
 def test_dirty_set():
@@ -74,3 +75,30 @@ def test_feedback_frames(spark):
     reads = spark.createDataFrame([(7, "b.py", 5)], "read_id int, file_path string, line int")
     assert [(r["search_id"], r["idx"]) for r in feedback.attribute_reads(results, reads).collect()] == [(1, 1)]
     assert feedback.accesses(results.limit(0)).count() == 0 and F is not None
+
+
+def test_streamed_dirty_sets(spark, tmp_path):
+    rows = events(spark, [(1, k, f"f{k % 4}") for k in range(9)] + [(2, 0, "a"), (None, 0, "x")])
+    rows.write.parquet(str(tmp_path / "in"))
+    stream = dirty_flushes(spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in")), "user_id", "props", limit=3)
+    q = stream.writeStream.format("memory").queryName("dirty").outputMode("append").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "ck")).start()
+    q.awaitTermination(120)
+    got = [(r["user_id"], len(r["items"]), r["reason"]) for r in spark.table("dirty").collect()]
+    assert [g for g in got if g[2] == "limit"] and all(g[0] == 1 and g[1] == 3 for g in got if g[2] == "limit")
+
+
+def test_session_and_profile(tmp_path):
+    s = SessionState.load(tmp_path / "s.json")
+    s.focus("a.py", 3), s.focus("b.py"), s.remember(7, "q", [{"file_path": "a.py", "start_line": 1, "end_line": 9}])
+    s.save(tmp_path / "s.json")
+    again = SessionState.load(tmp_path / "s.json")
+    assert again == s and again.match_read("a.py", 9) == 0 and again.match_read("a.py", 10) is None
+    again.close("b.py")
+    assert again.open_files == ["a.py"] and again.current_file is None
+    (tmp_path / "bad.json").write_text("[1")
+    assert SessionState.load(tmp_path / "bad.json") == SessionState()
+    p = UserProfile(most_queries=2)
+    for x in ("a", "b", "a", " ", "c"):
+        p.asked(x)
+    p.opened("f"), p.opened("f"), p.opened("g")
+    assert p.recent_queries == ["a", "c"] and p.affinities() == {"f": 2 / 3, "g": 1 / 3} and UserProfile().affinities() == {}
