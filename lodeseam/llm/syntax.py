@@ -150,9 +150,11 @@ def _word_kinds(table: dict[str, str]) -> dict[str, str]:
     return {w: k for k, ws in table.items() for w in ws.split()}
 
 
-def _classifier(quotes: str = "\"'`", line_end: str = "N"):
+def _classifier(quotes: str = "\"'`", line_end: str = "N", number: str = r".*"):
     """Kinds of the tokens that are in no table; "\0" marks what no token may be."""
 
+    valid = re.compile(number).fullmatch
+
     def classify(t: str) -> str:
         c = t[0]
         if t[:2] in ("//", "#!"):
@@ -163,8 +165,8 @@ def _classifier(quotes: str = "\"'`", line_end: str = "N"):
             return line_end
         if c in quotes:
             return "\0" if len(t) < 2 else "g" if c == "`" else "s"
-        if c.isdigit() or c == "." and len(t) > 1:
-            return "n"
+        if c.isdigit() or c == "." and len(t) > 1 and t[1].isdigit():
+            return "n" if valid(t) else "\0"
         if c == "/" and len(t) > 1:
             return "s"
         if c in "_$" or c.isalpha():
@@ -174,6 +176,7 @@ def _classifier(quotes: str = "\"'`", line_end: str = "N"):
     return classify
 
 
+_DIGITS = r"(?:0[xX][0-9a-fA-F_]+|0[bB][01_]+|0[oO][0-7_]+|(?:\d[\d_]*\.?[\d_]*|\.\d[\d_]*)(?:[eE][+-]?\d[\d_]*)?)"
 _BRACKETS = {c: c for c in "()[]{}"}
 
 # --------------------------------------------------------------------------- ECMAScript and TypeScript
@@ -185,12 +188,12 @@ def _script(ts: bool) -> Grammar:
     before = r"[(,=:\[!&|?{};~^<>*%+\-]"
     regex = rf"(?:(?<={before})|(?<={before} )|(?<=return )|(?<=\n)|(?<=  ))/(?![*/])(?:\\.|\[(?:\\.|[^\]\\\n])*\]|[^/\\\[\n])+/[a-z]*"
     lexer = (
-        rf"\A#![^\n]*|//[^\n]*|/\*.*?\*/|\n\s*|{string}|{template}|{_NUM}|[$\w]+|{regex}|\.\.\.|=>|\?\.(?![0-9])|\?\?=|&&=|\|\|=|\*\*=|>>>=|<<=|>>=|===|!==|\*\*|==|!=|<=|>=|&&|\|\||\?\?|\+\+|--|<<|[-+*/%&|^]=|\S"
+        rf"\A#![^\n]*|//[^\n]*|/\*.*?\*/|\n\s*|{string}|{template}|{_NUM}|[$\w]+|{regex}|\.\.\.|=>|\?\.(?![0-9])|\?\?=|&&=|\|\|=|\*\*=|>>>=|<<=|>>=|===|!==|\*\*|==|!=|<=|>=|&&|\|\||\?\?|\+\+|--|<<{'' if ts else '|>>>|>>'}|[-+*/%&|^]=|\S"
     )
     words = {
         "V": "let const var", "f": "function", "k": "class", "R": "return", "H": "throw", "I": "if", "Z": "else", "Q": "for", "w": "while", "D": "do", "S": "switch",
         "C": "case", "d": "default", "b": "break continue debugger", "t": "try", "h": "catch", "y": "finally", "W": "new", "u": "typeof delete await", "Ø": "void", "Y": "yield",
-        "j": "in instanceof", "l": "this super null true false", "A": "async", "F": "from", "z": "static", "x": "extends", "m": "import", "e": "export", "B": "enum",
+        "j": "in instanceof", "l": "this super null true false", "A": "async", "Γ": "get set", "Ω": "of", "F": "from", "z": "static", "x": "extends", "m": "import", "e": "export", "B": "enum",
         "X": "with package interface implements private protected public",
     }
     if ts:
@@ -201,14 +204,14 @@ def _script(ts: bool) -> Grammar:
         | {c: c for c in ";,.:?=!<>*|&@#"}
         | {"=>": "r", "?.": "q", "...": "v", "+": "+", "-": "+", "~": "!", "++": "p", "--": "p"}
         | dict.fromkeys("+= -= *= /= %= &= |= ^= **= <<= >>= >>>= &&= ||= ??=".split(), "a")
-        | dict.fromkeys("** == != === !== <= >= && || ?? << / % ^".split(), "o")
+        | dict.fromkeys("** == != === !== <= >= && || ?? << >> >>> / % ^".split(), "o")
     )
-    P, K, G = _roles("(", "E A F H T"), _roles("[", "L K B T"), _roles("{", "S O D C W M T N")
+    P, K, G = _roles("(", "E A F H T X"), _roles("[", "L K B T"), _roles("{", "S O D C W M T N")
     opens = "".join((_any("(")[1:-1], _any("[")[1:-1], _any("{")[1:-1]))
-    word_set = "iVfkRHIZQwDSCdbthyWuYjlAFzxmeBXPTGUJ$Ø"
-    word, ident = f"[{word_set}]", "[iAFTGUPJ$]" if ts else "[iAF]"
+    word_set = "iVfkRHIZQwDSCdbthyWuYjlAFzxmeBXPTGUJ$ØΓΩ"
+    word, ident = f"[{word_set}]", "[iAFTGUPJ$ΓΩ]" if ts else "[iAFΓΩ]"
     key = rf"(?:#?{word}|[sn]|{K['K']})"
-    qn = rf"(?:[iATFGUPJ$luØ]|m{P['A']})(?:\.{word})*"
+    qn = rf"(?:[iATFGUPJ$luØΓΩ]|m{P['A']})(?:\.{word})*"
     atom = rf"(?:(?:[JuU]+(?=[iPTUulsØ]))?(?:{qn}|[sng]|\+n)|{G['T']}|{K['T']}|{P['T']})"
     one = rf"(?:(?:[JUu]+(?=[{opens}]))?(?:W?{P['F']}r)*{atom}(?:{K['T']}|{K['K']})*)"
     typ = rf"(?>[|&]?{one}(?:[|&x¿%$]{one})*)"
@@ -224,9 +227,10 @@ def _script(ts: bool) -> Grammar:
     primary = rf"(?:(?<=r){G['S']}|{func}|{cls}|{ident}|[nslgY]|W\.{word}|m(?=\.|{P['A']})|#i|{P['E']}|{K['L']}|{G['O']}|{G['D']})"
     postfix = rf"(?:[.]#?{word}|q(?:#?{word}|{P['A']}|{K['K']})|{P['A']}|{K['K']}|g|p" + ("|!" if ts else "") + ")"
     unary = rf"(?:{prefix}*{primary}{postfix}*" + (rf"(?:G{typ})*" if ts else "") + ")"
-    starts = "iAFfknslgYWm#" + ("TUPJ$" if ts else "") + opens
-    expr = _chain(unary, r"(?:[oj+*|&=a<¿%]|>>?>?)", starts, "!+puØ")
-    exprs = _chain(unary, r"(?:[oj+*|&=a<¿%,]|>>?>?)", starts, "!+puØ")
+    starts = "iAFΓΩfknslgYWm#" + ("TUPJ$" if ts else "") + opens
+    shift = ">>?>?" if ts else ">"
+    expr = _chain(unary, rf"(?:[oj+*|&=a<¿%]|{shift})", starts, "!+puØ")
+    exprs = _chain(unary, rf"(?:[oj+*|&=a<¿%,]|{shift})", starts, "!+puØ")
 
     def full(p: str) -> str:
         return p.replace("@L@", exprs).replace("@E@", expr)
@@ -235,7 +239,7 @@ def _script(ts: bool) -> Grammar:
     end = r"(?:;|N|\Z)"
     target = rf"(?:{ident}|{K['B']}|{G['D']})"
     binding = rf"{target}{ann}(?:={E})?"
-    decl = rf"V(?:{binding}(?:,(?=[iAFTGUPJ${opens}])|(?=[;N]|\Z)))+"
+    decl = rf"V(?:{binding}(?:,(?=[iAFΓΩTGUPJ${opens}])|(?=[;N]|\Z)))+"
     body = rf"N?{G['S']}"
     or_end = rf"|{end}" if ts else ""
     block_fn = rf"A?f\*?{ident}{P['F']}{ann}(?:{body}{or_end})"
@@ -252,25 +256,27 @@ def _script(ts: bool) -> Grammar:
     after = rf"(?<=[;N{_any('{')[1:-1]}])"
     pre = rf"(?:I{P['E']}N?|w{P['E']}N?|Qu?{P['H']}N?|{after}Z|D|{ident}:N?)"
     simple = (
-        rf"(?:{decl}{end}|{block_fn}|{klass}|t{G['S']}(?:N?h{P['F']}?N?{G['S']}(?:N?y{G['S']})?|N?y{G['S']})|S{P['E']}N?{G['W']}|R(?:{el})?{end}|H{el}{end}|b{ident}?{end}|{G['S']}(?![.=q])|;"
-        rf"{ts_decl}|{imports}|{exports}|{el}{end})"
+        rf"(?:{decl}{end}|{block_fn}|{klass}|t{G['S']}(?:N?h{P['X']}?N?{G['S']}(?:N?y{G['S']})?|N?y{G['S']})|S{P['E']}N?{G['W']}|R(?:{el})?{end}|H{el}{end}|b{ident}?{end}|{G['S']}(?![.=q])|;"
+        rf"{ts_decl}|{imports}|{exports}|(?!A?f|k){el}{end})"
     )
     stmts = rf"(?![^I]*Z)(?>(?:[N;]|(?:{pre})*{simple}))*"
     cases = rf"N*(?>(?:C{el}|d):{stmts})*"
     field_type = rf"|\?{P['F']}{ann}{end}|{K['T']}:{typ}{end}" if ts else ""
-    member = rf"(?:[N;]|zN?{G['S']}|{deco}(?:{word}(?=[{word_set}#sn*]|{K['K']}))*\*?{key}(?:{P['F']}{ann}(?:N?{G['S']}{or_end})|{ann}(?:={E})?{end}{field_type}))"
-    prop = rf"v{E}|{ident}|(?:{word}(?=[{word_set}#sn*]|{K['K']}))*\*?{key}(?::{E}|{P['F']}{ann}N?{G['S']})"
+    next_key = rf"(?=[{word_set}#sn*]|{K['K']})"
+    own = rf"(?:[zUAΓ]{next_key})*" if ts else rf"(?:z{next_key})?(?:A{next_key}|Γ{next_key})?"
+    member = rf"(?:[N;]|zN?{G['S']}|{deco}{own}\*?{key}(?:{P['F']}{ann}(?:N?{G['S']}{or_end})|{ann}(?:={E})?{end}{field_type}))"
+    prop = rf"v{E}|{ident}|{key}:{E}|(?:A{next_key}|Γ{next_key})?\*?{key}{P['F']}{ann}N?{G['S']}"
     dprop = rf"v{target}|{ident}(?:={E})?|{key}:{target}(?:={E})?"
     tmember = rf"(?:[+*]?[iUz](?=[{word_set}sn]|{K['K']}))*(?:{key}[?]?(?::{typ}|{P['F']}(?::{typ})?|¿{P['F']}%{typ})?|W?{P['F']}(?::{typ})?|{K['T']}[+?]*:{typ})(?:[;,N]+|\Z)"
     modifiers = rf"(?:@{ident}{P['A']}?)*U*" if ts else ""
     param = rf"{modifiers}v?(?:{target}{'|l' if ts else ''}){ann}(?:={E})?"
-    head = rf"(?:{decl}|{el})?;(?:{el})?;(?:{el})?|(?:V{target}(?:j|i)|{ident}(?:\.{word})*i){E}|{E}"
+    head = rf"(?:{decl}|{el})?;(?:{el})?;(?:{el})?|(?:V{target}[jΩ]|{ident}(?:\.{word})*Ω){E}|{E}"
     name = rf"(?:T(?={word}))?(?:{word}|s)(?:[iG](?:{word}|s))?"
     arg = rf"v?{E}"
     hole = rf",*(?:{{0}}(?:,+{{0}})*,*)?"
     tuple_ = rf"{_list(rf'v?(?:{ident}[?]?:)?{typ}[?]?')}|{ident}:{typ}|{ident}j{typ}(?:G{typ})?"
     roles = {
-        "(": [el, _list(arg), _list(param), head, typ if ts else r"(?!)"],
+        "(": [el, _list(arg), _list(param), head, typ if ts else r"(?!)", rf"{target}{ann}"],
         "[": [hole.replace("{0}", f"(?:{arg})"), el, hole.replace("{0}", rf"(?:v?{target}(?:={E})?)"), tuple_ if ts else r"(?!)"],
         "{": [stmts, _list(prop), _list(dprop), rf"(?>{member})*", cases, _list(name), rf"N*(?:{tmember}N*)*" if ts else r"(?!)", _list(rf"(?:{word}|s)(?:={E})?") if ts else r"(?!)"],
     }
@@ -279,10 +285,10 @@ def _script(ts: bool) -> Grammar:
     )
     generics = None
     if ts:
-        inner = r"[iATFGUPJ$lsnuØx.,&|?=\[\](){}:;rW+jkN]"
+        inner = r"[iATFGUPJ$lsnuØΓΩx.,&|?=\[\](){}:;rW+jkN]"
         generics = re.compile(rf"(?<=[{word_set}])<(?!=)(?:{inner}*?(?<!=))>(?=[(){{}}\[\],;:=.&|>?iNsgrxZq!l]|\Z)|(?<=[=(,:?])<[iA,xTU=]+>(?=\()")
     return Grammar(
-        lexer, fixed, _classifier(), rewrite, {b: [full(p) for p in ps] for b, ps in roles.items()}, full(stmts), generics, [("{", 0), ("{", 3), ("{", 4), ("{", 6)]
+        lexer, fixed, _classifier(number=_DIGITS + "n?"), rewrite, {b: [full(p) for p in ps] for b, ps in roles.items()}, full(stmts), generics, [("{", 0), ("{", 3), ("{", 4), ("{", 6)]
     )
 
 
@@ -352,9 +358,11 @@ def _java(trailing_comma: bool) -> Grammar:
         "{": [stmts, members, rf"(?:{_list(constant)})(?:;{members})?", cases, _list(rf"{item}|@{qn}{P['A']}?")],
     }
     top = rf"(?:{ann}*Mm?{qn}(?:\.\*)?;|;)*(?>{kls}|;)*"
-    inner = rf"[iT.,&?xl@\[\]m]"
-    generics = re.compile(rf"(?<=[im.;{{}}\)c])<{inner}*>(?=[(){{}}\[\],;:=.&|>?imTcegx@]|\Z)|(?<=[SYmd;{{}}])<{inner}*>(?=[iT])")
-    return Grammar(lexer, fixed, _classifier("\"'", ""), [], {b: [full(p) for p in ps] for b, ps in roles.items()}, full(top), generics)
+    plain = r"(?:@i)*(?:i(?:\.i)*|T)(?:\[\])*"
+    argument = rf"(?:(?:@i)*\?(?:[xl]{plain})?|{plain}(?:x{plain}(?:&{plain})*)?)"
+    inner = rf"(?:{argument}(?:,{argument})*)?"
+    generics = re.compile(rf"(?<=[im.;{{}}\)c])<{inner}>(?=[(){{}}\[\],;:=.&|>?imTcegx@]|\Z)|(?<=[SYmd;{{}}])<{inner}>(?=[iT])")
+    return Grammar(lexer, fixed, _classifier("\"'", "", _DIGITS.replace("0-9a-fA-F_]+", "0-9a-fA-F_]+(?:\\.?[0-9a-fA-F_]*[pP][+-]?\\d+)?") + "[lLfFdD]?"), [], {b: [full(p) for p in ps] for b, ps in roles.items()}, full(top), generics)
 
 
 # --------------------------------------------------------------------------- Go
@@ -422,7 +430,7 @@ def _go() -> Grammar:
     top = rf";*Ki;+(?:m(?:[i.]?s|{P['D']});+)*(?:(?:f{P['F']}?i{K['P']}?{P['F']}{result}{G['S']}?|{decl})(?:;+|\Z))*"
     rewrite = _rx((r"(?<=[insRbp)\]}])N", ";"), (r"N", ""), (r";(?=\))", ";"), (r"^;+", ""))
 
-    classify = _classifier()
+    classify = _classifier(number=_DIGITS.replace("0-9a-fA-F_]+", "0-9a-fA-F_]+(?:\\.?[0-9a-fA-F_]*[pP][+-]?\\d+)?") + "i?")
     grammar = Grammar(lexer, fixed, lambda t: "s" if t[0] == "`" and len(t) > 1 else classify(t), rewrite, {b: [full(p) for p in ps] for b, ps in roles.items()}, full(top))
     return grammar
 
@@ -504,7 +512,7 @@ def _rust() -> Grammar:
     top = rf"(?:#!{any_k})*(?>{item}|;)*"
     inner = r"[iLn.,&*+?=:CdkmcT!gls\[\](){};eA]"
     generics = re.compile(rf"(?<=[ikfQCd])C?<{inner}*?>(?=[(){{}}\[\],;:=.&|>+?iChgrjoQk!AL]|\Z)|(?<=C)<{inner}*>|(?<=[=(,;{{&])<{inner}*>(?=C)")
-    base = _classifier("", "")
+    base = _classifier("", "", r"(?:0x[0-9a-fA-F_]+?|0b[01_]+|0o[0-7_]+|\d[\d_]*(?:\.\d[\d_]*|\.)?(?:[eE][+-]?[\d_]+)?)(?:_?[iu](?:8|16|32|64|128|size)|_?f(?:32|64))?")
 
     def classify(t: str) -> str:
         if t[0] == "'":
