@@ -36,7 +36,11 @@ def merge_hits(*engines: DataFrame, overlap_lines: int = 3) -> DataFrame:
     Rows need ``file_path`` and lines; null scores count as 0. Works for many queries at once (query_id). Empty inputs
     give no rows.
     """
-    hits = union_hits(*engines)
+    return merge_ordered(union_hits(*engines), overlap_lines)
+
+
+def merge_ordered(hits: DataFrame, overlap_lines: int = 3) -> DataFrame:
+    """merge_hits over one frame of hits with ``ord``, for engines whose hits come from one scan."""
     for name in ("grep_score", "semantic_score", "ast_score", "semantic_raw_score", "semantic_norm_score", "last_modified"):
         hits = hits.withColumn(name, F.coalesce(name, F.lit(0.0)))
     hits = hits.withColumn("preview", F.coalesce("preview", F.lit("")))

@@ -14,6 +14,7 @@ from lodeseam.functions import text as tx
 from lodeseam.functions import vectors as vx
 from lodeseam.operators import chunking, diversity, embedding, feedback, graph, incremental, merge, ranking, search, structural
 from lodeseam.plans import planner
+from lodeseam.schemas import as_hits
 from lodeseam.sources import assembly, corpus
 from lodeseam.streaming import refresh
 
@@ -333,16 +334,20 @@ def embedding_cache_lookup(spark, sf_dir):
 # --------------------------------------------------------------------------- hits: merge, score, filter
 
 
-def engine_hits(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """grep, semantic and AST hits over the chunks, with scores that SQL can repeat."""
+def engine_hits(spark, sf_dir) -> DataFrame:
+    """grep, semantic and AST hits over the chunks, with scores that SQL can repeat; one scan serves the three."""
     rows = chunks(spark, sf_dir).filter("file_path is not null and content is not null and start_line is not null").select(
         "file_path", "start_line", (F.col("start_line") + F.size(F.split("content", "\n")) - 1).alias("end_line"), F.col("content").alias("preview"), "symbols", "language", "last_modified", "docstring", "chunk_type"
     )
     n = sum((tx.occurrences(F.lower("preview"), F.lit(t)) for t in ("load", "window")), F.lit(0))
-    grep = rows.withColumn("grep_score", F.least(F.lit(1.0), n / 10.0)).filter("grep_score > 0").withColumn("source", F.lit("grep"))
-    semantic = rows.filter("length(docstring) > 40").withColumn("semantic_score", F.least(F.lit(1.0), F.length("docstring") / 400.0)).withColumn("source", F.lit("semantic"))
-    ast = rows.filter("chunk_type = 'class'").withColumn("ast_score", F.lit(0.9)).withColumn("source", F.lit("ast"))
-    return grep, semantic, ast
+    one = lambda k, name, test, score: F.when(test, F.struct(F.lit(k).alias("ord"), F.lit(name).alias("source"), score.cast("double").alias("score")))
+    long = F.length("docstring")
+    found = F.array(
+        one(0, "grep", n > 0, F.least(F.lit(1.0), n / 10.0)), one(1, "semantic", long > 40, F.least(F.lit(1.0), long / 400.0)), one(2, "ast", F.col("chunk_type") == "class", F.lit(0.9))
+    )
+    hits = rows.withColumn("e", F.explode(F.array_compact(found)))
+    scores = {f"{name}_score": F.when(F.col("e.source") == name, F.col("e.score")).otherwise(0.0) for name in ("grep", "semantic", "ast")}
+    return as_hits(hits.withColumns(scores).withColumn("source", F.col("e.source")).withColumn("ord", F.col("e.ord")), "ord")
 
 
 _HITS = (
@@ -366,7 +371,7 @@ _MERGED = (
 @query(f"SELECT file_path, start_line::INT AS start_line, end_line::INT AS end_line, source, round(grep_score, 6) AS grep_score, round(semantic_score, 6) AS semantic_score, ast_score, md5(preview) AS preview_hash, symbols FROM {_MERGED}")
 def hybrid_merge(spark, sf_dir):
     """[J1, U1, U4, W4, A1] the hits of three engines over all chunks, merged."""
-    m = merge.merge_hits(*engine_hits(spark, sf_dir))
+    m = merge.merge_ordered(engine_hits(spark, sf_dir))
     return m.select("file_path", "start_line", "end_line", "source", F.round("grep_score", 6).alias("grep_score"), F.round("semantic_score", 6).alias("semantic_score"), "ast_score", F.md5("preview").alias("preview_hash"), F.coalesce("symbols", F.expr("cast(array() as array<string>)")).alias("symbols"))
 
 
@@ -379,7 +384,7 @@ _SCORED = (
 
 
 def scored(spark, sf_dir) -> DataFrame:
-    return ranking.score_hits(merge.merge_hits(*engine_hits(spark, sf_dir)), F.lit(QUERY), NOW)
+    return ranking.score_hits(merge.merge_ordered(engine_hits(spark, sf_dir)), F.lit(QUERY), NOW)
 
 
 @query(f"SELECT file_path, start_line::INT AS start_line, end_line::INT AS end_line, round(score, 6) AS score FROM {_SCORED}")
@@ -399,7 +404,7 @@ def precise_filter(spark, sf_dir):
 @query()
 def find_hybrid(spark, sf_dir):
     """The flagship: three engines, merge, score, deduplication, cap per file, the ten best. [T3, W2, W3]"""
-    return ranking.rerank(merge.merge_hits(*engine_hits(spark, sf_dir)), F.lit(QUERY), NOW, k=10).select("rank", "file_path", "start_line", "end_line", "source", F.round("score", 6).alias("score"), tx.truncated(F.element_at(F.split("preview", "\n"), 1)).alias("first_line"))
+    return ranking.rerank(merge.merge_ordered(engine_hits(spark, sf_dir)), F.lit(QUERY), NOW, k=10).select("rank", "file_path", "start_line", "end_line", "source", F.round("score", 6).alias("score"), tx.truncated(F.element_at(F.split("preview", "\n"), 1)).alias("first_line"))
 
 
 @query("SELECT doc_id FROM (SELECT doc_id, row_number() OVER (PARTITION BY md5(trim(regexp_replace(coalesce(text, ''), '[\\s\\x0B\\x1c-\\x1f\\x{85}\\x{a0}]+', ' ', 'g'))) ORDER BY n_chars DESC NULLS LAST, doc_id) AS rn FROM documents) WHERE rn = 1")
@@ -528,7 +533,7 @@ def graph_filter(spark, sf_dir):
     """[F6, J10, J12, U3] merged hits related to classes that extend others."""
     edges = graph.graph_edges(chunks(spark, sf_dir)).filter("edge_type = 'inherits'")
     related = edges.select(F.col("source_file").alias("file_path"), F.col("source").alias("symbol"))
-    return ranking.only_related(merge.merge_hits(*engine_hits(spark, sf_dir)), related).select("file_path", "start_line", "end_line")
+    return ranking.only_related(merge.merge_ordered(engine_hits(spark, sf_dir)), related).select("file_path", "start_line", "end_line")
 
 
 @query()

@@ -33,8 +33,8 @@ def fields(ddl: str) -> list[tuple[str, str]]:
     return [(f.name, f.dataType.simpleString()) for f in StructType.fromDDL(ddl)]
 
 
-def as_hits(df: DataFrame) -> DataFrame:
-    """The frame with exactly the hit columns: what is missing gets its neutral value, what is more goes."""
+def as_hits(df: DataFrame, *keep: str) -> DataFrame:
+    """The frame with exactly the hit columns, and those to keep: what is missing gets its neutral value, what is more goes."""
     out = []
     for name, kind in fields(HIT):
         if name in df.columns:
@@ -49,4 +49,4 @@ def as_hits(df: DataFrame) -> DataFrame:
             out.append(F.lit(0).cast("bigint").alias(name))
         else:
             out.append(F.lit(None).cast(kind).alias(name))
-    return df.select(*out)
+    return df.select(*out, *keep)
