@@ -217,18 +217,17 @@ def nearest_vectors(
                 out: list[tuple[str, list[tuple[float, str]]]] = []
                 unit = _unit(members[0])
                 narrow = unit.astype(np.float32)
+                names = np.argsort(np.argsort(np.array([h[0] for h in members[1]], dtype=object), kind="stable"))
                 for i in range(0, len(queries[0]), 1024):
                     q = _unit(queries[0][i : i + 1024])
                     sims = q.astype(np.float32) @ narrow.T
                     if members is queries:
                         sims[np.arange(len(q)), np.arange(i, i + len(q))] = -2.0
-                    take = min(k + 3, len(narrow))
-                    part = np.argpartition(-sims, take - 1, axis=1)[:, :take]
-                    # copies of a vector agree to the last digits only; 14 digits make them ties
-                    exact = np.round(np.einsum("ijk,ik->ij", unit[part], q), 14)
-                    exact[np.take_along_axis(sims, part, 1) == -2.0] = -2.0
-                    for own, found, cosines in zip(queries[1][i : i + 1024], part.tolist(), exact.tolist()):
-                        near = [(-c, h) for j, c in zip(found, cosines) if c > -1.5 for h in members[1][j][: k + 1]]
+                    rows, found, cosines = _nearest_rows(sims, q, unit, names, k)
+                    cuts = np.searchsorted(rows, np.arange(len(q) + 1)).tolist()
+                    found, cosines = found.tolist(), cosines.tolist()
+                    for own, a, b in zip(queries[1][i : i + 1024], cuts, cuts[1:]):
+                        near = [(-c, h) for j, c in zip(found[a:b], cosines[a:b]) for h in members[1][j][: k + 1]]
                         if len(own) > 1:
                             near += [(-1.0, h) for h in own[: k + 1]]
                         near.sort()
@@ -258,6 +257,26 @@ def _collapse(raw: np.ndarray, hashes: list[list[str]]) -> tuple[np.ndarray, lis
     return raw[first], [sorted(set(m)) for m in members]
 
 
+def _nearest_rows(sims: np.ndarray, queries: np.ndarray, unit: np.ndarray, names: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, row, cosine), sorted by query: the k + 1 best rows in double precision, ties to the smaller of ``names``.
+
+    ``sims`` are the similarities in single precision, below -1.5 for rows that do not count. Every row that its rounding
+    leaves in reach of the k-th best is a candidate, however many these are.
+    """
+    n, d = unit.shape
+    cosine = lambda i, j: np.round(np.einsum("ij,ij->i", unit[j], queries[i]), 14)
+    least = np.partition(sims, n - min(k, n), axis=1)[:, n - min(k, n)]
+    # a product of unit vectors is off by (d + 2) units of rounding at most, the k-th best as well
+    i, j = np.nonzero((sims >= (least - 2 * (d + 4) * 2.0**-24)[:, None]) & (sims > -1.5))
+    # copies of a vector agree to the last digits only; 14 digits make them ties
+    found = cosine(i, j) if len(i) <= 32 * len(queries) else np.round(queries @ unit.T, 14)[i, j]
+    order = np.lexsort((names[j], -found, i))
+    i, j = i[order], j[order]
+    kept = np.arange(len(i)) - np.searchsorted(i, i) <= k
+    i, j = i[kept], j[kept]
+    return i, j, cosine(i, j)
+
+
 def hash_block(text: str) -> int:
     """A stable number for a hash string."""
     return zlib.crc32(text.encode())

@@ -53,6 +53,22 @@ def test_hot_group_of_copies(spark):
     assert all(r["cosine"] == pytest.approx(1.0) for r in got)
 
 
+def test_hot_group_of_near_copies(spark):
+    """More near and rescaled copies than single precision tells apart: the true neighbours, ties by hash."""
+    rng = np.random.default_rng(5)
+    base = rng.normal(size=96)
+    rows = {f"near{i:03d}": (base + 1e-4 * rng.normal(size=96)).astype(np.float32).tolist() for i in range(300)}
+    scaled = np.array(base, dtype=np.float32)
+    rows |= {f"size{i:02d}": (scaled * np.float32(2.0 ** (i - 15))).tolist() for i in range(30)}
+    want = brute(rows, 5)
+    for block in (10_000, 100):
+        got: dict = {}
+        for r in nearest_vectors(frame(spark, rows), {"m": 96}, list_size=10_000, block=block).orderBy("text_hash", "rank").collect():
+            got.setdefault(r["text_hash"], []).append(r["neighbour"])
+        assert got["size20"] == [f"size{i:02d}" for i in range(5)]
+        assert got == want
+
+
 def test_unusable_rows(spark):
     nan, inf = float("nan"), float("inf")
     rows = [
