@@ -48,6 +48,10 @@ class Engine:
             raise FileNotFoundError("not indexed")
         return self.spark.read.parquet(str(self.store / version / name))
 
+    def vectors(self) -> DataFrame:
+        """(chunk_id, embedding) of the current index."""
+        return self.table("chunks").select("chunk_id", "embedding")
+
     def files(self) -> DataFrame:
         return corpus.read_files(self.spark, self.root, self.ignore)
 
@@ -146,7 +150,7 @@ class Engine:
             variants = planner.expanded_queries(query, expander)[:3]
         chunks = self.table("chunks")
         asked = embed(self.spark.createDataFrame(list(enumerate(variants)), "variant bigint, text string"), "text", self.embedder)
-        found = search.vector_search(asked, chunks, limit, "variant", "chunk_id", "embedding", exclude_self=False)
+        found = search.vector_search(asked, self.vectors(), limit, "variant", "chunk_id", "embedding", exclude_self=False)
         scored = found.select(F.lit(0).cast("bigint").alias("query_id"), F.col("query_id").cast("int").alias("variant"), "row_id", vx.distance_to_score(1 - F.col("cosine")).alias("score"))
         best = search.best_of_variants(scored).withColumn("norm", vx.min_max(F.col("score"), "query_id"))
         top = best.withColumn("bounded", vx.confidence_bounds(F.col("norm"))).orderBy(F.desc("bounded"), F.desc("score"), "row_id").limit(limit)
@@ -187,16 +191,18 @@ class Engine:
         current_file: str | None = None,
         affinity: dict[str, float] | None = None,
         ltr: dict[str, float] | None = None,
-        ast_top_files: int = 100,
-        ast_max_matches: int = 500,
+        ast_top_files: int | None = 100,
+        ast_max_matches: int | None = 500,
         now: float | None = None,
+        plan: planner.QueryPlan | None = None,
         **options,
     ) -> DataFrame:
         """§3.2: the planned engines, merged, scored and reranked; the k best with their rank.
 
-        Without an index the semantic engine is left out. ``options`` are those of plan_query.
+        Without an index the semantic engine is left out. ``options`` are those of plan_query; a ``plan`` replaces its plan.
+        Without ast_top_files and ast_max_matches the structural engine takes all files and all matches.
         """
-        plan = planner.plan_query(query, precise=precise, **options)
+        plan = plan or planner.plan_query(query, precise=precise, **options)
         files = self.files()
         if languages:
             files = files.filter(F.col("language").isin(languages))
@@ -207,14 +213,15 @@ class Engine:
         ast = self._empty()
         if plan.run_ast:
             scope = files
-            if not plan.ast_exhaustive:
+            if not plan.ast_exhaustive and ast_top_files is not None:
                 found = (grep if plan.run_grep else semantic).groupBy("file_path").agg(F.max(F.greatest("grep_score", "semantic_score")).alias("best"))
                 scope = files.join(found.orderBy(F.desc("best"), "file_path").limit(ast_top_files), "file_path", "left_semi")
             runs = [(plan.ast_language, list(plan.ast_patterns), None)] if plan.ast_patterns else []
             runs += [(*structural.load_rule(r), r) for r in plan.ast_rules]
             for language, patterns, rule in runs:
                 ast = ast.unionByName(as_hits(structural.structural_search(scope, patterns, language, rule)))
-            ast = ast.orderBy("file_path", "start_line", "start_col").limit(ast_max_matches)
+            if ast_max_matches is not None:
+                ast = ast.orderBy("file_path", "start_line", "start_col").limit(ast_max_matches)
         merged = merge.merge_hits(grep, semantic, ast)
         edges = graph.graph_edges(self.table("chunks")) if self.has_index() else None
         related = None
@@ -228,8 +235,10 @@ class Engine:
             merged, F.lit(query), time.time() if now is None else now, weights.adapted(profile["query_type"], profile["confidence"]), plan.ast_exhaustive,
             feedback.affinity_of(F.col("file_path"), affinity or {}), ranking.context_match(F.col("file_path"), current_file, imports), ltr=ltr,
         )
-        vectors = embed(scored, "preview", self.embedder, "vector")
-        ordered = diversity.mmr_rerank(vectors, diversity.LEVELS[diverse]).drop("vector", "rank")
+        level = diversity.LEVELS[diverse]
+        # only what MMR looks at is embedded
+        candidates = ranking.top_hits(ranking.dedupe_previews(scored), level.max_candidates)
+        ordered = diversity.mmr_rerank(embed(candidates, "preview", self.embedder, "vector"), level).drop("vector", "rank")
         cap = ordered.withColumn("score_kept", F.col("score")).withColumn("score", -F.col("mmr_rank").cast("double"))
         capped = ranking.cap_per_file(cap, max_per_file)
         if precise:

@@ -246,7 +246,11 @@ def matches_to_hits(matches: DataFrame, files: DataFrame, path: str = "file_path
     The matching lines of a file travel to its text as an array; a file without matches is not read into Python.
     """
     wanted = matches.groupBy("file_path").agg(F.sort_array(F.collect_set("line_no")).alias("hit_lines"))
-    joined = files.select(F.col(path).alias("file_path"), F.col(text).alias("content")).join(wanted, "file_path")
+    return line_blocks(files.select(F.col(path).alias("file_path"), F.col(text).alias("content")).join(wanted, "file_path"), half)
+
+
+def line_blocks(files: DataFrame, half: int = 15, once: bool = False) -> DataFrame:
+    """P20 over files that carry their matching lines as ``hit_lines``; ``once`` gives a block that holds several of them one row, that of the first."""
     schema = "file_path string, line_no int, start_line int, end_line int, preview string, block_type string, block_name string"
     arrow = to_arrow_schema(StructType.fromDDL(schema))
 
@@ -255,11 +259,15 @@ def matches_to_hits(matches: DataFrame, files: DataFrame, path: str = "file_path
             out = []
             for p, t, hits in zip(*(batch.column(k).to_pylist() for k in range(3))):
                 lines = (t or "").replace("\r\n", "\n").split("\n")
+                seen = set()
                 for n in hits:
                     found = block_bounds(lines, n)
                     first, last, kind, name = found or (max(1, n - half), min(len(lines), n + half), "file", None)
+                    if once and (first, last) in seen:
+                        continue
+                    seen.add((first, last))
                     out.append((p, n, first, last, "\n".join(lines[first - 1 : last]), kind, name))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*out), arrow)], schema=arrow)
 
-    return joined.select("file_path", "content", "hit_lines").mapInArrow(run, schema)
+    return files.select("file_path", "content", "hit_lines").mapInArrow(run, schema)

@@ -36,7 +36,19 @@ def grep(files: DataFrame, pattern: str, fixed: bool = False, ignore_case: bool
     Files that cannot match are dropped before they are cut into lines: the pattern itself, or a text that it requires,
     is looked for in the whole content first, which reaches the scan.
     """
-    content = F.col(text)
+    whole, test = _tests(F.col(text), pattern, fixed, ignore_case)
+    return lines_of(files.filter(whole), path, text).filter(test(F.col("line")))
+
+
+def matching_lines(files: DataFrame, pattern: str, fixed: bool = False, ignore_case: bool = False, text: str = "content") -> DataFrame:
+    """The files that grep finds lines in, with these lines' numbers as ``hit_lines``; nothing is moved."""
+    whole, test = _tests(F.col(text), pattern, fixed, ignore_case)
+    numbers = F.transform(F.split(F.col(text), "\n"), lambda line, at: F.when(test(F.regexp_replace(line, "\r$", "")), at + 1))
+    return files.filter(whole).withColumn("hit_lines", F.array_compact(numbers)).filter(F.size("hit_lines") > 0)
+
+
+def _tests(content, pattern: str, fixed: bool, ignore_case: bool):
+    """grep's test of a whole text, and that of a line."""
     if fixed:
         needle = pattern.lower() if ignore_case else pattern
         whole = F.contains(F.lower(content) if ignore_case else content, F.lit(needle))
@@ -46,7 +58,7 @@ def grep(files: DataFrame, pattern: str, fixed: bool = False, ignore_case: bool
         whole = F.contains(content, F.lit(literal)) if literal else F.lit(True)
         regex = F.lit(("(?i)" if ignore_case else "") + pattern)
         test = lambda c: F.rlike(c, regex)
-    return lines_of(files.filter(whole), path, text).filter(test(F.col("line")))
+    return whole, test
 
 
 def limit_per_file(matches: DataFrame, per_file: int, total: int | None = None) -> DataFrame:

@@ -6,10 +6,12 @@ Names in brackets are the operators of the survey that a query covers.
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lodeseam.engine import Engine
 from lodeseam.functions import text as tx
 from lodeseam.functions import vectors as vx
 from lodeseam.operators import chunking, diversity, embedding, feedback, graph, incremental, merge, ranking, search, structural
@@ -335,7 +337,7 @@ def embedding_cache_lookup(spark, sf_dir):
 
 
 def engine_hits(spark, sf_dir) -> DataFrame:
-    """grep, semantic and AST hits over the chunks, with scores that SQL can repeat; one scan serves the three."""
+    """Stand-ins for the hits of the three engines, with scores that SQL can repeat, for the queries that SQL checks; no engine runs, find_hybrid runs them."""
     rows = chunks(spark, sf_dir).filter("file_path is not null and content is not null and start_line is not null").select(
         "file_path", "start_line", (F.col("start_line") + F.size(F.split("content", "\n")) - 1).alias("end_line"), F.col("content").alias("preview"), "symbols", "language", "last_modified", "docstring", "chunk_type"
     )
@@ -370,7 +372,7 @@ _MERGED = (
 
 @query(f"SELECT file_path, start_line::INT AS start_line, end_line::INT AS end_line, source, round(grep_score, 6) AS grep_score, round(semantic_score, 6) AS semantic_score, ast_score, md5(preview) AS preview_hash, symbols FROM {_MERGED}")
 def hybrid_merge(spark, sf_dir):
-    """[J1, U1, U4, W4, A1] the hits of three engines over all chunks, merged."""
+    """[J1, U1, U4, W4, A1] stand-in hits of three engines over all chunks, merged."""
     m = merge.merge_ordered(engine_hits(spark, sf_dir))
     return m.select("file_path", "start_line", "end_line", "source", F.round("grep_score", 6).alias("grep_score"), F.round("semantic_score", 6).alias("semantic_score"), "ast_score", F.md5("preview").alias("preview_hash"), F.coalesce("symbols", F.expr("cast(array() as array<string>)")).alias("symbols"))
 
@@ -389,7 +391,7 @@ def scored(spark, sf_dir) -> DataFrame:
 
 @query(f"SELECT file_path, start_line::INT AS start_line, end_line::INT AS end_line, round(score, 6) AS score FROM {_SCORED}")
 def hybrid_score(spark, sf_dir):
-    """[X4-X7, X9, D13] the score of every merged hit."""
+    """[X4-X7, X9, D13] the score of every merged stand-in hit."""
     return scored(spark, sf_dir).select("file_path", "start_line", "end_line", F.round("score", 6).alias("score"))
 
 
@@ -401,10 +403,44 @@ def precise_filter(spark, sf_dir):
     return ranking.precise(scored(spark, sf_dir)).select("file_path", "start_line", "end_line")
 
 
+QUERY_TERMS = ("load", "window", "cache")
+STRUCTURES = ("class $NAME", "$X.load($$$)")
+
+
+class TableEngine(Engine):
+    """The engine over the test tables: the files put together from code_chunks, the chunks with their rich text embedded as index."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        super().__init__(spark, ROOT, sf_dir)
+        self.sf_dir = sf_dir
+
+    def has_index(self) -> bool:
+        return True
+
+    def files(self) -> DataFrame:
+        return files(self.spark, self.sf_dir)
+
+    def table(self, name: str) -> DataFrame:
+        return chunks(self.spark, self.sf_dir)
+
+    def vectors(self) -> DataFrame:
+        return embed_chunks(self.spark, self.sf_dir)
+
+    def _grep(self, plan: planner.QueryPlan, files: DataFrame, query: str, k: int) -> DataFrame:
+        """All matching lines, in either case; a block counts once."""
+        hits = chunking.line_blocks(search.matching_lines(files, plan.grep_pattern, ignore_case=True), once=True)
+        base = search.base_score(len(query.split()), plan.run_semantic, plan.grep_fixed)
+        relevance = tx.grep_relevance(F.col("preview"), F.col("file_path"), list(QUERY_TERMS), F.col("end_line") - F.col("start_line") + 1, base)
+        return as_hits(hits.withColumn("source", F.lit("grep")).withColumn("symbols", tx.python_symbols(F.col("preview"))).withColumn("grep_score", relevance))
+
+
 @query()
 def find_hybrid(spark, sf_dir):
-    """The flagship: three engines, merge, score, deduplication, cap per file, the ten best. [T3, W2, W3]"""
-    return ranking.rerank(merge.merge_ordered(engine_hits(spark, sf_dir)), F.lit(QUERY), NOW, k=10).select("rank", "file_path", "start_line", "end_line", "source", F.round("score", 6).alias("score"), tx.truncated(F.element_at(F.split("preview", "\n"), 1)).alias("first_line"))
+    """The flagship: line search, vector search and structural search over whole tables, merge, score, MMR, cap per file, the ten best. [T3, W2, W3, W5]"""
+    plan = planner.plan_query(QUERY, ast_patterns=STRUCTURES)
+    plan = replace(plan, mode="hybrid", run_grep=True, run_semantic=True, grep_pattern="|".join(QUERY_TERMS), semantic_query=plan.semantic_query or QUERY)
+    hits = TableEngine(spark, sf_dir).find(QUERY, k=10, ast_top_files=None, ast_max_matches=None, now=NOW, plan=plan)
+    return hits.select("rank", "file_path", "start_line", "end_line", "source", F.round("score", 6).alias("score"), tx.truncated(F.element_at(F.split("preview", "\n"), 1)).alias("first_line"))
 
 
 @query("SELECT doc_id FROM (SELECT doc_id, row_number() OVER (PARTITION BY md5(trim(regexp_replace(coalesce(text, ''), '[\\s\\x0B\\x1c-\\x1f\\x{85}\\x{a0}]+', ' ', 'g'))) ORDER BY n_chars DESC NULLS LAST, doc_id) AS rn FROM documents) WHERE rn = 1")

@@ -28,6 +28,25 @@ def test_line_search_reads_two_columns_and_pushes_the_literal(spark):
     assert "StringContains(text,index)" in p and "ReadSchema: struct<doc_id:bigint,text:string,source:string>" in p and "Exchange" not in p
 
 
+def test_find_hybrid_runs_the_engines(spark, tmp_path):
+    """All terms of the query count, structure is found in the text, and the query's vector decides what is semantic."""
+    rows = [
+        ("c1", "/srv/checkouts/p/a.py", 1, "def get(key):\n    return cache[key]\n", "function", None),
+        ("c2", "/srv/checkouts/p/b.py", 1, "x = 1\nclass Apple:\n    pass\n", "function", None),
+        ("c3", "/srv/checkouts/p/c.py", 1, "def pear():\n    return 2\n", "function", "Nothing that the question asks for, but a docstring of more than forty characters."),
+        ("c4", "/srv/checkouts/p/d.py", 1, "def where_do_we_load_the_window_cache():\n    return None\n", "function", None),
+    ]
+    table = spark.createDataFrame(rows, "chunk_id string, file_path string, start_line int, content string, chunk_type string, docstring string")
+    none = {"symbols": "array<string>", "language": "string", "last_modified": "double", "parent_symbol": "string", "imports": "array<string>", "calls": "array<string>", "inherits": "array<string>", "project": "string"}
+    table = table.withColumns({"end_line": F.lit(3), "indexed_at": F.lit(1.0), **{k: F.lit(None).cast(t) for k, t in none.items()}})
+    table.write.parquet(str(tmp_path / "code_chunks.parquet"))
+    got = {r["file_path"][-4:]: r for r in QUERIES["find_hybrid"](spark, str(tmp_path)).collect()}
+    assert got["a.py"]["source"] in ("grep", "hybrid")
+    assert got["b.py"]["source"] in ("ast", "hybrid")
+    assert got["d.py"]["source"] == "hybrid" and got["d.py"]["rank"] == 1
+    assert "c.py" not in got or got["c.py"]["score"] < got["d.py"]["score"]
+
+
 @needs_tables
 def test_merge_shuffles_by_file_once(spark):
     p = plan(QUERIES["hybrid_merge"](spark, str(DATA)))
