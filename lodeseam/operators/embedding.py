@@ -13,18 +13,18 @@ from pyspark.sql import functions as F
 
 from lodeseam.operators.incremental import cache_split
 
-MAX_CHARS, DIMENSION = 8000, 256
+DIMENSION = 256
 _PART = re.compile(r"[A-Z]+(?=[A-Z][a-z])|[A-Z]?[a-z]+|[A-Z]+|\d+|[^\W\d_A-Za-z]+")
 Embedder = Callable[[list[str]], np.ndarray]
 _buckets: dict[str, tuple[int, float]] = {}
 
 
 def hashing_embedder(texts: list[str], dimension: int = DIMENSION) -> np.ndarray:
-    """Feature hashing: the parts of words, signed by their MD5, damped and scaled to unit length. No model is needed."""
+    """Feature hashing: the parts of words, signed by their MD5, damped and scaled to unit length. No model is needed; the whole text counts."""
     out = np.zeros((len(texts), dimension), dtype=np.float32)
     for row, text in enumerate(texts):
         counts: dict[str, int] = {}
-        for part in _PART.findall(text[:MAX_CHARS]):
+        for part in _PART.findall(text):
             part = part.lower()
             counts[part] = counts.get(part, 0) + 1
         for part, n in counts.items():

@@ -120,3 +120,11 @@ def test_mmr_frame(spark):
 
 def test_hits_have_all_columns(spark):
     assert as_hits(spark.createDataFrame([("a",)], "file_path string")).columns == [x.split()[0] for x in HIT.split(", ")]
+
+
+def test_embedding_reads_the_whole_text():
+    from lodeseam.operators.embedding import hashing_embedder
+
+    head = "alpha " * 2000
+    short, long = hashing_embedder([head, head + "omega"])
+    assert (short != long).any()
