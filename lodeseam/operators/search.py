@@ -20,13 +20,32 @@ def lines_of(files: DataFrame, path: str = "file_path", text: str = "content") -
 
 
 def required_literal(pattern: str) -> str | None:
-    """The longest text that every match of a regular expression must hold, where that is plain to see."""
+    """The longest text that every match of a regular expression must hold; None where that is not plain to see.
+
+    Only single characters, their escapes, simple classes and quantifiers are read; any group, alternative, nested class
+    or escape that takes arguments gives None.
+    """
     import re
 
-    if "|" in pattern or "(?" in pattern:
-        return None
-    parts = re.split(r"\\.|\[[^\]]*\]|\([^)]*\)[*?]|.[*?]|.\{0[^}]*\}|[.^$+(){}]|\\$", pattern)
-    best = max(parts, key=len, default="")
+    token = re.compile(
+        r"\\(?P<quoted>[^A-Za-z0-9])|(?P<other>\\[dDsSwWbBhHvVRAzZGtnrfae]|[.^$]|\[\^?(?:[^\[\]\\&^]|\\[^QE])(?:[^\[\]\\&]|\\[^QE])*\])|(?P<times>[*+?]|\{(?P<least>\d+)(?:,\d*)?\})[?+]?|(?P<plain>[^\\\[\](){}|])", re.S
+    )
+    runs, at, repeated = [""], 0, False
+    while at < len(pattern):
+        m = token.match(pattern, at)
+        if m is None or (repeated and m["times"]):
+            return None
+        repeated = bool(m["times"])
+        at = m.end()
+        if m["times"]:
+            if m["times"] in "*?" or (m["least"] and int(m["least"]) == 0):
+                runs[-1] = runs[-1][:-1]
+            runs.append("")
+        elif m["other"]:
+            runs.append("")
+        else:
+            runs[-1] += m["quoted"] or m["plain"]
+    best = max(runs, key=len)
     return best if len(best) >= 3 else None
 
 

@@ -114,3 +114,9 @@ def test_state(spark, tmp_path):
     assert [r["query"] for r in state.read_feedback(spark, str(tmp_path / "log.json")).collect()] == ["q"]
     assert state.render([]) == "No results."
     assert "a.py" in state.render([{"file_path": "a.py", "start_line": 1, "end_line": 2, "source": "grep", "score": 0.5, "preview": "x" * 90}])
+
+
+def test_literal_prefilter_invents_nothing():
+    for pattern in (r"\p{Alpha}+Error", r"\p{Upper}\w+", r"\p{Punct}{3}", r"\x41bcd", r"(abc){0,2}x", r"(foo(bar)baz)?x", r"a{100}", r"[\]abc]+x", r"xyz{2}{0}"):
+        assert search.required_literal(pattern) is None, pattern
+    assert search.required_literal(r"\s*foo") == "foo" and search.required_literal(r"foo\.bar+z") == "foo.bar" and search.required_literal(r"abcde{0,2}") == "abcd"
