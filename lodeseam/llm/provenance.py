@@ -5,20 +5,11 @@ from __future__ import annotations
 import re
 from collections import Counter
 
-import ahocorasick
 from pyspark.sql import DataFrame
 
 from lodeseam.llm.files import map_files
 
-# Phrases that open or make up a generation notice, by meaning, in several languages.
-NOTICE_PHRASES = (
-    "auto-generated", "autogenerated", "auto generated", "automatically generated", "automatically created", "automatically produced", "@generated", "code generated",
-    "generated code", "generated file", "generated by", "generated from", "machine-written", "machine-generated", "machine generated", "machine written", "do not edit", "do not modify",
-    "don't edit", "changes will be lost", "edits will be lost", "edits made here", "will be overwritten", "are overwritten", "instead of editing", "regenerate with", "built from template", "produced by", "emitter:",
-    "maschinell", "automatisch erzeugt", "automatisch generiert", "nicht bearbeiten", "nicht ändern", "produit par", "généré par", "généré automatiquement", "ne pas modifier", "ne pas éditer",
-    "generado por", "generado automáticamente", "no editar", "no modificar", "maintained upstream", "imported from", "upstream:", "contributors,", "a small library", "vendored from", "copied from", "all rights reserved", "copyright the",
-)
-# What a comment with such a phrase has to say to be a notice of generation.
+# What a comment has to say to be a notice of generation.
 NOTICE = re.compile(
     r"<auto-?generated\b|@generated\b|\bauto-?generated\b(?! ids?\b)|\bmachine[- ](?:written|generated)\b|\bcode generated\b(?=.*(?:by\b|do not edit))|"
     r"\bautomatically (?:generated|created|produced)\b|\b(?:this|the) file (?:is|was) (?:\w+ )?(?:generated|created|produced) by\b|^\W*(?:file |source |code )?generated (?:by|from|with)\b|"
@@ -60,17 +51,6 @@ MINIFIED_LINE, MINIFIED_SPACE = 160, 0.07
 HEAD_LINES, FOOT_LINES = 12, 4
 
 
-def _automaton() -> ahocorasick.Automaton:
-    automaton = ahocorasick.Automaton()
-    for phrase in NOTICE_PHRASES:
-        automaton.add_word(phrase, phrase)
-    automaton.make_automaton()
-    return automaton
-
-
-_cache: dict[str, ahocorasick.Automaton] = {}
-
-
 def _comments(lines: list[str], python: bool) -> list[str]:
     """Texts of the comment lines at the top (the whole leading comment, and as far as HEAD_LINES) and at the end."""
     found, leading = [], True
@@ -106,20 +86,16 @@ def provenance(path: str, text: str, project: str | None = None) -> str | None:
     if VENDORED.search(path):
         return "vendored"
     text = text.replace("\r\n", "\n")
-    if "automaton" not in _cache:
-        _cache["automaton"] = _automaton()
     python = path.endswith(".py")
     comments = _comments(text.split("\n"), python)
-    joined = "\n".join(comments).lower()
-    if next(_cache["automaton"].iter(joined), None) is not None:
-        for c in comments:
-            if BANNER.search(c):
-                return "vendored"
-            if NOTICE.search(c):
-                return "generated"
-            owner = OWNER.search(c)
-            if owner and project and owner.group(1).lower() != project.lower() and owner.group(1).lower() != "authors":
-                return "vendored"
+    for c in comments:
+        if BANNER.search(c):
+            return "vendored"
+        if NOTICE.search(c):
+            return "generated"
+        owner = OWNER.search(c)
+        if owner and project and owner.group(1).lower() != project.lower() and owner.group(1).lower() != "authors":
+            return "vendored"
     if GENERATED_PATH.search(path):
         return "generated"
     if MINIFIED_PATH.search(path):
@@ -157,7 +133,7 @@ def _by_content(text: str, python: bool) -> str | None:
 def file_provenance(chunks: DataFrame) -> DataFrame:
     """(file_path, project, provenance) for every file of the chunks; provenance is null for hand-written source.
 
-    Decided per file from its path and whole text: notices found by one multi-pattern automaton in the comments at its
+    Decided per file from its path and whole text: notices and banners in the comments at its
     top and end, path rules, and the shape of its lines. A null project only switches off the comparison of the
     copyright's owner with the project. An empty table gives no rows.
     """

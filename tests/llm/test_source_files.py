@@ -136,3 +136,12 @@ def test_file_frames(spark):
     assert got == {("/a.js", "loadUsers", 2), ("/a.js", "sortThem", 16), ("/a.js", "cached", 20), ("/d.py", "load", 4), ("/d.py", "inner", 22)}
     assert {(r["file_path"], r["provenance"]) for r in file_provenance(df).collect()} == {("/a.js", None), ("/vendor/b.js", "vendored"), ("/c.js", None), ("/d.py", None), ("/e.go", None)}
     assert documented_functions(df.limit(0)).count() == 0 and file_provenance(df.limit(0)).count() == 0
+
+
+def test_every_notice_and_banner_counts():
+    """Banners and notices that hold none of the commoner phrases."""
+    for line, want in (
+        ("jquery v3.5.1", "vendored"), ("underscore.js 1.13.6 - utility belt", "vendored"), ("@license MIT", "vendored"), ("(c) 2019 the lodash contributors", "vendored"),
+        ("Generated with openapi-generator", "generated"), ("This file was created by protoc", "generated"), ("Do not change this file", "generated"),
+    ):
+        assert provenance("/p/src/a.js", f"// {line}\nfunction f(a) {{\n  return a;\n}}\n", "p") == want, line
