@@ -46,14 +46,15 @@ def boundaries(lines: list[str]) -> list[list[int]]:
     return ranks
 
 
-def split_text(text: str, start_line: int = 1, limit: int = 2000, overlap: int = 3) -> list[tuple[int, int, str]]:
+def split_text(text: str, start_line: int = 1, limit: int = 2000, overlap: int = 3, keep_blank: bool = False) -> list[tuple[int, int, str]]:
     """(start_line, end_line, content) of pieces of at most ``limit`` code points.
 
     Prefix sums of the lines' lengths and sorted arrays of boundaries are searched by bisection for the last boundary
     under the limit, best rank first as long as the piece is at least half full. The next piece repeats the last
     ``overlap`` lines, fewer where the limit leaves no room for a new line, none within a line. A line longer than the
     limit is cut at its last gap between words or behind punctuation, and hard at the limit where there is none.
-    A text within the limit is its own single piece; blank pieces are left out.
+    A text within the limit is its own single piece; blank pieces are left out unless
+    ``keep_blank`` is set.
     """
     if limit < 1:
         raise ValueError("limit must be positive")
@@ -68,7 +69,7 @@ def split_text(text: str, start_line: int = 1, limit: int = 2000, overlap: int =
 
     def emit(begin: int, end: int, last: int) -> None:
         part = text[begin:end]
-        if part.strip():  # a blank piece would say nothing
+        if keep_blank or part.strip():  # a blank piece would say nothing
             pieces.append((start_line + bisect_right(starts, begin) - 1, start_line + last, part))
 
     begin = fresh = 0  # where the piece starts; the first text that no piece holds yet
@@ -128,7 +129,8 @@ def split_oversized(chunks: DataFrame, limit: int = 2000, overlap: int = 3) -> D
             out: list[tuple] = []
             for row in zip(*(batch.column(k).to_pylist() for k in range(batch.num_columns))):
                 chunk_id, project, path, start, kind, language, content = row
-                pieces = split_text(content, start if start is not None else 1, limit, overlap)
+                # a text of white space only has blank pieces, so every chunk has some
+                pieces = split_text(content, start if start is not None else 1, limit, overlap, not content.strip())
                 out.extend((chunk_id, project, path, k, len(pieces), a, b, kind, language, part) for k, (a, b, part) in enumerate(pieces))
                 if len(out) >= 4000:
                     yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*out), arrow)], schema=arrow)

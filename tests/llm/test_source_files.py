@@ -145,3 +145,11 @@ def test_every_notice_and_banner_counts():
         ("Generated with openapi-generator", "generated"), ("This file was created by protoc", "generated"), ("Do not change this file", "generated"),
     ):
         assert provenance("/p/src/a.js", f"// {line}\nfunction f(a) {{\n  return a;\n}}\n", "p") == want, line
+
+
+def test_blank_oversized_chunk_has_pieces(spark):
+    ddl = "chunk_id string, project string, file_path string, start_line int, chunk_type string, language string, content string, indexed_at double"
+    rows = [("spaces", "p", "a", 1, "block", "python", " " * 2001, 1.0), ("lines", "p", "a", 1, "block", "python", "\n" * 5000, 1.0), ("small", "p", "a", 1, "block", "python", "\n", 1.0)]
+    got = split_oversized(spark.createDataFrame(rows, ddl)).collect()
+    assert {r["chunk_id"] for r in got if r["piece"] == 0} == {"spaces", "lines"}
+    assert all(len(r["content"]) <= 2000 for r in got)
