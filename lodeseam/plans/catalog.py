@@ -163,7 +163,7 @@ def file_metadata(spark, sf_dir):
     """[S6, K8, X21] the manifest of the documents."""
     docs = table(spark, sf_dir, "documents")
     path = F.concat_ws("/", F.coalesce("source", F.lit("none")), "doc_id")
-    return docs.select(*corpus.metadata(path, F.col("text"), F.unix_micros(F.col("created_at").cast("timestamp")) / 1e6))
+    return docs.select(*corpus.metadata(path, F.col("text"), F.unix_micros(F.col("created_at").cast("timestamp")) / 1e6, sampled=True))
 
 
 def manifests(spark, sf_dir):

@@ -86,11 +86,14 @@ def ignore_patterns(text: str) -> list[str]:
     return [x.strip() for x in text.splitlines() if x.strip() and not x.strip().startswith("#")]
 
 
-def metadata(path: Column, content: Column, mtime: Column) -> list[Column]:
-    """Manifest columns of a file: its size in bytes and a hash of the first 8 KB and the size."""
+def metadata(path: Column, content: Column, mtime: Column, sampled: bool = False) -> list[Column]:
+    """Manifest columns of a file: its size in bytes and a hash of its content.
+
+    ``sampled`` hashes the first 8 KB and the size, for comparison with manifests that hold this form.
+    """
     binary = F.encode(content, "utf-8")
     size = F.octet_length(content).cast("bigint")
-    return [path.alias("path"), mtime.cast("double").alias("mtime"), size.alias("size"), F.md5(F.concat(F.substring(binary, 1, 8192), F.encode(size.cast("string"), "utf-8"))).alias("content_hash")]
+    return [path.alias("path"), mtime.cast("double").alias("mtime"), size.alias("size"), F.md5(F.concat(F.substring(binary, 1, 8192), F.encode(size.cast("string"), "utf-8")) if sampled else binary).alias("content_hash")]
 
 
 def read_files(spark: SparkSession, root: str, patterns: list[str] = ()) -> DataFrame:

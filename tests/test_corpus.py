@@ -120,3 +120,9 @@ def test_literal_prefilter_invents_nothing():
     for pattern in (r"\p{Alpha}+Error", r"\p{Upper}\w+", r"\p{Punct}{3}", r"\x41bcd", r"(abc){0,2}x", r"(foo(bar)baz)?x", r"a{100}", r"[\]abc]+x", r"xyz{2}{0}"):
         assert search.required_literal(pattern) is None, pattern
     assert search.required_literal(r"\s*foo") == "foo" and search.required_literal(r"foo\.bar+z") == "foo.bar" and search.required_literal(r"abcde{0,2}") == "abcd"
+
+
+def test_content_hash_covers_the_whole_content(spark):
+    rows = spark.createDataFrame([("a", "x" * 9000 + "1"), ("b", "x" * 9000 + "2")], "path string, content string")
+    got = rows.select(*corpus.metadata(F.col("path"), F.col("content"), F.lit(1.0))).collect()
+    assert len({r["content_hash"] for r in got}) == 2
