@@ -10,26 +10,31 @@ from pyspark.sql import functions as F
 
 
 def chunk_rows(chunks: DataFrame, *extra: str) -> DataFrame:
-    """The distinct chunk rows that files are made of, one row per version of a chunk.
+    """The chunk rows that files are made of, with copies collapsed before anything is moved.
 
-    Copies of a row collapse before the shuffle, so a chunk repeated any number of times costs one row per map task.
-    Rows without a file_path belong to no file and are left out; a null start_line counts as 1, a null content as "".
+    Each Arrow batch of a map task keeps one row per version of a chunk, so a chunk repeated any number of times travels
+    once per batch; ``assemble`` passes over the copies that are left. Rows without a file_path belong to no file and
+    are left out; a null start_line counts as 1, a null content as "".
     """
-    return (
-        chunks.filter(F.col("file_path").isNotNull())
-        .groupBy(
-            "file_path", *extra, F.col("chunk_id"), F.coalesce("start_line", F.lit(1)).alias("start_line"), F.coalesce("content", F.lit("")).alias("content")
-        )
-        .agg(F.max("indexed_at").alias("indexed_at"))
+    rows = chunks.filter(F.col("file_path").isNotNull()).select(
+        "file_path", F.coalesce("start_line", F.lit(1)).cast("int").alias("start_line"), F.col("chunk_id").cast("string").alias("chunk_id"), F.coalesce("content", F.lit("")).alias("content"), *extra, "indexed_at"
     )
+    keys = [c for c in rows.columns if c != "indexed_at"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kept = pa.table(batch).group_by(keys, use_threads=False).aggregate([("indexed_at", "max")])
+            yield from kept.rename_columns([*keys, "indexed_at"]).select(batch.schema.names).cast(batch.schema).to_batches()
+
+    return rows.mapInArrow(run, rows.schema)
 
 
 def map_files(chunks: DataFrame, function: Callable[[str, str, str | None], Iterator[tuple]], schema: pa.Schema | str, project: bool = False) -> DataFrame:
     """Rows of ``function(file_path, text, project)`` for every file, as a DataFrame of the given DDL schema.
 
     A file's text: the k-th line of a chunk is line start_line + k - 1; of two versions of a chunk the one indexed last
-    counts; lines that no chunk covers are blank. Rows arrive sorted by file and line, so one file at a time is held in
-    memory, whatever the size of its project. Nothing is collected.
+    counts; lines that no chunk covers are blank. The text is moved once: rows are partitioned by file, arrive sorted by
+    file and line, and one file at a time is held in memory, whatever the size of its project. Nothing is collected.
     """
     from pyspark.sql.types import StructType
     from pyspark.sql.pandas.types import to_arrow_schema
