@@ -7,7 +7,9 @@ import re
 from collections.abc import Iterator
 from typing import NamedTuple
 
-from lodeseam.llm.syntax import language_of, python_tree
+from lodeseam.llm.grammars import go, java, rust, script
+from lodeseam.llm.grammars.base import Function
+from lodeseam.llm.syntax import language_of, parses, python_tree
 
 
 class Pair(NamedTuple):
@@ -33,9 +35,13 @@ _DIRECTIVE = re.compile(
     re.I,
 )
 _CODE_LINE = re.compile(
-    r"[;{]\s*$|^\s*[\]})]+[;,)]*\s*$|^\s*(?:return\b(?:\s+[\w.\[\]()\"']+)?|break|continue|pass)\s*;?\s*$|^\s*(?:const|let|var|val|def|fn|func|function|class|import|from|package|use|struct|impl|public|private)\s+[\w{*(][\w.{},* ]*\s*(?:[=({:;]|:=|$|import\b)|"
-    r"^\s*(?:if|for|while|switch|else|elif|try|with|match)\b.*[:{]\s*$|^\s*[\w.\[\]\"'$]+(?:\s*,\s*[\w.\[\]]+)*\s*(?::=|[-+*/|&%^]?=)(?!=)\s*\S|^\s*[\w.$]+\([^)]*\)\s*;?\s*$"
+    r"\{\s*$|^\s*[\]})]+[;,)]*\s*$|^\s*(?:return\b(?:\s+[\w.\[\]()\"']+)?|break|continue|pass)\s*;?\s*$"
+    r"|^\s*(?:const|let|var|val|def|fn|func|function|class|struct|impl|package|use|import|public|private)\s+[\w.:*{}$]+\s*(?:[=({:;<]|$)|^\s*(?:from\s+[\w.]+\s+import\b|import\b.*\bfrom\s+[\"'])"
+    r"|^\s*(?:try|else|finally)\s*:\s*$|^\s*(?:if|elif|while|with|match|switch)\b(?=.*[()=<>\[\]._]).*:\s*$|^\s*for\s+[\w, ]+\bin\b\s+[\w.()\[\], ]+:\s*$"
+    r"|^\s*[\w.\[\]\"'$]+(?:\s*,\s*[\w.\[\]]+)*\s*(?::=|[-+*/|&%^]?=)(?!=)\s*\S|^\s*[\w.$]+\([^)]*\)\s*;?\s*$"
 )
+#: A line that ends in a semicolon is code if it holds one of these or is short; prose may end a line that way too.
+_CODE_MARK = re.compile(r"[=()\[\]{}<>]|::|\w\.\w")
 _LEGAL = re.compile(r"^\W*(?:copyright\b|\(c\)|spdx-|licen[sc]ed under|see the licen[sc]e)", re.I)
 _TOKEN = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
 _CAMEL = re.compile(r"[A-Z]+(?=[A-Z][a-z])|[A-Z]?[^\W\d_A-Z]+|[A-Z]+|[^\W\d_]+")
@@ -72,12 +78,18 @@ def description(lines: list[str], python: bool = False) -> str:
         if _RULE.match(raw) or _DIRECTIVE.match(bare) or _MARKER.match(bare) or _LEGAL.match(bare):
             continue
         kept.append(bare)
-    code = sum(1 for x in kept if x and _CODE_LINE.search(x))
+    code = sum(1 for x in kept if x and _is_code(x))
     if code and 2 * code >= sum(1 for x in kept if x):
         return ""
     return "\n".join(kept).strip()
 
 
+def _is_code(line: str) -> bool:
+    if line.rstrip().endswith(";") and (_CODE_MARK.search(line) or len(line.split()) <= 2):
+        return True
+    return _CODE_LINE.search(line) is not None
+
+
 def is_trivial(text: str, symbol: str) -> bool:
     """Fewer than four different words that the name does not contain."""
     text = _PLACEHOLDER.sub(" ", _INLINE_TAG.sub(" ", text))
@@ -121,40 +133,10 @@ def _python_pairs(text: str) -> Iterator[tuple[str, int, int, str]]:
 
 # --------------------------------------------------------------------------- languages with braces
 
-_STRING = r'"(?:[^"\\\n]|\\.)*"|\'(?:[^\'\\\n]|\\[^\n]+?)\''
-# the lexer's states: comments, and the strings in which comment marks and braces mean nothing
-_SCANNERS = {
-    "javascript": rf"//[^\n]*|/\*.*?\*/|{_STRING}|`(?:\\.|\$\{{(?:[^{{}}`]|\{{[^{{}}`]*\}}|`[^`]*`)*\}}|[^`\\])*`|(?<=[(,=:\[!&|?])\s*/(?![*/])(?:\\.|\[(?:\\.|[^\]\\\n])*\]|[^/\\\[\n])+/",
-    "go": rf"//[^\n]*|/\*.*?\*/|{_STRING}|`[^`]*`",
-    "java": rf'//[^\n]*|/\*.*?\*/|"""(?:\\.|[^\\])*?"""|{_STRING}',
-    "rust": r'//[^\n]*|/\*.*?\*/|b?r"[^"]*"|b?r#".*?"#|b?r##".*?"##|b?"(?:[^"\\]|\\.)*"|b?\'(?:[^\'\\\n]|\\[^\n]+?)\'',
-}
-_SCANNERS["typescript"] = _SCANNERS["javascript"]
-_SCAN = {k: re.compile(v, re.S) for k, v in _SCANNERS.items()}
-_BRACES = {k: re.compile(v + r"|[{}();]", re.S) for k, v in _SCANNERS.items()}
-
-_PAREN = r"\((?:[^()]|\((?:[^()]|\([^()]*\))*\))*\)"
-_ANNOTATIONS = rf"(?:@(?!interface\b)[\w.$]+(?:{_PAREN})?\s*|#!?\[(?:[^\[\]]|\[[^\[\]]*\])*\]\s*)*"
-_ARROW = rf"(?:async\s+)?(?:{_PAREN}(?:\s*:\s*[^=;{{}}]+?)?|[\w$]+)\s*=>"
-_NOT_NAMES = r"(?!(?:if|for|while|switch|catch|with|return|new|else|do|throw|typeof|await|yield|super|this|case|delete|void|function|in|of|instanceof|try|synchronized|assert)\b)"
-_SCRIPT_WORDS = r"(?:(?:export|default|declare|async|static|get|set|public|private|protected|readonly|abstract|override|accessor)\s+)*"
-_DECLARATIONS = {
-    "javascript": re.compile(
-        rf"{_ANNOTATIONS}(?:{_SCRIPT_WORDS}function\s*\*?\s*(?P<a>[\w$]+)\s*[(<]|(?:export\s+)?(?:const|let|var)\s+(?P<b>[\w$]+)\s*(?::[^=;{{}}]+(?:=>[^=;]+)?)?=\s*(?:(?:async\s+)?function\b|(?:<[^<>]*>\s*)?{_ARROW})"
-        rf"|{_SCRIPT_WORDS}(?:[\w$]+\.)*(?P<c>#?[\w$]+)\s*(?::[^=;{{}}(]+(?:=>[^=;]+)?)?(?:=|:)\s*(?:(?:async\s+)?function\b|(?:<[^<>]*>\s*)?{_ARROW})|{_SCRIPT_WORDS}\*?\s*{_NOT_NAMES}(?P<d>#?[\w$]+)\s*(?:<[^<>()]*>)?\s*{_PAREN}(?:\s*:\s*[^;{{}}=]+(?:\{{[^{{}}]*\}})?)?\s*\{{)",
-        re.S,
-    ),
-    "go": re.compile(r"(?:func\s+(?:\([^)]*\)\s*)?(?P<a>\w+)\s*[(\[]|(?:var\s+)?(?P<b>\w+)\s*:?=\s*func\b)"),
-    "rust": re.compile(
-        rf"{_ANNOTATIONS}(?:pub(?:\s*\([^)]*\))?\s+)?(?:(?:default|const|async|unsafe|extern(?:\s+\"[^\"]*\")?)\s+)*fn\s+(?P<a>\w+)|{_ANNOTATIONS}let\s+(?:mut\s+)?(?P<b>\w+)\s*(?::[^=;]+)?=\s*(?:move\s+)?\|"
-    ),
-    "java": re.compile(
-        rf"{_ANNOTATIONS}(?:(?:public|private|protected|static|final|abstract|synchronized|native|default|strictfp|transient|volatile)\s+|@[\w.]+(?:{_PAREN})?\s+)*(?:<(?:[^<>]|<[^<>]*>)*>\s*)?"
-        rf"(?:(?:void\b|{_NOT_NAMES}[\w.$]+)(?:<(?:[^<>;(){{}}]|<(?:[^<>;(){{}}]|<[^<>;(){{}}]*>)*>)*>)?(?:\s*\[\s*\])*\s+{_NOT_NAMES}(?P<a>[\w$]+)\s*{_PAREN}\s*(?:\[\s*\]\s*)*(?:throws\s+[\w.,\s$]+)?(?:[{{;]|default\b)"
-        rf"|{_NOT_NAMES}(?P<c>[\w$]+)\s*{_PAREN}\s*(?:throws\s+[\w.,\s$]+)?\{{|[\w.$]+(?:<(?:[^<>]|<[^<>]*>)*>)?\s+(?P<b>[\w$]+)\s*=\s*(?:{_PAREN}|[\w$]+)\s*->)"
-    ),
-}
-_DECLARATIONS["typescript"] = re.compile(_DECLARATIONS["javascript"].pattern[:-1] + rf"|{_SCRIPT_WORDS}{_NOT_NAMES}(?P<e>#?[\w$]+)\s*\??(?:<[^<>()]*>)?{_PAREN}\s*:\s*[^;{{}}=]+;)", re.S)
+_FUNCTIONS = {
+    "javascript": script.functions, "typescript": lambda text: script.functions(text, True), "go": go.functions, "rust": rust.functions,
+    "java": java.functions,
+}
 
 
 def _comment_lines(text: str) -> list[str]:
@@ -164,39 +146,16 @@ def _comment_lines(text: str) -> list[str]:
     return [re.sub(r"^\s*\*+(?!/)", "", x) if k else x.lstrip("*!") for k, x in enumerate(body.split("\n"))]
 
 
-def _end(text: str, language: str, pos: int) -> int:
-    """Offset behind the function that starts at pos: its matching brace, or the end of a statement without a body."""
-    braces = parens = 0
-    opened = False
-    for m in _BRACES[language].finditer(text, pos):
-        c = m.group()
-        if c == "{":
-            braces += 1
-            opened = opened or parens == 0
-        elif c == "}":
-            braces -= 1
-            if braces < 0:
-                return m.start()
-            if braces == 0 and opened and parens <= 0:
-                return m.end()
-        elif c == "(":
-            parens += 1
-        elif c == ")":
-            parens -= 1
-            if parens < 0:
-                return m.start()
-        elif c == ";" and braces == 0 and parens == 0:
-            return m.end()
-    return len(text)
-
-
-def _brace_pairs(text: str, language: str) -> Iterator[tuple[str, int, int, list[str], int]]:
-    declaration = _DECLARATIONS[language]
-    units: list[list[int]] = []  # [start, end, is block] of comments that stand alone on their lines
-    for m in _SCAN[language].finditer(text):
-        s, e = m.span()
-        if text[s] != "/" or text[s + 1 : s + 2] not in ("/", "*") or not m.group().startswith(("//", "/*")):
-            continue
+def _skip(text: str, pos: int) -> int:
+    while pos < len(text) and text[pos] in " \t":
+        pos += 1
+    return pos
+
+
+def _units(text: str, comments: list[tuple[int, int]]) -> list[list[int]]:
+    """[start, end, is block] of the comments that stand alone on their lines; line comments on lines in a row are one."""
+    units: list[list[int]] = []
+    for s, e in comments:
         before, after = s - 1, _skip(text, e)
         while before >= 0 and text[before] in " \t":
             before -= 1
@@ -207,57 +166,68 @@ def _brace_pairs(text: str, language: str) -> Iterator[tuple[str, int, int, list
             units[-1][1] = e
         else:
             units.append([s, e, block])
-    for u, (s, e, _) in enumerate(units):
+    return units
+
+
+def _documents(text: str, units: list[list[int]], u: int) -> list[str]:
+    """The lines of a comment; where they are directives to tools, of the one directly above it."""
+    lines = _comment_lines(text[units[u][0] : units[u][1]])
+    while u and all(not x.strip() or _DIRECTIVE.match(x.strip()) for x in lines):
+        gap = text[units[u - 1][1] : units[u][0]]
+        if gap.strip() or gap.count("\n") != 1:
+            break
+        u -= 1
+        lines = _comment_lines(text[units[u][0] : units[u][1]])
+    return lines
+
+
+def _brace_pairs(text: str, found: list[Function], comments: list[tuple[int, int]]) -> Iterator[tuple[str, int, int, str, int]]:
+    """(name, its offset, end, description, start) of the functions directly below a comment that says something.
+
+    Annotations and attributes may stand between; of a comment above them and one below, the nearer that is not trivial
+    counts.
+    """
+    units = _units(text, comments)
+    above = {}
+    for u, (_, e, _) in enumerate(units):
         e = _skip(text, e)
-        if text[e : e + 1] != "\n":
-            continue
-        m = declaration.match(text, _skip(text, e + 1))
-        if not m:
-            continue
-        between = text[e + 1 : m.start()]
-        if between.strip(" \t"):
-            continue
-        group = m.lastgroup
-        # directives to tools may stand between a comment and its function
-        lines = _comment_lines(text[s:e])
-        back = u
-        while back and all(not x.strip() or _DIRECTIVE.match(x.strip()) for x in lines) and not text[units[back - 1][1] : units[back][0]].strip() and text[units[back - 1][1] : units[back][0]].count("\n") == 1:
-            back -= 1
-            lines = _comment_lines(text[units[back][0] : units[back][1]])
-        attributes = re.match(_ANNOTATIONS, text[m.start() : m.end()])
-        if attributes and "\n\n" in attributes.group().replace(" ", "").replace("\t", ""):
-            continue
-        yield m.group(group).lstrip("#"), m.start(group), _end(text, language, m.start(group)), lines, m.start()
-
-
-def _skip(text: str, pos: int) -> int:
-    while pos < len(text) and text[pos] in " \t":
-        pos += 1
-    return pos
-
-
-def pairs(text: str, language: str | None) -> list[Pair]:
-    """The documented functions of one file that parses; descriptions that say nothing are dropped."""
-    text = text.replace("\r\n", "\n")
+        if text[e : e + 1] == "\n":
+            above[_skip(text, e + 1)] = u
+    for name, at, end, heads in found:
+        for head in reversed(heads):
+            if head in above:
+                clean = description(_documents(text, units, above[head]))
+                if clean and not is_trivial(clean, name):
+                    yield name, at, end, clean, heads[0]
+                    break
+
+
+def pairs(text: str, language: str | None, java_trailing_comma: bool = False) -> list[Pair] | None:
+    """The documented functions of one file; descriptions that say nothing are dropped. None where the file does not parse."""
+    text = text.replace("\r\n", "\n").lstrip("\ufeff")
     out: list[Pair] = []
     if language == "python":
+        if not parses(text, language):
+            return None
         lines = None
         for name, first, last, doc in _python_pairs(text):
             clean = description(doc.expandtabs().split("\n"), True)
             if clean and not is_trivial(clean, name):
                 lines = lines or text.split("\n")
                 out.append(Pair(name, first, last, clean, "\n".join(lines[first - 1 : last])))
-    elif language in _DECLARATIONS:
-        line = 1
-        counted = 0
-        for name, at, end, doc, start in _brace_pairs(text, language):
+    elif language in _FUNCTIONS and text.strip():
+        known = java.functions(text, java_trailing_comma) if language == "java" else _FUNCTIONS[language](text)
+        if known is None:
+            return None
+        line, counted = 1, 0
+        for name, at, end, clean, start in _brace_pairs(text, known[0], known[1].comments):
             line += text.count("\n", counted, at)
             counted = at
-            clean = description(doc)
-            if clean and not is_trivial(clean, name):
-                out.append(Pair(name, line, line + text.count("\n", at, end), clean, text[start:end]))
+            out.append(Pair(name, line, line + text.count("\n", at, end), clean, text[start:end]))
+    elif not parses(text, language):
+        return None
     return out
 
 
-def file_pairs(path: str, text: str) -> list[Pair]:
-    return pairs(text, language_of(path))
+def file_pairs(path: str, text: str, java_trailing_comma: bool = False) -> list[Pair] | None:
+    return pairs(text, language_of(path), java_trailing_comma)

@@ -7,7 +7,7 @@ import re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodeseam.llm.files import map_files
+from lodeseam.sources.assembly import map_files
 from lodeseam.llm.syntax import language_of, parses
 
 # Words and marks that are common in one language and rare in the others.

@@ -9,7 +9,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodeseam.llm.docpairs import file_pairs
-from lodeseam.llm.files import map_files
 from lodeseam.llm.leaks import find_leaks, remove_leaks
 from lodeseam.llm.neighbours import nearest_vectors, neighbour_pairs
 from lodeseam.llm.packing import pack_documents
@@ -17,7 +16,7 @@ from lodeseam.llm.parsing import failure_rates, file_syntax
 from lodeseam.llm.provenance import file_provenance, provenance
 from lodeseam.llm.reading import reading_levels
 from lodeseam.llm.splitting import split_oversized
-from lodeseam.llm.syntax import language_of, parses
+from lodeseam.sources.assembly import map_files
 
 #: Java parameter lists of the tables end in a comma in half of the files, and the tables' own structural chunker
 #: takes those files as parsing; the operator's default is the compilers' strict reading.
@@ -62,8 +61,8 @@ def documented_functions(chunks: DataFrame, java_trailing_comma: bool = False) -
     """
 
     def run(path: str, text: str, project: str | None):
-        if provenance(path, text, project) is None and parses(text, language_of(path), java_trailing_comma):
-            for p in file_pairs(path, text):
+        if provenance(path, text, project) is None:
+            for p in file_pairs(path, text, java_trailing_comma) or ():
                 yield path, project, p.symbol, p.decl_line, p.end_line, p.docstring, p.content
 
     return map_files(chunks, run, "file_path string, project string, symbol string, decl_line int, end_line int, docstring string, content string", project=True)

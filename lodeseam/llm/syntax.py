@@ -1,17 +1,8 @@
-"""Syntax checking of source files by bracket reduction.
+"""Syntax checking of source files: one recogniser per language.
 
-A file is lexed with one regular expression per language into a string with one
-character per token (its *kind*).  Bracket groups are then replaced from the
-inside out: each group becomes a single private-use character that says which
-roles its content can play (argument list, parameter list, block, class body,
-...).  Between brackets these grammars are regular, so each role is one regular
-expression over the reduced content and is decided in C; contents seen before are
-answered from a memo.  A file parses when its fully reduced string matches the
-language's top-level rule.
-
-Python files go through CPython's own parser and JSON through a strict decoder.
-The grammars are recognisers for syntax only: names, types and early errors that
-depend on names (duplicate declarations and the like) are not looked at.
+JavaScript, TypeScript, Java, Go and Rust have recursive-descent recognisers of their own (``grammars``), Python files go
+through CPython's compiler and JSON through a strict decoder.  Syntax only: names and types are not looked at, nor errors
+that depend on names (duplicate declarations, undefined labels, conflicting global statements).
 """
 
 from __future__ import annotations
@@ -20,526 +11,13 @@ import ast
 import json
 import re
 import warnings
-from collections.abc import Callable
-
-GROUP = r"\([^()\[\]{}]*\)|\[[^()\[\]{}]*\]|\{[^()\[\]{}]*\}"
-_INNERMOST = re.compile(GROUP)
-_BASE = {"(": 0xE000, "[": 0xE100, "{": 0xE200}
-_MEMO_LIMIT = 200_000
-
-
-class _Kinds(dict):
-    """token text -> kind character; unknown texts are classified once and kept."""
-
-    def __init__(self, fixed: dict[str, str], classify: Callable[[str], str]):
-        super().__init__(fixed)
-        self.fixed, self.classify = dict(fixed), classify
-
-    def __missing__(self, text: str) -> str:
-        if len(self) > _MEMO_LIMIT:
-            self.clear()
-            self.update(self.fixed)
-        kind = self.classify(text)
-        if len(text) <= 64:
-            self[text] = kind
-        return kind
-
-
-class Grammar:
-    """One language: a lexer, rewriting rules for the kind string, and roles per bracket."""
-
-    def __init__(self, lexer: str, fixed: dict[str, str], classify, rewrite, roles, top, generics=None, lined=()):
-        """lined: the (bracket, role number) pairs in which line ends (kind N) count; elsewhere they are dropped."""
-        self.lex = re.compile(lexer, re.S).findall
-        self.kinds = _Kinds(fixed, classify)
-        self.rewrite = rewrite
-        self.generics = generics
-        self.lined, self.blank = set(lined), "N" if lined else ""
-        self.roles = {b: [(re.compile(p), 1 << k) for k, p in enumerate(ps)] for b, ps in roles.items()}
-        self.top = re.compile(top)
-        self.memo: dict[str, str] = {}
-        self.top_memo: dict[str, bool] = {}
-
-    def _group(self, m: re.Match) -> str:
-        text = m.group()
-        sym = self.memo.get(text)
-        if sym is None:
-            content, mask = text[1:-1], 0
-            if "?" in content and ":" in content:
-                n = 1
-                while n:
-                    content, n = _TERNARY.subn(r"¿\1%", content)
-            bare = content.replace("N", "") if self.blank else content
-            for k, (pattern, bit) in enumerate(self.roles[text[0]]):
-                if pattern.fullmatch(content if (text[0], k) in self.lined else bare):
-                    mask |= bit
-            sym = chr(_BASE[text[0]] + mask)
-            if len(self.memo) > _MEMO_LIMIT:
-                self.memo.clear()
-            self.memo[text] = sym
-        return sym
-
-    def reduce(self, kinds: str) -> str | None:
-        """The kind string without brackets, or None where they do not match."""
-        while True:
-            kinds, n = _INNERMOST.subn(self._group, kinds)
-            if not n:
-                return None if re.search(r"[()\[\]{}]", kinds) else kinds
-
-    def parses(self, text: str) -> bool:
-        kinds = "".join(map(self.kinds.__getitem__, self.lex(text)))
-        if "\0" in kinds:
-            return False
-        if self.generics is not None:
-            n = 1
-            while n:
-                kinds, n = self.generics.subn("", kinds)
-        for pattern, by in self.rewrite:
-            kinds = pattern.sub(by, kinds)
-        reduced = self.reduce(kinds)
-        if reduced is None:
-            return False
-        done = self.top_memo.get(reduced)
-        if done is None:
-            if "?" in reduced and ":" in reduced:
-                reduced = _TERNARY.sub(r"¿\1%", reduced)
-            done = self.top.fullmatch(reduced) is not None
-            if len(self.top_memo) > _MEMO_LIMIT:
-                self.top_memo.clear()
-            self.top_memo[reduced] = done
-        return done
-
-
-def _role(bracket: str, bits: int, n_roles: int) -> str:
-    """A character class: groups of this bracket that can play one of the roles."""
-    return "[" + "".join(chr(_BASE[bracket] + m) for m in range(1 << n_roles) if m & bits) + "]"
-
-
-def _roles(bracket: str, names: str) -> dict[str, str]:
-    names_ = names.split()
-    return {n: _role(bracket, 1 << k, len(names_)) for k, n in enumerate(names_)}
-
-
-def _any(bracket: str) -> str:
-    return f"[{chr(_BASE[bracket])}-{chr(_BASE[bracket] + 255)}]"
-
-
-def _list(item: str, trailing: bool = True) -> str:
-    """A whole content that is a comma list of items."""
-    return rf"(?:(?:{item})(?:,{'' if trailing else '(?!$)'}|\Z))*"
-
-
-def _chain(unary: str, op: str, starts: str, prefixes: str) -> str:
-    """unary (op unary)*, with unary spelled once: an operator needs an operand after it, and two operands never meet."""
-    return rf"(?:{unary}(?:{op}(?=[{starts}{prefixes}])|(?![{starts}])))+"
-
-
-#: The two marks of a conditional expression, once paired; nested pairs come from the inside out.
-_TERNARY = re.compile(r"\?([^?:;,]+):")
-
-
-def _rx(*rules: tuple[str, str]) -> list[tuple[re.Pattern, str]]:
-    return [(re.compile(a), b) for a, b in rules]
-
-
-_NUM = r"(?:0[xXbBoO][0-9a-fA-F_]+|(?:[0-9][0-9_]*\.?[0-9_]*|\.[0-9][0-9_]*)(?:[eEpP][+-]?[0-9_]+)?)[A-Za-z0-9_]*"
-_WORD = r"[^\W\d][\w]*"
-
-
-def _word_kinds(table: dict[str, str]) -> dict[str, str]:
-    return {w: k for k, ws in table.items() for w in ws.split()}
-
-
-def _classifier(quotes: str = "\"'`", line_end: str = "N", number: str = r".*"):
-    """Kinds of the tokens that are in no table; "\0" marks what no token may be."""
-
-    valid = re.compile(number).fullmatch
-
-    def classify(t: str) -> str:
-        c = t[0]
-        if t[:2] in ("//", "#!"):
-            return ""
-        if t[:2] == "/*":
-            return (line_end if "\n" in t else "") if len(t) >= 4 and t[-2:] == "*/" else "\0"
-        if c == "\n":
-            return line_end
-        if c in quotes:
-            return "\0" if len(t) < 2 else "g" if c == "`" else "s"
-        if c.isdigit() or c == "." and len(t) > 1 and t[1].isdigit():
-            return "n" if valid(t) else "\0"
-        if c == "/" and len(t) > 1:
-            return "s"
-        if c in "_$" or c.isalpha():
-            return "i"
-        return "\0"
-
-    return classify
-
-
-_DIGITS = r"(?:0[xX][0-9a-fA-F_]+|0[bB][01_]+|0[oO][0-7_]+|(?:\d[\d_]*\.?[\d_]*|\.\d[\d_]*)(?:[eE][+-]?\d[\d_]*)?)"
-_BRACKETS = {c: c for c in "()[]{}"}
 
-# --------------------------------------------------------------------------- ECMAScript and TypeScript
-
-
-def _script(ts: bool) -> Grammar:
-    string = r'"(?:[^"\\\n]|\\.)*"|\'(?:[^\'\\\n]|\\.)*\''
-    template = r"`(?:\\.|\$\{(?:[^{}`]|\{[^{}`]*\}|`[^`]*`)*\}|[^`\\])*`"
-    before = r"[(,=:\[!&|?{};~^<>*%+\-]"
-    regex = rf"(?:(?<={before})|(?<={before} )|(?<=return )|(?<=\n)|(?<=  ))/(?![*/])(?:\\.|\[(?:\\.|[^\]\\\n])*\]|[^/\\\[\n])+/[a-z]*"
-    lexer = (
-        rf"\A#![^\n]*|//[^\n]*|/\*.*?\*/|\n\s*|{string}|{template}|{_NUM}|[$\w]+|{regex}|\.\.\.|=>|\?\.(?![0-9])|\?\?=|&&=|\|\|=|\*\*=|>>>=|<<=|>>=|===|!==|\*\*|==|!=|<=|>=|&&|\|\||\?\?|\+\+|--|<<{'' if ts else '|>>>|>>'}|[-+*/%&|^]=|\S"
-    )
-    words = {
-        "V": "let const var", "f": "function", "k": "class", "R": "return", "H": "throw", "I": "if", "Z": "else", "Q": "for", "w": "while", "D": "do", "S": "switch",
-        "C": "case", "d": "default", "b": "break continue debugger", "t": "try", "h": "catch", "y": "finally", "W": "new", "u": "typeof delete await", "Ø": "void", "Y": "yield",
-        "j": "in instanceof", "l": "this super null true false", "A": "async", "Γ": "get set", "Ω": "of", "F": "from", "z": "static", "x": "extends", "m": "import", "e": "export", "B": "enum",
-        "X": "with package interface implements private protected public",
-    }
-    if ts:
-        words |= {"X": "with package", "P": "interface namespace module", "T": "type", "G": "as satisfies", "J": "keyof infer unique asserts", "$": "is", "U": "private protected public readonly abstract declare override", "x": "extends implements"}
-    fixed = (
-        _word_kinds(words)
-        | _BRACKETS
-        | {c: c for c in ";,.:?=!<>*|&@#"}
-        | {"=>": "r", "?.": "q", "...": "v", "+": "+", "-": "+", "~": "!", "++": "p", "--": "p"}
-        | dict.fromkeys("+= -= *= /= %= &= |= ^= **= <<= >>= >>>= &&= ||= ??=".split(), "a")
-        | dict.fromkeys("** == != === !== <= >= && || ?? << >> >>> / % ^".split(), "o")
-    )
-    P, K, G = _roles("(", "E A F H T X"), _roles("[", "L K B T"), _roles("{", "S O D C W M T N")
-    opens = "".join((_any("(")[1:-1], _any("[")[1:-1], _any("{")[1:-1]))
-    word_set = "iVfkRHIZQwDSCdbthyWuYjlAFzxmeBXPTGUJ$ØΓΩ"
-    word, ident = f"[{word_set}]", "[iAFTGUPJ$ΓΩ]" if ts else "[iAFΓΩ]"
-    key = rf"(?:#?{word}|[sn]|{K['K']})"
-    qn = rf"(?:[iATFGUPJ$luØΓΩ]|m{P['A']})(?:\.{word})*"
-    atom = rf"(?:(?:[JuU]+(?=[iPTUulsØ]))?(?:{qn}|[sng]|\+n)|{G['T']}|{K['T']}|{P['T']})"
-    one = rf"(?:(?:[JUu]+(?=[{opens}]))?(?:W?{P['F']}r)*{atom}(?:{K['T']}|{K['K']})*)"
-    typ = rf"(?>[|&]?{one}(?:[|&x¿%$]{one})*)"
-    ann = rf"(?:[?!]?:{typ}|\?)?" if ts else ""
-    E = "(?>@E@)"
-    fbody = rf"{P['F']}{ann}N?{G['S']}"
-    func = rf"A?f\*?{ident}?{fbody}"
-    lhs = rf"(?:{ident}|l|{P['E']})(?:\.{word}|{P['A']}|{K['K']})*"
-    heritage = rf"(?:x{lhs}(?:,{lhs})*)*"
-    cls = rf"k{ident}?{heritage}N?{G['C']}"
-    arrow = rf"A?(?:{ident}|{P['F']}{ann})r"
-    prefix = rf"(?:[!+puØ]|W(?!\.)|Y\*?(?=[^,;N])|{arrow})"
-    primary = rf"(?:(?<=r){G['S']}|{func}|{cls}|{ident}|[nslgY]|W\.{word}|m(?=\.|{P['A']})|#i|{P['E']}|{K['L']}|{G['O']}|{G['D']})"
-    postfix = rf"(?:[.]#?{word}|q(?:#?{word}|{P['A']}|{K['K']})|{P['A']}|{K['K']}|g|p" + ("|!" if ts else "") + ")"
-    unary = rf"(?:{prefix}*{primary}{postfix}*" + (rf"(?:G{typ})*" if ts else "") + ")"
-    starts = "iAFΓΩfknslgYWm#" + ("TUPJ$" if ts else "") + opens
-    shift = ">>?>?" if ts else ">"
-    expr = _chain(unary, rf"(?:[oj+*|&=a<¿%]|{shift})", starts, "!+puØ")
-    exprs = _chain(unary, rf"(?:[oj+*|&=a<¿%,]|{shift})", starts, "!+puØ")
-
-    def full(p: str) -> str:
-        return p.replace("@L@", exprs).replace("@E@", expr)
-
-    el = "(?>@L@)"
-    end = r"(?:;|N|\Z)"
-    target = rf"(?:{ident}|{K['B']}|{G['D']})"
-    binding = rf"{target}{ann}(?:={E})?"
-    decl = rf"V(?:{binding}(?:,(?=[iAFΓΩTGUPJ${opens}])|(?=[;N]|\Z)))+"
-    body = rf"N?{G['S']}"
-    or_end = rf"|{end}" if ts else ""
-    block_fn = rf"A?f\*?{ident}{P['F']}{ann}(?:{body}{or_end})"
-    deco = rf"(?:@(?:{ident}(?:\.{word})*{P['A']}?|{P['E']})N?)*"
-    klass = rf"{deco}U*k{ident}{heritage}N?{G['C']}"
-    ts_decl = (
-        rf"|U*P{ident}(?:x{typ}(?:,{typ})*)*N?{G['T']}|U*P(?:{ident}(?:\.{word})*|s)N?{G['S']}|U*T{ident}={typ}{end}|U*V?B{ident}N?{G['N']}|U+(?:{decl}{end}|{block_fn})"
-        if ts
-        else ""
-    )
-    names = rf"(?:T?{ident}(?:,(?:\*[iG]{ident}|{G['M']}))?|T?\*[iG]{ident}|T?{G['M']})"
-    imports = rf"m{names}Fs{end}|ms{end}"
-    exports = rf"e(?:{decl}{end}|{block_fn}|{klass}|d(?:A?f\*?{ident}?{P['F']}{ann}{body}|{deco}U*k{ident}?{heritage}N?{G['C']}|{E}{end})|T?{G['M']}(?:Fs)?{end}|\*(?:[iG]{word})?Fs{end}{ts_decl})"
-    after = rf"(?<=[;N{_any('{')[1:-1]}])"
-    pre = rf"(?:I{P['E']}N?|w{P['E']}N?|Qu?{P['H']}N?|{after}Z|D|{ident}:N?)"
-    simple = (
-        rf"(?:{decl}{end}|{block_fn}|{klass}|t{G['S']}(?:N?h{P['X']}?N?{G['S']}(?:N?y{G['S']})?|N?y{G['S']})|S{P['E']}N?{G['W']}|R(?:{el})?{end}|H{el}{end}|b{ident}?{end}|{G['S']}(?![.=q])|;"
-        rf"{ts_decl}|{imports}|{exports}|(?!A?f|k){el}{end})"
-    )
-    stmts = rf"(?![^I]*Z)(?>(?:[N;]|(?:{pre})*{simple}))*"
-    cases = rf"N*(?>(?:C{el}|d):{stmts})*"
-    field_type = rf"|\?{P['F']}{ann}{end}|{K['T']}:{typ}{end}" if ts else ""
-    next_key = rf"(?=[{word_set}#sn*]|{K['K']})"
-    own = rf"(?:[zUAΓ]{next_key})*" if ts else rf"(?:z{next_key})?(?:A{next_key}|Γ{next_key})?"
-    member = rf"(?:[N;]|zN?{G['S']}|{deco}{own}\*?{key}(?:{P['F']}{ann}(?:N?{G['S']}{or_end})|{ann}(?:={E})?{end}{field_type}))"
-    prop = rf"v{E}|{ident}|{key}:{E}|(?:A{next_key}|Γ{next_key})?\*?{key}{P['F']}{ann}N?{G['S']}"
-    dprop = rf"v{target}|{ident}(?:={E})?|{key}:{target}(?:={E})?"
-    tmember = rf"(?:[+*]?[iUz](?=[{word_set}sn]|{K['K']}))*(?:{key}[?]?(?::{typ}|{P['F']}(?::{typ})?|¿{P['F']}%{typ})?|W?{P['F']}(?::{typ})?|{K['T']}[+?]*:{typ})(?:[;,N]+|\Z)"
-    modifiers = rf"(?:@{ident}{P['A']}?)*U*" if ts else ""
-    param = rf"{modifiers}v?(?:{target}{'|l' if ts else ''}){ann}(?:={E})?"
-    head = rf"(?:{decl}|{el})?;(?:{el})?;(?:{el})?|(?:V{target}[jΩ]|{ident}(?:\.{word})*Ω){E}|{E}"
-    name = rf"(?:T(?={word}))?(?:{word}|s)(?:[iG](?:{word}|s))?"
-    arg = rf"v?{E}"
-    hole = rf",*(?:{{0}}(?:,+{{0}})*,*)?"
-    tuple_ = rf"{_list(rf'v?(?:{ident}[?]?:)?{typ}[?]?')}|{ident}:{typ}|{ident}j{typ}(?:G{typ})?"
-    roles = {
-        "(": [el, _list(arg), _list(param), head, typ if ts else r"(?!)", rf"{target}{ann}"],
-        "[": [hole.replace("{0}", f"(?:{arg})"), el, hole.replace("{0}", rf"(?:v?{target}(?:={E})?)"), tuple_ if ts else r"(?!)"],
-        "{": [stmts, _list(prop), _list(dprop), rf"(?>{member})*", cases, _list(name), rf"N*(?:{tmember}N*)*" if ts else r"(?!)", _list(rf"(?:{word}|s)(?:={E})?") if ts else r"(?!)"],
-    }
-    rewrite = _rx(
-        (r"N+", "N"), (r"N(?=[.,ojq=?:)\]}>+*(\[ra|&<])", ""), (r"(?<=[.,ojq=?:(\[{<>+*ra|&;IZQwDSCtyVfkWuexmv@AHB])N", ""), (r"^N|N$", ""), (r"\}N(?=[Zh y])", "}"),
-    )
-    generics = None
-    if ts:
-        inner = r"[iATFGUPJ$lsnuØΓΩx.,&|?=\[\](){}:;rW+jkN]"
-        generics = re.compile(rf"(?<=[{word_set}])<(?!=)(?:{inner}*?(?<!=))>(?=[(){{}}\[\],;:=.&|>?iNsgrxZq!l]|\Z)|(?<=[=(,:?])<[iA,xTU=]+>(?=\()")
-    return Grammar(
-        lexer, fixed, _classifier(number=_DIGITS + "n?"), rewrite, {b: [full(p) for p in ps] for b, ps in roles.items()}, full(stmts), generics, [("{", 0), ("{", 3), ("{", 4), ("{", 6)]
-    )
-
-
-# --------------------------------------------------------------------------- Java
-
-
-def _java(trailing_comma: bool) -> Grammar:
-    lexer = rf'//[^\n]*|/\*.*?\*/|"""(?:\\.|[^\\])*?"""|"(?:[^"\\\n]|\\.)*"|\'(?:[^\'\\\n]|\\.[0-9a-fu]*)\'|{_NUM}|[$\w]+|\.\.\.|->|::|>>>=|<<=|>>=|==|!=|<=|>=|&&|\|\||\+\+|--|<<|[-+*/%&|^]=|\S'
-    words = {
-        "m": "public private protected static final abstract native transient volatile strictfp sealed", "T": "int long short byte char boolean float double void", "k": "class interface enum",
-        "x": "extends implements throws permits", "M": "package import", "W": "new", "j": "instanceof", "R": "return", "H": "throw", "I": "if", "Z": "else", "Q": "for", "w": "while", "D": "do",
-        "S": "switch", "C": "case", "d": "default", "b": "break continue", "t": "try", "h": "catch", "y": "finally", "v": "assert", "Y": "synchronized", "l": "this super null true false", "X": "goto const _", "J": "yield",
-    }
-    fixed = (
-        _word_kinds(words)
-        | _BRACKETS
-        | {c: c for c in ";,.:?=<>*&|@"}
-        | {"->": "g", "::": "c", "...": "e", "+": "+", "-": "+", "!": "!", "~": "!", "++": "p", "--": "p"}
-        | dict.fromkeys("+= -= *= /= %= &= |= ^= <<= >>= >>>=".split(), "a")
-        | dict.fromkeys("== != <= >= && || << / % ^".split(), "o")
-    )
-    P, K, G = _roles("(", "E A F H L Y R C"), _roles("[", "K 0"), _roles("{", "S C N W A")
-    brk = f"{K['0']}*"
-    E = "(?>@E@)"
-    qn = r"i(?:\.i)*"
-    ann = rf"(?:@{qn}{P['A']}?)"
-    mod = rf"(?:[mdY]|{ann})*"
-    typ = rf"(?:{ann}*(?:T|{qn}){brk})"
-    types = rf"{typ}(?:,{typ})*"
-    body = rf"{{S}}".replace("{S}", G["S"])
-    kls = rf"{mod}@?ki(?:x{types})*(?:{G['C']}|{G['N']})|{mod}ii{P['F']}(?:x{types})*{G['C']}"
-    primary = rf"(?:i|[nsl]|T{brk}(?=[.c])|{P['E']}|W{ann}*(?:T|{qn})(?:{P['A']}{G['C']}?|{K['K']}+{brk}|{K['0']}+{G['A']})|S{P['E']}{G['W']}|(?<=g){G['S']})"
-    postfix = rf"(?:\.(?:[ilk]|Wi{P['A']}{G['C']}?)|{P['A']}|{K['K']}|{K['0']}(?=[.c]|{K['0']})|p|c[iW])"
-    starts = "[insl!WT" + _any("(")[1:-1] + "]"
-    prefix = rf"(?:[!+p]|{P['Y']}(?={starts})|(?:i|{P['F']}|{P['L']})g)"
-    unary = rf"{prefix}*{primary}{postfix}*(?:jm*{typ}(?:i|{P['F']})?)*"
-    operand = "insl!WTS" + _any("(")[1:-1]
-    expr = _chain(unary, r"(?:[o+*|&=a<¿%]|>>?>?)", operand, "!+p")
-    exprs = _chain(unary, r"(?:[o+*|&=a<¿%,]|>>?>?)", operand, "!+p")
-
-    def full(p: str) -> str:
-        return p.replace("@L@", exprs).replace("@E@", expr)
-
-    el = "(?>@L@)"
-    var = rf"i{brk}(?:=(?:{E}|{G['A']}))?"
-    decl = rf"{typ}(?:{var}(?:,(?=i)|(?=;)))+"
-    pre = rf"(?:I{P['E']}|w{P['E']}|Q{P['H']}|(?<=[;{_any('{')[1:-1]}])Z|D|i:)"
-    stmt = (
-        rf"(?:;|{G['S']}|(?:m|{ann})*{decl};|(?=[^;]*?(?:[=apWc]|{_any('(')})){E};|R(?:{E})?;|[HJ]{E};|bi?;|v{E}(?::{E})?;|t{P['R']}?{G['S']}(?:h{P['C']}{G['S']})*(?:y{G['S']})?|S{P['E']}{G['W']}|Y{P['E']}{G['S']}|{kls})"
-    )
-    stmts = rf"(?![^I]*Z)(?>{pre}*{stmt})*"
-    label = rf"(?:C(?:{E}|{typ}i|d)(?:,(?:{E}|d))*(?:i{E})?|d)"
-    cases = rf"(?>{label}(?::{stmts}|g(?:{G['S']}|H{E};|{E};)))*"
-    member = (
-        rf"(?:;|m?{G['S']}|{kls}|{mod}(?:i{P['F']}(?:x{types})?{G['S']}|i{G['S']}|{typ}i{P['F']}{brk}(?:x{types})?(?:{G['S']}|;|d(?:{E}|{G['A']}|@{qn}{P['A']}?);)|{decl};))"
-    )
-    members = rf"(?>{member})*"
-    constant = rf"{ann}*i{P['A']}?{G['C']}?"
-    param = rf"(?:m|{ann})*{typ}e?(?:i{brk}|l)"
-    for_head = rf"(?:(?:m|{ann})*{decl}|{el})?;(?:{E})?;(?:{el})?|(?:m|{ann})*{typ}i:{E}"
-    resource = rf"(?:(?:m|{ann})*{typ}i={E}|{E})"
-    pairs = rf"i=(?:{E}|{G['A']}|@{qn}{P['A']}?)"
-    item = rf"(?:{E}|{G['A']})"
-    roles = {
-        "(": [E, rf"{_list(E, trailing=False)}|{_list(pairs, trailing=False)}|{G['A']}|@{qn}{P['A']}?", _list(param, trailing=trailing_comma), for_head, "i(?:,i)*", rf"{typ}(?:&{typ})*", rf"{resource}(?:;{resource})*;?", rf"m*{typ}(?:\|{typ})*i"],
-        "[": [E, ""],
-        "{": [stmts, members, rf"(?:{_list(constant)})(?:;{members})?", cases, _list(rf"{item}|@{qn}{P['A']}?")],
-    }
-    top = rf"(?:{ann}*Mm?{qn}(?:\.\*)?;|;)*(?>{kls}|;)*"
-    plain = r"(?:@i)*(?:i(?:\.i)*|T)(?:\[\])*"
-    argument = rf"(?:(?:@i)*\?(?:[xl]{plain})?|{plain}(?:x{plain}(?:&{plain})*)?)"
-    inner = rf"(?:{argument}(?:,{argument})*)?"
-    generics = re.compile(rf"(?<=[im.;{{}}\)c])<{inner}>(?=[(){{}}\[\],;:=.&|>?imTcegx@]|\Z)|(?<=[SYmd;{{}}])<{inner}>(?=[iT])")
-    return Grammar(lexer, fixed, _classifier("\"'", "", _DIGITS.replace("0-9a-fA-F_]+", "0-9a-fA-F_]+(?:\\.?[0-9a-fA-F_]*[pP][+-]?\\d+)?") + "[lLfFdD]?"), [], {b: [full(p) for p in ps] for b, ps in roles.items()}, full(top), generics)
-
-
-# --------------------------------------------------------------------------- Go
-
-
-def _go() -> Grammar:
-    lexer = rf'//[^\n]*|/\*.*?\*/|\n\s*|"(?:[^"\\\n]|\\.)*"|\'(?:[^\'\\\n]|\\[^\n]+?)\'|`[^`]*`|{_NUM}|\w+|\.\.\.|:=|<-|&\^=|&\^|<<=|>>=|==|!=|<=|>=|&&|\|\||\+\+|--|<<|>>|[-+*/%&|^]=|\S'
-    words = {
-        "K": "package", "m": "import", "f": "func", "R": "return", "I": "if", "Z": "else", "Q": "for", "g": "range", "S": "switch", "X": "select", "C": "case", "d": "default",
-        "b": "break continue goto fallthrough", "u": "go defer", "V": "var const", "T": "type", "t": "struct", "y": "interface", "M": "map", "h": "chan",
-    }
-    fixed = (
-        _word_kinds(words)
-        | _BRACKETS
-        | {c: c for c in ";,.:=*&~|"}
-        | {":=": "e", "<-": "w", "...": "z", "+": "+", "-": "+", "!": "!", "^": "+", "++": "p", "--": "p"}
-        | dict.fromkeys("+= -= *= /= %= &= |= ^= <<= >>= &^=".split(), "a")
-        | dict.fromkeys("== != <= >= && || << >> / % &^ < >".split(), "o")
-    )
-    P, K, G = _roles("(", "E A F D"), _roles("[", "K 0 P"), _roles("{", "S L T Y W X")
-    E, N, TY = "(?>@E@)", "(?>@N@)", "@T@"
-    qn = rf"i(?:\.i)?{K['K']}?"
-    base = rf"(?:{qn}|t{G['T']}|y{G['Y']}|{P['E']})"
-    pre = rf"(?:\*|{K['K']}|{K['0']}|M{K['K']}|w?hw?)*"
-    result = rf"(?:{P['F']}|{pre}{base})?"
-    typ = rf"{pre}(?:{base}|f{P['F']}{result})"
-    postfix = rf"(?:\.(?:i|{P['E']}|{P['D']})|{P['A']}|{K['K']})"
-    bare = rf"(?:f{P['F']}{result}{G['S']}|[nsi]|{P['E']}|(?:{K['K']}|{K['0']}|M{K['K']}|h){typ}(?={P['A']})|(?:{K['K']}|{K['0']}){typ}{G['L']}|M{K['K']}{typ}{G['L']}|t{G['T']}{G['L']}|(?:M{K['K']}|{K['0']}|w?h|f{P['F']}){typ}|y{G['Y']}|t{G['T']})"
-    prefix = r"[+!*&w]*"
-    operand = "fnsiMhyt" + _any("(")[1:-1] + _any("[")[1:-1]
-    nc = _chain(rf"{prefix}{bare}{postfix}*", "[o+*&|]", operand, "+!*&w")
-    ex = _chain(rf"{prefix}{bare}(?:(?:\.i|{K['K']})*{G['L']})?{postfix}*", "[o+*&|]", operand, "+!*&w")
-
-    def full(p: str) -> str:
-        return p.replace("@E@", ex).replace("@N@", nc).replace("@T@", typ)
-
-    def simple(e: str) -> str:
-        """An assignment, definition, send, increment or expression; its operators are spelled as separators."""
-        return rf"(?:(?:{e}(?:[,e=aw](?=.)|(?![,e=aw])))+p?)"
-
-    el = rf"(?:{E}(?:,(?=.)|(?!,)))+"
-    spec = rf"i(?:,i)*(?:(?>{typ})?=(?:{el})|{typ})?"
-    tspec = rf"i(?:{K['P']})?=?{typ}"
-    decl = rf"(?:V(?:{spec}|{P['D']})|T(?:{tspec}|{P['D']}))"
-    cond = rf"(?:(?:{simple(N)})?;)?{simple(N)}"
-    if_ = rf"I{cond}{G['S']}(?:ZI{cond}{G['S']})*(?:Z{G['S']})?"
-    for_ = rf"Q(?:(?:{simple(N)})?;(?:{N})?;(?:{simple(N)})?|(?:{N}(?:,{N})*[e=])?g{N}|{N})?{G['S']}"
-    switch = rf"S(?:(?:{simple(N)})?;)?(?:{simple(N)})?{G['W']}|X{G['X']}"
-    stmt = rf"(?:{decl}|{if_}|{for_}|{switch}|R(?:{el})?|bi?|u{E}|{G['S']}|{simple(E)})?"
-    labelled = rf"(?:i:;?)*{stmt}"
-    stmts = rf"(?>{labelled})(?:;(?>{labelled}))*"
-    cases = rf"(?:(?:C(?:{E}|{typ})(?:,(?:{E}|{typ}))*|d):{stmts})*"
-    comm = rf"(?:(?:C{simple(E)}|d):{stmts})*"
-    param = rf"(?:i(?:,i)*z?{typ}|z?{typ})"
-    field = rf"(?:(?:i(?:,i)*{typ}|\*?{qn})s?)?"
-    term = rf"~?{typ}(?:\|~?{typ})*"
-    method = rf"(?:i{P['F']}{result}|{term})?"
-    item = rf"(?:{E}|{G['L']})(?::(?:{E}|{G['L']}))?"
-    group = rf"(?:(?:{spec}|{tspec}|[i.]?s)?(?:;(?:{spec}|{tspec}|[i.]?s)?)*)"
-    roles = {
-        "(": [rf"{E}|{typ}", _list(rf"(?:{E}|{typ})z?"), _list(param), rf"{group}|T"],
-        "[": [rf"{E}?:{E}?(?::{E})?|(?:{E}|{typ}|z)(?:,{typ})*", "", rf"i(?:,i)*{term}(?:,i(?:,i)*{term})*"],
-        "{": [stmts, _list(item), rf"{field}(?:;{field})*", rf"{method}(?:;{method})*", cases, comm],
-    }
-    top = rf";*Ki;+(?:m(?:[i.]?s|{P['D']});+)*(?:(?:f{P['F']}?i{K['P']}?{P['F']}{result}{G['S']}?|{decl})(?:;+|\Z))*"
-    rewrite = _rx((r"(?<=[insRbp)\]}])N", ";"), (r"N", ""), (r";(?=\))", ";"), (r"^;+", ""))
-
-    classify = _classifier(number=_DIGITS.replace("0-9a-fA-F_]+", "0-9a-fA-F_]+(?:\\.?[0-9a-fA-F_]*[pP][+-]?\\d+)?") + "i?")
-    grammar = Grammar(lexer, fixed, lambda t: "s" if t[0] == "`" and len(t) > 1 else classify(t), rewrite, {b: [full(p) for p in ps] for b, ps in roles.items()}, full(top))
-    return grammar
-
-
-# --------------------------------------------------------------------------- Rust
-
-
-def _rust() -> Grammar:
-    lexer = (
-        rf'//[^\n]*|/\*.*?\*/|b?r(#*)".*?"\1|[bc]?"(?:[^"\\]|\\.)*"|b?\'(?:[^\'\\\n]|\\[^\n]+?)\'|\'[^\W\d]\w*|(?:0[xXbBoO][0-9a-fA-F_]+|[0-9][0-9_]*(?:\.[0-9][0-9_]*|\.(?![.\w]))?(?:[eE][+-]?[0-9_]+)?)\w*|r#\w+|\w+'
-        r"|\.\.\.|\.\.=|\.\.|->|=>|::|<<=|>>=|==|!=|<=|>=|&&|\|\||<<|[-+*/%&|^]=|\S"
-    )
-    words = {
-        "f": "fn", "V": "let", "P": "pub", "m": "mut ref", "c": "const static", "R": "return break", "b": "continue", "I": "if", "Z": "else", "Q": "for", "j": "in", "w": "while", "D": "loop",
-        "M": "match", "S": "struct enum union", "T": "type", "y": "trait", "k": "impl", "u": "use", "K": "mod", "h": "where", "A": "as", "a": "async unsafe extern move", "d": "dyn", "l": "true false",
-    }
-    fixed = (
-        _word_kinds(words)
-        | _BRACKETS
-        | {c: c for c in ";,.:=<>*&|!#?@"}
-        | {"->": "g", "=>": "r", "::": "C", "...": "e", "..": "e", "..=": "e", "+": "+", "-": "-", "&&": "&", "||": "|", "^": "o", "$": "#"}
-        | dict.fromkeys("+= -= *= /= %= &= |= ^= <<= >>=".split(), "=")
-        | dict.fromkeys("== != <= >= << / %".split(), "o")
-    )
-    P, K, G = _roles("(", "E F P T"), _roles("[", "L P T"), _roles("{", "S I U M V D P")
-    any_p, any_k, any_g = _any("("), _any("["), _any("{")
-    tree = f"(?:{any_p}|{any_k}|{any_g})"
-    E, N = "(?>@E@)", "(?>@N@)"
-    path = r"C?i(?:C(?:i|\*))*"
-    macro = rf"{path}!i?{tree}"
-    attr = rf"(?:#!?{any_k})*"
-    tatom = rf"(?:(?:&L?m?|\*[cm])*(?:Q(?=[ifak]))?(?:(?:a*s?f{P['F']}(?:g@TA@)?)|[dk]?{path}(?:{any_p}(?:g@TB@)?)?|{P['T']}|{K['T']}|!|{macro}))"
-    simple_t = rf"(?:&L?m?|\*[cm])*(?:[dk]?{path}(?:{any_p})?|{P['T']}|{K['T']}|!)"
-    bound = rf"(?:\??(?:Q)?(?:{simple_t}|L))"
-    typ = tatom.replace("@TA@", simple_t).replace("@TB@", simple_t) + rf"(?:\+{bound})*"
-    ret = rf"(?:g{typ})?"
-    where = rf"(?:h(?:(?:{typ}|L):{bound}(?:\+{bound})*,?)*)?"
-    lit = r"(?:-?n|s|l)"
-    # patterns
-    patom = rf"(?:(?:&m?)*(?:{lit}(?:e{lit}?)?|e{lit}?|m*i(?:@{lit}(?:e{lit}?)?|@i)?|{path}(?:{P['P']}|{G['P']})?(?:e{lit})?|{P['P']}|{K['P']}|{macro}))"
-    pat = rf"\|?{patom}(?:\|{patom})*"
-    # expressions
-    blockish = rf"(?:(?:L:)?(?:a*{G['S']}|(?:I@C@{G['S']}Z(?=I))*I@C@{G['S']}(?:Z{G['S']})?|M{N}{G['M']}|w@C@{G['S']}|D{G['S']}|Q{pat}j{N}{G['S']}))"
-    closure = rf"(?:a*\|(?:(?:{patom}(?::{typ})?)(?:,{patom}(?::{typ})?)*)?\|(?:g{typ}(?={G['S']}))?|a*\|(?=[^|]))"
-    prefix = rf"(?:[-!*]|&m?|R(?:L)?(?=[^,;r])|{closure})"
-    common = rf"{macro}|{lit}|n|RL?|b|{P['E']}|{K['L']}|{blockish}"
-    primary = rf"(?:{common}|{path}{G['V']}|{path})"
-    postfix = rf"(?:\.(?:[in]|C)|{P['E']}|{K['L']}|\?|A{simple_t})"
-    op = r"(?:[o+*&|=<-]|>>?)"
-    operand = "CilnsRbaLIMwDQ" + _any("(")[1:-1] + _any("[")[1:-1]
-    ex = rf"(?:(?:e(?=[^;,]))?" + _chain(rf"{prefix}*{primary}{postfix}*", rf"(?:{op}|e)", operand, "-!*&|") + r"e?|e)"
-    # the head of if, while, for and match holds no block itself; a brace ends it
-    head = "(?:e?" + _chain(rf"(?:[-!*]|&m?|{closure})*(?:{macro}|{lit}|{P['E']}|{K['L']}|{path}){postfix}*", rf"(?:{op}|e)", "Cilns" + _any("(")[1:-1] + _any("[")[1:-1], "-!*&|V") + "e?)"
-    cond = rf"(?:(?:V{pat}=)?{head}(?:&V{pat}={head})*)"
-
-    def full(p: str) -> str:
-        return p.replace("@E@", ex).replace("@C@", cond).replace("@N@", head)
-    vis = rf"(?:P{any_p}?)?"
-    generic_fn = rf"{vis}(?:c|a|as)*fi{P['F']}{ret}{where}(?:{G['S']}|;)"
-    field = rf"{attr}{vis}i:{typ}"
-    use = rf"{vis}uC?(?:i(?:C(?:i|\*))*(?:C{G['U']}|Ai)?|{G['U']}|\*);"
-    item = (
-        rf"(?:{attr}(?:{generic_fn}|{use}|{vis}Ki(?:;|{G['I']})|{vis}Si(?:{where}(?:{G['D']}|;)|{any_p}{where};)|{vis}Ti(?::{bound})?(?:={typ})?;|{vis}c[m]?i:{typ}(?:={E})?;|{vis}a?yi(?::{bound}(?:\+{bound})*)?{where}{G['I']}"
-        rf"|a?k!?{typ}(?:Q{typ})?{where}{G['I']}|(?:a|as)s?{G['I']}|{macro};?))"
-    )
-    statement = rf"(?:;|{attr}V{pat}(?::{typ})?(?:={E}(?:Z{G['S']})?)?;|{item}|{attr}{blockish}(?![.?=])|{attr}{E};)"
-    stmts = rf"(?:#!{any_k})*(?>{statement})*(?:{attr}{E})?"
-    arm = rf"{attr}{pat}(?:I{E})?r(?:{G['S']}(?![.?]),?|{E}(?:,|\Z))"
-    use_item = rf"(?:C?i(?:C(?:i|\*))*(?:C{G['U']}|Ai)?|\*|{G['U']})"
-    variant = rf"{attr}i(?:{any_p}|{G['D']})?(?:={E})?"
-    param = rf"{attr}(?:(?:&L?)?m?i(?=,|\Z)|{pat}:{typ}|{typ}|e)"
-    value = rf"{attr}(?:[in](?::{E})?|e{E})"
-    pfield = rf"{attr}(?:[in]:{pat}|m*i|e)"
-    roles = {
-        "(": [_list(E), _list(param), _list(rf"{pat}"), _list(rf"{vis}{typ}")],
-        "[": [rf"{_list(E)}|{E};{E}", _list(rf"{pat}"), rf"{typ}(?:;{E})?"],
-        "{": [stmts, rf"(?:#!{any_k})*(?>{item}|;)*", _list(use_item), rf"(?>{arm})*", _list(value), rf"{_list(field)}|{_list(variant)}", _list(pfield)],
-    }
-    top = rf"(?:#!{any_k})*(?>{item}|;)*"
-    inner = r"[iLn.,&*+?=:CdkmcT!gls\[\](){};eA]"
-    generics = re.compile(rf"(?<=[ikfQCd])C?<{inner}*?>(?=[(){{}}\[\],;:=.&|>+?iChgrjoQk!AL]|\Z)|(?<=C)<{inner}*>|(?<=[=(,;{{&])<{inner}*>(?=C)")
-    base = _classifier("", "", r"(?:0x[0-9a-fA-F_]+?|0b[01_]+|0o[0-7_]+|\d[\d_]*(?:\.\d[\d_]*|\.)?(?:[eE][+-]?[\d_]+)?)(?:_?[iu](?:8|16|32|64|128|size)|_?f(?:32|64))?")
-
-    def classify(t: str) -> str:
-        if t[0] == "'":
-            return "s" if len(t) > 2 and t[-1] == "'" else "L" if len(t) > 1 else "\0"
-        if t[-1] == '"' and len(t) > 1 or t[-1] == "#" and len(t) > 4 or t[:2] == "b'" and len(t) > 3:
-            return "s"
-        return base(t)
-
-    grammar = Grammar(lexer, fixed, classify, [], {b: [full(p) for p in ps] for b, ps in roles.items()}, full(top), generics)
-    finder = re.compile(lexer.replace(r'b?r(#*)".*?"\1', r'b?r"[^"]*"|b?r#".*?"#|b?r##".*?"##'), re.S)
-    grammar.lex = finder.findall
-    return grammar
-
-
-# --------------------------------------------------------------------------- all languages
+from lodeseam.llm.grammars import go, java, rust, script
 
 EXTENSIONS = {"py": "python", "js": "javascript", "ts": "typescript", "go": "go", "java": "java", "rs": "rust", "json": "json", "md": "markdown"}
-_BUILDERS = {"javascript": lambda: _script(False), "typescript": lambda: _script(True), "java": lambda: _java(False), "java_lenient": lambda: _java(True), "go": _go, "rust": _rust}
-_grammars: dict[str, Grammar] = {}
-
-
-def grammar(language: str) -> Grammar:
-    if language not in _grammars:
-        _grammars[language] = _BUILDERS[language]()
-    return _grammars[language]
-
 
+#: What CPython reports as a syntax error although only names are at fault.
+_NAMES_AT_FAULT = re.compile(r"duplicate (?:argument|parameter)|nonlocal|\bglobal\b|assign to __debug__|is parameter and")
 _last: list = ["", None]
 
 
@@ -557,7 +35,15 @@ def python_tree(text: str) -> ast.Module | None:
 
 
 def _python(text: str) -> bool:
-    return python_tree(text) is not None
+    try:
+        with warnings.catch_warnings():
+            warnings.simplefilter("ignore")
+            compile(text, "file", "exec", dont_inherit=True)
+        return True
+    except SyntaxError as error:
+        return bool(_NAMES_AT_FAULT.search(error.msg or "")) and python_tree(text) is not None
+    except (ValueError, RecursionError, MemoryError):
+        return False
 
 
 def _no_constant(name: str):
@@ -572,20 +58,28 @@ def _json(text: str) -> bool:
         return False
 
 
+_PARSERS = {
+    "python": _python, "json": _json, "javascript": script.parses, "typescript": lambda text: script.parses(text, True),
+    "java": java.parses, "go": go.parses, "rust": rust.parses,
+}
+
+
 def language_of(path: str) -> str | None:
     """The language of a path's extension, or None for one that is not known here."""
-    return EXTENSIONS.get(path.rsplit("/", 1)[-1].rpartition(".")[2].lower()) if "." in path.rsplit("/", 1)[-1] else None
+    name = path.rsplit("/", 1)[-1]
+    return EXTENSIONS.get(name.rpartition(".")[2].lower()) if "." in name else None
 
 
 def parses(text: str, language: str | None, java_trailing_comma: bool = False) -> bool:
-    """Whether the text is valid syntax. Unknown languages and Markdown always parse; so do empty files, save for JSON and Go."""
+    """Whether the text is valid syntax. Unknown languages and Markdown always parse; so do empty files, save for JSON and Go.
+
+    Code nested deeper than the interpreter's stack allows counts as not parsing, as it does for CPython's compiler.
+    """
     if language in (None, "markdown"):
         return True
     text = text.replace("\r\n", "\n").lstrip("﻿")
-    if language == "python":
-        return _python(text)
-    if language == "json":
-        return _json(text)
-    if not text.strip():
+    if language not in ("python", "json") and not text.strip():
         return language != "go"
-    return grammar("java_lenient" if language == "java" and java_trailing_comma else language).parses(text)
+    if language == "java":
+        return java.parses(text, java_trailing_comma)
+    return _PARSERS[language](text)
