@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from array import array
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
@@ -32,43 +34,64 @@ def words(text: str) -> list[str]:
 class SuffixAutomaton:
     """A generalised suffix automaton over the word sequences of all items.
 
-    Each state knows, as a bitmap, the items that hold its sequences, and the short items that end there as a whole.
+    Every end of a sequence keeps its item once. The ends below a state of the suffix-link tree lie side by side in one
+    list, so the items that hold a state's words are a range of it, and memory is linear in the words of the items.
     """
 
     def __init__(self, items: list[tuple[object, list[str]]], least: int):
         self.ids = [i for i, _ in items]
+        self.sizes = [len(sequence) for _, sequence in items]
         self.least = least
         self.vocabulary: dict[str, int] = {}
         self.next: list[dict[int, int]] = [{}]
-        self.link, self.length, self.held = [-1], [0], [0]
-        self.short: dict[int, list[tuple[int, int]]] = {}
-        ends: list[tuple[int, int, int]] = []
+        self.link, self.length = [-1], [0]
+        #: state -> short items that end there as a whole; state -> the nearest state on its links that has any
+        self.short: dict[int, list[int]] = {}
+        self.short_up: dict[int, int] = {}
+        at: list[int] = []
+        who: list[int] = []
         for k, (_, sequence) in enumerate(items):
             last = 0
             for w in sequence:
-                last = self._extend(last, self.vocabulary.setdefault(w, len(self.vocabulary)), 1 << k)
+                last = self._extend(last, self.vocabulary.setdefault(w, len(self.vocabulary)))
+                at.append(last)
+                who.append(k)
             if 0 < len(sequence) < least:
-                ends.append((k, len(sequence), last))
-        for v in sorted(range(1, len(self.next)), key=self.length.__getitem__, reverse=True):
-            if self.link[v] > 0:
-                self.held[self.link[v]] |= self.held[v]
-        for k, n, v in ends:
-            self.short.setdefault(v, []).append((n, 1 << k))
-        # short items that end at a state or at one of its suffixes
-        for v in sorted(range(1, len(self.next)), key=self.length.__getitem__):
-            if self.link[v] in self.short:
-                self.short[v] = [*self.short.get(v, []), *self.short[self.link[v]]]
-
-    def _extend(self, last: int, word: int, bit: int) -> int:
+                self.short.setdefault(last, []).append(k)
+        self._order_ends(at, who)
+
+    def _order_ends(self, at: list[int], who: list[int]) -> None:
+        n = len(self.next)
+        own = [0] * n
+        for v in at:
+            own[v] += 1
+        by_length = sorted(range(1, n), key=self.length.__getitem__)
+        total = own[:]
+        for v in reversed(by_length):
+            total[self.link[v]] += total[v]
+        first, cursor = [0] * n, [own[0]] + [0] * (n - 1)
+        for v in by_length:
+            up = self.link[v]
+            first[v] = cursor[up]
+            cursor[up] += total[v]
+            cursor[v] = first[v] + own[v]
+            if self.short:
+                nearest = up if up in self.short else self.short_up.get(up)
+                if nearest is not None:
+                    self.short_up[v] = nearest
+        ends = array("l", [0]) * len(at)
+        place = first[:]
+        for v, k in zip(at, who):
+            ends[place[v]] = k
+            place[v] += 1
+        self.ends, self.first, self.total = ends, array("l", first), array("l", total)
+        self.link, self.length = array("l", self.link), array("l", self.length)
+
+    def _extend(self, last: int, word: int) -> int:
         if word in self.next[last]:
             q = self.next[last][word]
-            if self.length[q] == self.length[last] + 1:
-                self.held[q] |= bit
-                return q
-            clone = self._clone(last, word, q)
-            self.held[clone] |= bit
-            return clone
-        new = self._state({}, self.length[last] + 1, -1, bit)
+            return q if self.length[q] == self.length[last] + 1 else self._clone(last, word, q)
+        new = self._state({}, self.length[last] + 1, -1)
         p = last
         while p >= 0 and word not in self.next[p]:
             self.next[p][word] = new
@@ -81,22 +104,26 @@ class SuffixAutomaton:
         return new
 
     def _clone(self, p: int, word: int, q: int) -> int:
-        clone = self._state(dict(self.next[q]), self.length[p] + 1, self.link[q], 0)
+        clone = self._state(dict(self.next[q]), self.length[p] + 1, self.link[q])
         while p >= 0 and self.next[p].get(word) == q:
             self.next[p][word] = clone
             p = self.link[p]
         self.link[q] = clone
         return clone
 
-    def _state(self, following: dict[int, int], length: int, link: int, held: int) -> int:
+    def _state(self, following: dict[int, int], length: int, link: int) -> int:
         self.next.append(following)
         self.length.append(length)
         self.link.append(link)
-        self.held.append(held)
         return len(self.next) - 1
 
-    def matches(self, sequence: list[str]) -> Iterator[tuple[int, int, int]]:
-        """(end, words, bitmap of items) where a long enough match ends: the longest match there and the items that hold its last ``least`` words or are short and end there whole."""
+    def holders(self, state: int) -> set[int]:
+        """The items that hold the words of a state."""
+        start = self.first[state]
+        return set(self.ends[start : start + self.total[state]])
+
+    def matches(self, sequence: list[str]) -> Iterator[tuple[int, int, set[int] | list[int]]]:
+        """(end, words, items) where a long enough match ends: the longest match there and the items that hold its last ``least`` words or are short and end there whole."""
         following, link, length, short, least = self.next, self.link, self.length, self.short, self.least
         v = matched = 0
         for at, w in enumerate(map(self.vocabulary.get, sequence)):
@@ -118,25 +145,26 @@ class SuffixAutomaton:
                 u = v
                 while length[link[u]] >= least:
                     u = link[u]
-                yield at + 1, matched, self.held[u]
-            if short and v in short:
-                for n, bit in short[v]:
+                yield at + 1, matched, self.holders(u)
+            if short:
+                u = v if v in short else self.short_up.get(v)
+                while u is not None:
+                    n = self.sizes[short[u][0]]
                     if n <= matched:
-                        yield at + 1, n, bit
+                        yield at + 1, n, short[u]
+                    u = self.short_up.get(u)
 
     def leaks(self, sequence: list[str]) -> dict[int, list[list[int]]]:
         """Item number -> merged [start, end) word spans of the sequence that hold its passages."""
         found: dict[int, list[list[int]]] = {}
         for end, n, items in self.matches(sequence):
             start = end - min(n, self.least)
-            while items:
-                low = items & -items
-                spans = found.setdefault(low.bit_length() - 1, [])
+            for k in items:
+                spans = found.setdefault(k, [])
                 if spans and start <= spans[-1][1]:
                     spans[-1][1] = max(spans[-1][1], end)
                 else:
                     spans.append([start, end])
-                items ^= low
         return found
 
 
@@ -182,41 +210,44 @@ def find_leaks(documents: DataFrame, items: DataFrame, least: int = 13) -> DataF
 def _finder(shared, schema: pa.Schema):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton: SuffixAutomaton = shared.value
-        sizes = None
         for batch in batches:
             out: list[tuple] = []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 sequence = words(text)
                 for k, spans in automaton.leaks(sequence).items():
-                    out.append((doc, automaton.ids[k], sum(b - a for a, b in spans), max(b - a for a, b in spans), 0, len(sequence)))
+                    out.append((doc, automaton.ids[k], sum(b - a for a, b in spans), max(b - a for a, b in spans), automaton.sizes[k], len(sequence)))
             if out:
-                sizes = sizes or _sizes(automaton)
-                index = {i: k for k, i in enumerate(automaton.ids)}
-                columns = list(zip(*out))
-                columns[4] = tuple(sizes[index[i]] for i in columns[1])
-                yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(columns, schema)], schema=schema)
+                yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*out), schema)], schema=schema)
 
     return run
 
 
-def _sizes(automaton: SuffixAutomaton) -> list[int]:
-    """Words of each item: its longest state."""
-    sizes = [0] * len(automaton.ids)
-    for v in range(1, len(automaton.next)):
-        held, n = automaton.held[v], automaton.length[v]
-        while held:
-            low = held & -held
-            k = low.bit_length() - 1
-            sizes[k] = max(sizes[k], n)
-            held ^= low
-    return sizes
+_SEGMENT = re.compile(r".[̀-゙゚ͯﾞﾟ]*", re.S)
 
 
-_SEGMENT = re.compile(r".[̀-゙゚ͯﾞﾟ]*", re.S)
+def leaked_spans(sequence: list[str], automaton: SuffixAutomaton) -> list[list[int]]:
+    """Merged [start, end) word spans that hold passages of any item."""
+    return _merged(s for spans in automaton.leaks(sequence).values() for s in spans)
 
 
-def without_leaks(text: str, automaton: SuffixAutomaton, max_words: int = 0, max_coverage: float = 1.0) -> str | None:
-    """The text without its leaked spans of more than ``max_words`` words; None where they cover more than ``max_coverage`` of its words."""
+def _merged(spans) -> list[list[int]]:
+    out: list[list[int]] = []
+    for a, b in sorted(map(tuple, spans)):
+        if out and a <= out[-1][1]:
+            out[-1][1] = max(out[-1][1], b)
+        else:
+            out.append([a, b])
+    return out
+
+
+def without_spans(text: str, spans: list[list[int]], max_words: int = 0, max_coverage: float = 1.0) -> str | None:
+    """The text without its word spans of more than ``max_words`` words; None where these cover more than ``max_coverage`` of its words.
+
+    None as well where the words cannot be told apart in the text as it stands.
+    """
+    spans = [s for s in _merged(spans) if s[1] - s[0] > max_words]
+    if not spans:
+        return text
     normal, origin = [], []
     for m in _SEGMENT.finditer(text):
         piece = normalised(m.group())
@@ -224,17 +255,10 @@ def without_leaks(text: str, automaton: SuffixAutomaton, max_words: int = 0, max
         origin.extend([m.start()] * len(piece))
     origin.append(len(text))
     found = list(_WORDS.finditer("".join(normal)))
-    spans = sorted(s for spans in automaton.leaks([m.group() for m in found]).values() for s in spans if s[1] - s[0] > max_words)
-    merged: list[list[int]] = []
-    for a, b in spans:
-        if merged and a <= merged[-1][1]:
-            merged[-1][1] = max(merged[-1][1], b)
-        else:
-            merged.append([a, b])
-    if merged and sum(b - a for a, b in merged) > max_coverage * len(found):
+    if spans[-1][1] > len(found) or sum(b - a for a, b in spans) > max_coverage * len(found):
         return None
     out, pos = [], 0
-    for a, b in merged:
+    for a, b in spans:
         out.append(text[pos : origin[found[a].start()]])
         last = origin[found[b - 1].end() - 1]
         pos = _SEGMENT.match(text, last).end()
@@ -245,24 +269,64 @@ def without_leaks(text: str, automaton: SuffixAutomaton, max_words: int = 0, max
 def remove_leaks(documents: DataFrame, items: DataFrame, least: int = 13, max_words: int = 0, max_coverage: float = 0.5) -> DataFrame:
     """(doc_id, text): the documents without passages of the items; a document of which more than ``max_coverage`` leaked is dropped.
 
-    Null texts stay null. Several automata are applied one after another.
+    The leaked spans of all items are put together before a document is judged, whatever the number of automata: with
+    one automaton in a single pass that moves nothing, with several from a table of the spans of the texts that leak.
+    Null texts stay null; empty texts stay. Empty items change nothing.
     """
     kind = dict(documents.dtypes)["doc_id"]
-    result = documents.select("doc_id", "text")
-    for automaton in _automata(items, least):
-        shared = documents.sparkSession.sparkContext.broadcast(automaton)
+    schema = f"doc_id {kind}, text string"
+    spark = documents.sparkSession
+    shared = [spark.sparkContext.broadcast(a) for a in _automata(items, least)]
+    rows = documents.select("doc_id", "text")
+    if not shared:
+        return rows
+    if len(shared) == 1:
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 kept = []
                 for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                    if text is not None and shared.value.leaks(words(text)):
-                        text = without_leaks(text, shared.value, max_words, max_coverage)
+                    if text is not None:
+                        text = without_spans(text, leaked_spans(words(text), shared[0].value), max_words, max_coverage)
                         if text is None:
                             continue
                     kept.append((doc, text))
                 if kept:
-                    yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in kept], type=batch.column(0).type), pa.array([k[1] for k in kept], type=pa.string())], names=["doc_id", "text"])
+                    yield _pairs(kept, batch.column(0).type)
+
+        return rows.mapInArrow(run, schema)
 
-        result = result.mapInArrow(run, f"doc_id {kind}, text string")
-    return result
+    def spans_of(one):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                out = [(digest, spans) for digest, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) if (spans := leaked_spans(words(text), one.value))]
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array([d for d, _ in out], type=pa.string()), pa.array([x for _, x in out], type=pa.list_(pa.list_(pa.int32())))], names=["digest", "spans"])
+
+        return run
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kept = []
+            for doc, text, spans in zip(*(batch.column(k).to_pylist() for k in range(3))):
+                if text is not None and spans:
+                    text = without_spans(text, spans, max_words, max_coverage)
+                    if text is None:
+                        continue
+                kept.append((doc, text))
+            if kept:
+                yield _pairs(kept, batch.column(0).type)
+
+    keyed = rows.withColumn("digest", F.sha2("text", 256))
+    texts = keyed.filter("text is not null").select("digest", "text")
+    found = [texts.mapInArrow(spans_of(one), "digest string, spans array<array<int>>") for one in shared]
+    spans = found[0]
+    for part in found[1:]:
+        spans = spans.unionByName(part)
+    # copies of a text have the same spans; each automaton's count once
+    spans = spans.groupBy("digest").agg(F.flatten(F.collect_set("spans")).alias("spans"))
+    return keyed.join(spans, "digest", "left").select("doc_id", "text", "spans").mapInArrow(cut, schema)
+
+
+def _pairs(kept: list[tuple], kind: pa.DataType) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([k[0] for k in kept], type=kind), pa.array([k[1] for k in kept], type=pa.string())], names=["doc_id", "text"])

@@ -5,7 +5,8 @@ import unicodedata
 
 import numpy as np
 
-from lodeseam.llm.leaks import SuffixAutomaton, find_leaks, remove_leaks, without_leaks, words
+from lodeseam.llm import leaks
+from lodeseam.llm.leaks import SuffixAutomaton, find_leaks, leaked_spans, remove_leaks, without_spans, words
 from lodeseam.llm.reading import ReadingModel, document_frequencies, familiar_words, reading_levels, tokens
 
 
@@ -63,7 +64,12 @@ def test_frames(spark):
 
 
 def test_spans_are_cut_in_the_original_text():
-    a = SuffixAutomaton([(0, words("alpha beta gamma"))], 3)
+    automaton = SuffixAutomaton([(0, words("alpha beta gamma"))], 3)
+
+    def without_leaks(text, _, **limits):
+        return without_spans(text, leaked_spans(words(text), automaton), **limits)
+
+    a = None
     assert without_leaks("x ＡＬＰＨＡ — béta, beta Gamma y", a) == "x ＡＬＰＨＡ — béta, beta Gamma y"
     assert without_leaks("x ＡＬＰＨＡ — beta, Gammá! y", a) == "x ＡＬＰＨＡ — beta, Gammá! y"
     assert without_leaks("x ＡＬＰＨＡ — beta, Gamma! y", a) == "x ! y"
@@ -71,6 +77,31 @@ def test_spans_are_cut_in_the_original_text():
     assert without_leaks("ALPHA beta gamma", a, max_words=3) == "ALPHA beta gamma"
 
 
+def test_leaks_are_judged_over_all_automata(spark, monkeypatch):
+    """A document's leaked share does not depend on how many automata hold the items."""
+    first, second = (" ".join(f"{c}{k}" for k in range(20)) for c in "ab")
+    clean = " ".join(f"c{k}" for k in range(20))
+    items = spark.createDataFrame([(1, first), (2, second)], "item_id int, text string")
+    docs = [(1, f"{first} {second} {clean}"), (2, f"{first} {clean} {clean}"), (3, clean), (4, None), (5, ""), (None, f"{first} {clean} {clean}"), (2, f"{first} {clean} {clean}")]
+    df = spark.createDataFrame(docs, "doc_id int, text string")
+    results = []
+    for bound in (400_000, 20):
+        monkeypatch.setattr(leaks, "WORDS_PER_AUTOMATON", bound)
+        results.append(sorted(((r["doc_id"], r["text"]) for r in remove_leaks(df, items, max_coverage=0.5).collect()), key=str))
+        assert {(r["doc_id"], r["item_id"]) for r in find_leaks(df, items).collect()} == {(1, 1), (1, 2), (2, 1)}
+    assert results[0] == results[1]
+    assert {d for d, _ in results[0]} == {2, 3, 4, 5, None} and len(results[0]) == 6
+
+
+def test_automaton_is_linear_in_its_words():
+    import pickle
+
+    rng = random.Random(4)
+    vocabulary = [f"word{k}" for k in range(20_000)]
+    items = [(k, [rng.choice(vocabulary) for _ in range(50)]) for k in range(8_000)]
+    assert len(pickle.dumps(SuffixAutomaton(items, 13))) < 40e6
+
+
 # ---- reading levels
 
 WORDS = {1: "cat dog ball sun red box", 2: "folder window button search list page", 3: "pipeline index cache shard query node", 4: "manifold posterior functional stochastic variational ergodic"}
