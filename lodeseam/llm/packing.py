@@ -8,6 +8,7 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -31,23 +32,33 @@ def encoder(vocabulary: str):
 
 
 def count_tokens(text: str, encoding) -> int:
-    # the byte-pair merge is quadratic in the length of a run without a break; such runs are counted in whole by parts
+    """Tokens of a text. Long texts are counted in parts, cut only where the vocabulary's pattern breaks, so the sum is the text's own count."""
     if len(text) < 20_000:
         return len(encoding.encode_ordinary(text))
-    return sum(len(encoding.encode_ordinary(part)) for part in _parts(text))
+    return sum(len(encoding._encode_single_piece(part.encode("utf-8", "replace"))) if alone else len(encoding.encode_ordinary(part)) for part, alone in _parts(text))
 
 
-def _parts(text: str, size: int = 16_000) -> Iterator[str]:
-    """Whole-text parts cut before spaces, where the vocabulary's pattern breaks anyway."""
-    pos = 0
-    while len(text) - pos > size:
-        cut = pos + size
-        while cut > pos + 1 and not (text[cut] == " " and text[cut - 1].isalnum() and cut + 1 < len(text) and text[cut + 1].isalnum()):
-            cut -= 1
-        cut = cut if cut > pos + 1 else pos + size
-        yield text[pos:cut]
-        pos = cut
-    yield text[pos:]
+_breaks = regex.compile(BYTE_LEVEL_PATTERN).finditer
+
+
+def _parts(text: str, size: int = 16_000) -> Iterator[tuple[str, bool]]:
+    """(part, whether it is one piece of the pattern): parts that begin and end where the pattern breaks.
+
+    The pattern looks at nothing before a piece and at one character behind white space only, which is white space in
+    both readings, so a part breaks as it does within the text. A piece of ``size`` characters stands alone: the
+    encoding's own splitting fails on very long ones.
+    """
+    begun = 0
+    for m in _breaks(text):
+        long = m.end() - m.start() >= size
+        if long and m.start() > begun:
+            yield text[begun : m.start()], False
+            begun = m.start()
+        if m.end() - begun >= size:
+            yield text[begun : m.end()], long
+            begun = m.end()
+    if begun < len(text):
+        yield text[begun:], False
 
 
 def token_counts(documents: DataFrame, vocabulary: str) -> DataFrame:
@@ -84,42 +95,42 @@ class Bins:
         self.capacity = capacity
         self.residuals = 0
         self.by_residual: list[list[int]] = [[] for _ in range(capacity + 1)]
+        self.place: list[int] = []
         self.left: list[int] = []
         self.sources: list[int] = []
         self.copies: list[int] = []
 
     def _open(self, container: int, left: int) -> None:
+        self.place[container] = len(self.by_residual[left])
         self.by_residual[left].append(container)
         self.residuals |= 1 << left
 
     def _close(self, container: int) -> None:
         left = self.left[container]
-        self.by_residual[left].remove(container)
-        if not self.by_residual[left]:
+        same = self.by_residual[left]
+        last = same.pop()
+        if last != container:
+            same[self.place[container]] = last
+            self.place[last] = self.place[container]
+        if not same:
             self.residuals &= ~(1 << left)
 
-    def find(self, size: int, source: int, copies: int, slack: int) -> int | None:
-        """The tightest container without a copy of the item and, up to ``slack`` tokens looser, without its source."""
-        second = None
+    def find(self, size: int, source: int, copies: int) -> int | None:
+        """The tightest container that holds neither a copy of the item nor a document of its source."""
         rest = self.residuals >> size << size
         while rest:
             residual = (rest & -rest).bit_length() - 1
             rest &= rest - 1
             for container in self.by_residual[residual]:
-                if self.copies[container] & copies:
-                    continue
-                if not self.sources[container] & source:
+                if not (self.copies[container] & copies or self.sources[container] & source):
                     return container
-                if second is None:
-                    second = container
-            if second is not None and residual >= self.left[second] + slack:
-                return second
-        return second
+        return None
 
     def put(self, container: int | None, size: int, source: int, copies: int) -> int:
         if container is None:
             container = len(self.left)
             self.left.append(self.capacity)
+            self.place.append(0)
             self.sources.append(0)
             self.copies.append(0)
         else:
@@ -132,12 +143,13 @@ class Bins:
         return container
 
 
-def pack(items: list[tuple], capacity: int, slack: int = 16) -> list[tuple[int, object, int, int]]:
+def pack(items: list[tuple], capacity: int) -> list[tuple[int, object, int, int]]:
     """(container, doc_id, token_start, token_end) of best-fit decreasing over (doc_id, tokens, source, copies) rows.
 
     An item larger than a container fills containers of its own and its rest is packed like any other. Copies of one
-    text keep apart as long as that opens no further container in the end: what lies in containers less than half full
-    is placed again without that rule. Items without tokens take no space and go to the first container.
+    text and documents of one source keep apart as long as that opens no further container in the end: what lies in
+    containers less than half full is placed again, into the tightest compatible container and without that rule where
+    there is none. Items without tokens take no space and go to the first container.
     """
     out: list[tuple[int, object, int, int]] = []
     bins = Bins(capacity)
@@ -154,7 +166,7 @@ def pack(items: list[tuple], capacity: int, slack: int = 16) -> list[tuple[int,
             whole.append((doc, start, start + capacity))
             start += capacity
         group = 1 << marks.setdefault(copies, len(marks)) if copies in repeated else 0
-        owner = 1 << (source_marks.setdefault(source, len(source_marks)) % 512) if source is not None else 0
+        owner = 1 << source_marks.setdefault(source, len(source_marks)) if source is not None else 0
         if size > start:
             pieces.append((size - start, doc, start, owner, group))
         elif size == 0:
@@ -162,7 +174,7 @@ def pack(items: list[tuple], capacity: int, slack: int = 16) -> list[tuple[int,
     pieces.sort(key=lambda p: -p[0])
     placed: list[list[tuple[int, object, int, int, int]]] = []
     for p in pieces:
-        c = bins.put(bins.find(p[0], p[3], p[4], slack), p[0], p[3], p[4])
+        c = bins.put(bins.find(p[0], p[3], p[4]), p[0], p[3], p[4])
         if c == len(placed):
             placed.append([])
         placed[c].append(p)
@@ -175,7 +187,9 @@ def pack(items: list[tuple], capacity: int, slack: int = 16) -> list[tuple[int,
             bins.left[c] = capacity
         spare = iter(loose)
         for p in again:
-            c = bins.find(p[0], 0, 0, 0)
+            c = bins.find(p[0], p[3], p[4])
+            c = bins.find(p[0], 0, p[4]) if c is None else c
+            c = bins.find(p[0], 0, 0) if c is None else c
             if c is None:
                 c = next(spare)
                 bins.sources[c] = bins.copies[c] = 0
@@ -194,7 +208,7 @@ def pack(items: list[tuple], capacity: int, slack: int = 16) -> list[tuple[int,
     return out
 
 
-def pack_documents(documents: DataFrame, vocabulary: str, capacity: int = 2048, per_task: int = 25_000, slack: int = 16) -> DataFrame:
+def pack_documents(documents: DataFrame, vocabulary: str, capacity: int = 2048, per_task: int = 25_000) -> DataFrame:
     """(container, doc_id, token_start, token_end): every document placed in containers of ``capacity`` tokens.
 
     Documents are dealt to groups of about ``per_task`` by the hash of their id, whatever their source, and each group
@@ -218,12 +232,12 @@ def pack_documents(documents: DataFrame, vocabulary: str, capacity: int = 2048,
         for batch in batches:
             for task, *item in zip(*(batch.column(k).to_pylist() for k in range(5))):
                 if task != current and items:
-                    yield _rows(current, pack(items, capacity, slack), arrow)
+                    yield _rows(current, pack(items, capacity), arrow)
                     items = []
                 current = task
                 items.append(tuple(item))
         if items:
-            yield _rows(current, pack(items, capacity, slack), arrow)
+            yield _rows(current, pack(items, capacity), arrow)
 
     return rows.repartition("task").sortWithinPartitions("task", "doc_id").mapInArrow(run, schema)
 

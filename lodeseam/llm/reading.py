@@ -34,7 +34,7 @@ class ReadingModel:
 
     vocabulary: word -> row of the tables; log_words[row, level]: log probability ratio of the word at a level;
     mixture[level, sentence level]; length: mean and deviation of log sentence length per sentence level; formula: mean
-    and deviation of the unfamiliar share per document level; familiar[row, language list].
+    and deviation of the unfamiliar share per document level; familiar_lists: the languages in whose list a word is.
     """
 
     def __init__(self, familiar: dict[str, list[str]]):
@@ -78,17 +78,25 @@ class ReadingModel:
         """Words per sentence, and the unfamiliar share per document: outside the list that covers most of its words."""
         words = np.bincount(sentence, minlength=len(of))
         total = np.bincount(of, weights=words, minlength=n_docs)
-        best = np.zeros(n_docs)
-        for k in range(len(self.lists)):
-            held = np.bincount(of[sentence], weights=self.familiar[ids, k], minlength=n_docs)
-            best = np.maximum(best, held)
-        return words, 1 - best / np.maximum(total, 1)
+        # every occurrence of a familiar word counts for each of the lists that hold it
+        many = self.familiar_first[ids + 1] - self.familiar_first[ids]
+        hit = np.repeat(np.arange(len(ids)), many)
+        at = np.arange(len(hit)) - np.repeat(np.cumsum(many) - many, many) + np.repeat(self.familiar_first[ids], many)
+        lists = max(1, len(self.lists))
+        held = np.bincount(of[sentence[hit]] * lists + self.familiar_lists[at], minlength=n_docs * lists).reshape(n_docs, lists)
+        return words, 1 - held.max(axis=1) / np.maximum(total, 1)
 
     def _tables(self) -> None:
-        self.familiar = np.zeros((len(self.vocabulary) + 1, max(1, len(self.lists))))
+        """familiar_lists[familiar_first[w]:familiar_first[w + 1]] are the numbers of the lists that hold word w."""
+        of_word: dict[int, list[int]] = {}
         for k, name in enumerate(self.lists):
             for w in self.familiar_words[name]:
-                self.familiar[self.vocabulary[w], k] = 1
+                of_word.setdefault(self.vocabulary[w], []).append(k)
+        many = np.zeros(len(self.vocabulary) + 2, dtype=np.int64)
+        for w, lists in of_word.items():
+            many[w + 1] = len(lists)
+        self.familiar_first = np.cumsum(many)
+        self.familiar_lists = np.array([k for w in sorted(of_word) for k in of_word[w]], dtype=np.int64)
         if len(self.log_words) != len(self.vocabulary) + 1:
             self.log_words = np.zeros((len(self.vocabulary) + 1, LEVELS))
 
@@ -120,12 +128,12 @@ class ReadingModel:
         return out + formula, likely, unfamiliar
 
     def fit(self, texts: list[str], ratings: list[list[int]], rounds: int = 6, error: float = 0.04) -> "ReadingModel":
-        """Expectation-maximisation; ``error`` is the chance of a rater to be one level off, to each side."""
+        """Expectation-maximisation; ``ratings`` has the number of raters per level, ``error`` is the chance of a rater to be one level off, to each side."""
         ids, sentence, of = self.encode(texts, grow=True)
         self._tables()
         n = len(texts)
         noise = np.full((LEVELS, LEVELS), error / 10) + np.eye(LEVELS) * (1 - 2 * error) + (np.eye(LEVELS, k=1) + np.eye(LEVELS, k=-1)) * error
-        rated = np.array([np.log(noise[:, [r - 1 for r in rs]]).sum(axis=1) for rs in ratings])
+        rated = np.array(ratings, dtype=np.float64) @ np.log(noise).T
         level = np.exp(rated - rated.max(axis=1, keepdims=True))
         level /= level.sum(axis=1, keepdims=True)
         part = level[of]  # sentence levels start as their documents'
@@ -197,29 +205,48 @@ def document_frequencies(documents: DataFrame) -> DataFrame:
         rows = [(lang, w, n) for lang, c in counts.items() for w, n in c.items() if w[0].isalpha()]
         return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], type=pa.string()), pa.array([r[1] for r in rows], type=pa.string()), pa.array([r[2] for r in rows], type=pa.int64())], names=["lang", "word", "documents"])
 
-    lang = F.lower(F.substring(F.coalesce("lang", F.lit("")), 1, 2)).alias("lang")
-    return documents.select(lang, F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, "lang string, word string, documents bigint").groupBy("lang", "word").agg(F.sum("documents").alias("documents"))
+    return documents.select(_language().alias("lang"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, "lang string, word string, documents bigint").groupBy("lang", "word").agg(F.sum("documents").alias("documents"))
 
 
-def familiar_words(documents: DataFrame, size: int = 150, languages: int = 32) -> dict[str, list[str]]:
-    """The ``size`` words found in most documents of each of the ``languages`` most frequent declared languages; at most size x languages words reach the driver."""
-    frequencies = document_frequencies(documents)
+def _language():
+    """The two-letter code that a declared language begins with, "" for anything else; 676 codes at most."""
+    return F.lower(F.regexp_extract(F.coalesce("lang", F.lit("")), "^([A-Za-z]{2})(?![A-Za-z]{2})", 1))
+
+
+def familiar_words(documents: DataFrame, size: int = 150) -> dict[str, list[str]]:
+    """The ``size`` words found in most documents of each declared language; at most 676 times ``size`` words reach the driver."""
+    frequencies = document_frequencies(documents).filter("lang <> ''")
     ranked = frequencies.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("documents"), "word"))).filter(F.col("rank") <= size)
-    lists = ranked.groupBy("lang").agg(F.max("documents").alias("most"), F.collect_list("word").alias("words")).orderBy(F.desc("most"), "lang").limit(languages)
-    return {r["lang"]: sorted(r["words"]) for r in lists.collect() if r["lang"]}
+    return {r["lang"]: sorted(r["words"]) for r in ranked.groupBy("lang").agg(F.collect_list("word").alias("words")).collect()}
+
 
+def labelled_sample(documents: DataFrame, labels: DataFrame, rows: int, chars: int = 40_000) -> tuple[list[str], list[list[int]]]:
+    """Texts and raters per level of at most ``rows`` labelled documents, picked by the hash of their id.
 
-def labelled_sample(documents: DataFrame, labels: DataFrame, rows: int) -> tuple[list[str], list[list[int]]]:
-    """Texts and ratings of at most ``rows`` labelled documents, picked by the hash of their id."""
+    Texts of more than ``chars`` characters are left out of the sample, which bounds what reaches the driver. Of several
+    texts of one id the latest counts, of equal times the larger.
+    """
+    votes = [F.sum((F.col("reading_level") == k).cast("int")).alias(f"level_{k}") for k in range(1, LEVELS + 1)]
     rated = (
         labels.filter(F.col("reading_level").between(1, LEVELS) & F.col("doc_id").isNotNull())
         .groupBy("doc_id")
-        .agg(F.slice(F.sort_array(F.collect_list("reading_level")), 1, 64).alias("ratings"))
+        .agg(*votes)
         .orderBy(F.xxhash64("doc_id"), "doc_id")
         .limit(rows)
     )
-    found = documents.filter("text is not null").select("doc_id", "text").join(F.broadcast(rated), "doc_id").dropDuplicates(["doc_id"]).orderBy("doc_id").toArrow()
-    return found.column("text").to_pylist(), found.column("ratings").to_pylist()
+    times = ["created_at"] if "created_at" in documents.columns else []
+    found = (
+        documents.filter("text is not null")
+        .select("doc_id", "text", *times)
+        .join(F.broadcast(rated), "doc_id")
+        .groupBy("doc_id", *rated.columns[1:])
+        .agg(F.max(F.struct(*times, "text")).alias("row"))
+        .filter(F.length("row.text") <= chars)
+        .orderBy("doc_id")
+        .select("row.text", *rated.columns[1:])
+        .toArrow()
+    )
+    return found.column(0).to_pylist(), [list(r) for r in zip(*(found.column(k).to_pylist() for k in range(1, LEVELS + 1)))]
 
 
 def fit_reading_model(documents: DataFrame, labels: DataFrame, sample_rows: int = 6000, familiar: int = 150) -> ReadingModel:

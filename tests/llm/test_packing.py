@@ -71,3 +71,26 @@ def test_frame(spark):
     held = check([(902, len(e.encode_ordinary("word " * 30_000)))], [(r["container"], r["doc_id"], r["token_start"], r["token_end"]) for r in got], 256)
     assert sum(held.values()) / (256 * len([v for v in held.values() if v])) > 0.9
     assert pack_documents(spark.createDataFrame([], ddl), VOCABULARY).count() == 0
+
+
+def test_token_counts_of_long_texts():
+    """Long texts count what the tokenizer says, and runs that it cannot take are counted as well."""
+    encoding = encoder(VOCABULARY)
+    rng = random.Random(1)
+    for _ in range(20):
+        text = "".join(rng.choice(["word ", "  ", " \n", "x" * rng.randint(1, 50), "12", "'s", "don't", "...", "é語", " " * rng.randint(1, 90), "\t", '{"a": 1,}\n']) for _ in range(6000))
+        assert count_tokens(text, encoding) == len(encoding.encode_ordinary(text))
+    assert count_tokens(" " * 3_000_000, encoding) == 3_000_000 and count_tokens("x" * 1_000_000, encoding) == 125_000
+
+
+def test_sources_keep_apart():
+    """Documents of one source share no container while other containers can take them."""
+    rng = random.Random(6)
+    items = [(k, rng.randint(20, 900), f"s{k % 700}", k) for k in range(3000)]
+    placed = pack(items, 2048)
+    held = check(items, placed, 2048)
+    assert len(held) <= -(-sum(i[1] for i in items) // 2048) + 2
+    inside: dict = {}
+    for container, doc, _, _ in placed:
+        inside.setdefault(container, []).append(items[doc][2])
+    assert sum(len(set(s)) < len(s) for s in inside.values()) <= 0.01 * len(held)

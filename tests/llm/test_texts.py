@@ -124,7 +124,7 @@ def corpus(n, seed=0):
 def test_held_out_accuracy():
     train, test = corpus(400), corpus(300, 9)
     rng = random.Random(1)
-    model = ReadingModel({"en": ["the"]}).fit([t for _, t, _ in train], [[min(4, max(1, v + rng.choice([0] * 9 + [1])))] for _, _, v in train])
+    model = ReadingModel({"en": ["the"]}).fit([t for _, t, _ in train], [[int(k == min(4, max(1, v + noise))) for k in range(1, 5)] for _, _, v in train for noise in [rng.choice([0] * 9 + [1])]])
     level, unfamiliar, length = model.levels([t for _, t, _ in test])
     assert np.mean(level == np.array([v for _, _, v in test])) > 0.9
     assert 0 < unfamiliar.mean() < 1 and length.mean() > 3
@@ -158,3 +158,21 @@ def test_empty_model():
     m = ReadingModel({})
     m._tables()
     assert m.levels([""])[0].tolist() == [1] and m.levels([])[0].tolist() == []
+
+
+def test_every_rating_and_language_counts(spark):
+    """Ratings count whatever their number, and so do all declared languages."""
+    from lodeseam.llm.reading import labelled_sample
+
+    labels = spark.createDataFrame([(1, "r", 2)] * 70 + [(1, "s", 4)] * 90 + [(2, "r", 1)], "doc_id int, rater string, reading_level int")
+    docs = spark.createDataFrame([(1, "old text", 1), (1, "new text", 2), (2, "x" * 50, 1), (3, None, 1)], "doc_id int, text string, created_at int")
+    assert labelled_sample(docs, labels, 10) == (["new text", "x" * 50], [[0, 70, 0, 90], [1, 0, 0, 0]])
+    assert labelled_sample(docs, labels, 10, chars=20)[0] == ["new text"]
+    names = [a + b for a in "abcdef" for b in "ghijklm"]
+    many = spark.createDataFrame([(k, f"word{c} {c}{c}", n) for k, n in enumerate(names) for c in n], "doc_id int, text string, lang string")
+    assert set(familiar_words(many, 3)) == set(names)
+    assert familiar_words(spark.createDataFrame([(1, "one two", "english"), (2, "three", "en-US"), (3, "four", None)], "doc_id int, text string, lang string"), 3) == {"en": ["three"]}
+    model = ReadingModel({"aa": ["one"], "bb": ["one", "two"]})
+    model._tables()
+    ids, sentence, of = model.encode(["one two two six", "one"])
+    assert np.allclose(model.observe(ids, sentence, of, 2)[1], [0.25, 0])
