@@ -23,38 +23,43 @@ class CentroidGraph:
     """Centroids with a graph of near ones.
 
     A search enters at the nearest landmarks (centroids spread over all) and looks at the balls of centroids that a
-    best-first walk over the graph reached from them; the balls are walked once, when the graph is built. As long as a
-    few balls would cover everything the graph is one ball, and all centroids are looked at.
+    best-first walk over the graph reached from them. The balls are walked once, when the graph is built; landmarks with
+    the same ball share it, so few centroids are looked at once each.
     """
 
-    def __init__(self, centroids: np.ndarray, degree: int = 32, ball: int = 512, entries: int = 6, one_ball: int = 2048):
+    def __init__(self, centroids: np.ndarray, degree: int = 32, ball: int = 512, entries: int = 6):
         self.centroids, self.entries = centroids, entries
         n = len(centroids)
-        self.balls = None
-        if n <= one_ball:
-            return
+        degree = min(degree, n - 1)
         self.landmarks = np.arange(0, n, max(1, n // 512))
         near = np.concatenate([np.argpartition(-(centroids[i : i + 1024] @ centroids.T), degree, axis=1)[:, : degree + 1] for i in range(0, n, 1024)])
-        self.balls = []
-        for mark in self.landmarks:
+        numbers: dict[bytes, int] = {}
+        self.balls: list[np.ndarray] = []
+        self.ball_of = np.zeros(len(self.landmarks), dtype=np.int64)
+        for at, mark in enumerate(self.landmarks):
             seen, frontier = {int(mark)}, [int(mark)]
             while frontier and len(seen) < ball:
                 found = np.array(sorted({int(x) for f in frontier for x in near[f]} - seen), dtype=np.int64)
                 frontier = found[np.argsort(-(centroids[found] @ centroids[mark]), kind="stable")][: ball - len(seen)].tolist()
                 seen.update(frontier)
-            self.balls.append(np.fromiter(seen, dtype=np.int64))
+            members = np.array(sorted(seen), dtype=np.int64)
+            number = numbers.setdefault(members.tobytes(), len(self.balls))
+            if number == len(self.balls):
+                self.balls.append(members)
+            self.ball_of[at] = number
 
     def search(self, vectors: np.ndarray, lists: int, ratio: float) -> tuple[np.ndarray, np.ndarray]:
         """(row, centroid) pairs: for each unit vector the centroids within ``ratio`` of its smallest distance, ``lists`` at most."""
-        if self.balls is None:
-            return self._prune(*self._nearest(vectors, np.arange(len(vectors)), np.arange(len(self.centroids)), lists), lists, ratio)
         m = min(self.entries, len(self.landmarks))
         entry = np.argpartition(-(vectors @ self.centroids[self.landmarks].T), m - 1, axis=1)[:, :m]
-        who, mark = np.repeat(np.arange(len(vectors)), m), entry.ravel()
-        order = np.argsort(mark, kind="stable")
-        cuts = np.flatnonzero(np.diff(mark[order])) + 1
-        found = [self._nearest(vectors, who[part], self.balls[mark[part[0]]], lists) for part in np.split(order, cuts) if len(part)]
-        return self._prune(*(np.concatenate(c) for c in zip(*found)), lists, ratio)
+        balls = np.sort(self.ball_of[entry], axis=1)
+        first = np.ones(balls.shape, dtype=bool)
+        first[:, 1:] = balls[:, 1:] != balls[:, :-1]
+        who, ball = np.nonzero(first)[0], balls[first]
+        order = np.argsort(ball, kind="stable")
+        cuts = np.flatnonzero(np.diff(ball[order])) + 1
+        found = [self._nearest(vectors, who[part], self.balls[ball[part[0]]], lists) for part in np.split(order, cuts) if len(part)]
+        return self._prune(*(np.concatenate(c) for c in zip(*found)), lists, ratio) if found else (who, ball)
 
     def _nearest(self, vectors, rows, ids, lists):
         """(row, centroid, distance) of the nearest of the given centroids for each row."""
@@ -105,11 +110,17 @@ def balanced_centroids(sample: np.ndarray, k: int, rounds: int = 8) -> tuple[np.
     return centroids.astype(np.float32), counts / len(sample)
 
 
+def model_dimensions(cache: DataFrame) -> dict[str, int]:
+    """The dimension of every model: the length that most of its vectors have, of equally frequent ones the larger."""
+    sizes = cache.filter(F.col("model").isNotNull() & (F.size("embedding") > 0)).groupBy("model", F.size("embedding").alias("size")).count()
+    return {r["model"]: r["best"]["size"] for r in sizes.groupBy("model").agg(F.max(F.struct("count", "size")).alias("best")).collect()}
+
+
 def usable_vectors(cache: DataFrame, dimensions: dict[str, int]) -> DataFrame:
     """(model, text_hash, embedding): the latest usable row of each key; of equal times the larger vector stands.
 
     Usable: model and hash are not null and the embedding has the model's dimension, no null, NaN or infinity, and is
-    not all zero. Models that are not in ``dimensions`` are left out.
+    not all zero.
     """
     size = F.create_map(*[F.lit(x) for item in dimensions.items() for x in item])[F.col("model")] if dimensions else F.lit(None).cast("int")
     bad = F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
@@ -131,31 +142,38 @@ def _unit(vectors: np.ndarray) -> np.ndarray:
 
 def nearest_vectors(
     cache: DataFrame,
-    dimensions: dict[str, int],
+    dimensions: dict[str, int] | None = None,
     k: int = 5,
     list_size: int = 600,
-    lists: int = 5,
-    ratio: float = 1.35,
+    lists: int = 10,
+    ratio: float = 1.25,
     max_centroids: int = 4096,
     sample_per_list: int = 32,
-    block: int = 4096,
+    max_sample: int = 393_216,
+    inner: int = 16_384,
+    block: int = 131_072,
 ) -> DataFrame:
     """(model, text_hash, rank, neighbour, cosine): the k most similar other vectors of the same model for every vector.
 
     Centroids (n / list_size per model, max_centroids at most) are fitted on a deterministic sample of about
-    sample_per_list vectors each, at most 131,072 per model; they are all that is broadcast. Every usable vector is
-    indexed and searched. A list that is expected to hold more than ``block`` vectors is cut into blocks, and every pair
-    of its blocks is a task of its own, so no list is too large for one and none loses a pair. Similarities are
-    computed in double precision; ties go to the smaller hash. A model with one vector has no neighbours; an empty
-    table gives no rows.
+    sample_per_list vectors each, max_sample over all models; they are all that is broadcast. Every usable vector is
+    indexed and searched. The task of a list with more than ``inner`` vectors fits a second level of centroids to it and
+    compares within the lists of those, so work stays in proportion beyond max_centroids. A list that is expected to
+    hold more than ``block`` vectors is cut into blocks, and every pair of its blocks is a task of its own, so no list is
+    too large for one and none loses a pair. Similarities are computed in double precision; ties go to the smaller hash.
+    A model's dimension is the length of most of its vectors where ``dimensions`` does not say. A model with one vector
+    has no neighbours; an empty table gives no rows.
     """
     spark = cache.sparkSession
+    dimensions = model_dimensions(cache) if dimensions is None else dimensions
     counts = {r["model"]: r["count"] for r in cache.filter(F.col("model").isin(list(dimensions))).groupBy("model").count().collect()}
     schema = "model string, text_hash string, rank int, neighbour string, cosine double"
     if not counts:
         return spark.createDataFrame([], schema)
     plan = {m: max(1, min(max_centroids, n // list_size)) for m, n in counts.items()}
-    rate = F.create_map(*[F.lit(x) for m, n in counts.items() for x in (m, min(1.0, min(131_072, max(2_000, sample_per_list * plan[m])) / n))])[F.col("model")]
+    wanted = {m: min(n, max(2_000, sample_per_list * plan[m])) for m, n in counts.items()}
+    less = min(1.0, max_sample / sum(wanted.values()))
+    rate = F.create_map(*[F.lit(x) for m, n in counts.items() for x in (m, min(1.0, less * wanted[m] / n))])[F.col("model")]
     drawn = (
         cache.select("model", "text_hash", "embedding")
         .filter(F.col("model").isin(list(counts)) & (F.pmod(F.xxhash64("text_hash"), F.lit(1_000_003)) < rate * 1_000_003))
@@ -171,7 +189,7 @@ def nearest_vectors(
             sample = np.eye(1, d, dtype=np.float32)
         # copies count once: they travel as one row
         centroids, share = balanced_centroids(_unit(np.unique(sample, axis=0)).astype(np.float32), plan[model])
-        blocks = np.maximum(1, np.ceil(share * counts[model] * 1.4 / block)).astype(np.int64)
+        blocks = np.maximum(1, np.ceil(share * counts[model] * lists / 2 / block)).astype(np.int64)
         index[model] = (number, CentroidGraph(centroids), blocks)
     shared = spark.sparkContext.broadcast(index)
 
@@ -215,23 +233,15 @@ def nearest_vectors(
             jobs = [(parts[0], parts[1]), (parts[1], parts[0])] if len(parts) == 2 else [(parts[0], parts[0])]
             for queries, members in jobs:
                 out: list[tuple[str, list[tuple[float, str]]]] = []
-                unit = _unit(members[0])
-                narrow = unit.astype(np.float32)
-                names = np.argsort(np.argsort(np.array([h[0] for h in members[1]], dtype=object), kind="stable"))
-                for i in range(0, len(queries[0]), 1024):
-                    q = _unit(queries[0][i : i + 1024])
-                    sims = q.astype(np.float32) @ narrow.T
-                    if members is queries:
-                        sims[np.arange(len(q)), np.arange(i, i + len(q))] = -2.0
-                    rows, found, cosines = _nearest_rows(sims, q, unit, names, k)
-                    cuts = np.searchsorted(rows, np.arange(len(q) + 1)).tolist()
-                    found, cosines = found.tolist(), cosines.tolist()
-                    for own, a, b in zip(queries[1][i : i + 1024], cuts, cuts[1:]):
-                        near = [(-c, h) for j, c in zip(found[a:b], cosines[a:b]) for h in members[1][j][: k + 1]]
-                        if len(own) > 1:
-                            near += [(-1.0, h) for h in own[: k + 1]]
-                        near.sort()
-                        out.extend((h, [x for x in near[: k + 1] if x[1] != h][:k]) for h in own)
+                rows, found, cosines = _search(queries[0], members[0], [h[0] for h in members[1]], k, members is queries, (inner, list_size, lists, ratio))
+                cuts = np.searchsorted(rows, np.arange(len(queries[0]) + 1)).tolist()
+                found, cosines = found.tolist(), cosines.tolist()
+                for own, a, b in zip(queries[1], cuts, cuts[1:]):
+                    near = [(-c, h) for j, c in zip(found[a:b], cosines[a:b]) for h in members[1][j][: k + 1]]
+                    if len(own) > 1:
+                        near += [(-1.0, h) for h in own[: k + 1]]
+                    near.sort()
+                    out.extend((h, [x for x in near[: k + 1] if x[1] != h][:k]) for h in own)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([model] * len(out), type=pa.string()), pa.array([h for h, _ in out], type=pa.string()), pa.array([[{"d": d, "h": h} for d, h in near] for _, near in out], type=_NEAR)], names=["model", "text_hash", "near"]
                 )
@@ -257,6 +267,58 @@ def _collapse(raw: np.ndarray, hashes: list[list[str]]) -> tuple[np.ndarray, lis
     return raw[first], [sorted(set(m)) for m in members]
 
 
+def _search(queries: np.ndarray, members: np.ndarray, names: list[str], k: int, same: bool, level: tuple[int, int, int, float]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, member, cosine), sorted by query: the k + 1 nearest members of each query, itself left out where both are the same."""
+    inner, list_size, lists, ratio = level
+    unit = _unit(members)
+    order = np.argsort(np.argsort(np.array(names, dtype=object), kind="stable"))
+    if len(members) <= inner:
+        return _scan(queries, np.arange(len(queries)), unit, np.arange(len(unit)), order, k, same)
+    # a second level: the list's own centroids
+    rng = np.random.default_rng(11)
+    many = len(members) // list_size
+    sample = rng.choice(len(unit), min(len(unit), 32 * many), replace=False)
+    graph = CentroidGraph(balanced_centroids(unit[np.sort(sample)].astype(np.float32), many)[0])
+    assigned = []
+    for vectors in (queries, members):
+        parts = [graph.search(_unit(vectors[i : i + 8192]).astype(np.float32), lists, ratio) for i in range(0, len(vectors), 8192)]
+        rows = np.concatenate([r + 8192 * n for n, (r, _) in enumerate(parts)])
+        ids = np.concatenate([c for _, c in parts])
+        by = np.argsort(ids, kind="stable")
+        assigned.append((rows[by], np.searchsorted(ids[by], np.arange(many + 1))))
+    (asking, ask_cuts), (held, held_cuts) = assigned
+    found = [_scan(queries, asking[a:b], unit, held[c:d], order, k, same) for a, b, c, d in zip(ask_cuts, ask_cuts[1:], held_cuts, held_cuts[1:]) if a < b and c < d]
+    if not found:
+        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0)
+    i, j, cosine = (np.concatenate(x) for x in zip(*found))
+    by = np.lexsort((order[j], -cosine, i))
+    i, j, cosine = i[by], j[by], cosine[by]
+    # a member met in two lists has the same cosine and is its own neighbour here
+    fresh = np.concatenate([[True], (i[1:] != i[:-1]) | (j[1:] != j[:-1])])
+    i, j, cosine = i[fresh], j[fresh], cosine[fresh]
+    kept = np.arange(len(i)) - np.searchsorted(i, i) <= k
+    return i[kept], j[kept], cosine[kept]
+
+
+def _scan(queries: np.ndarray, asking: np.ndarray, unit: np.ndarray, held: np.ndarray, order: np.ndarray, k: int, same: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, member, cosine) over the given queries against the given members."""
+    out = []
+    wide, names = unit[held], order[held]
+    narrow = wide.astype(np.float32)
+    for at in range(0, len(asking), 1024):
+        part = asking[at : at + 1024]
+        q = _unit(queries[part])
+        sims = q.astype(np.float32) @ narrow.T
+        if same:
+            own = np.searchsorted(held, part)
+            own[own == len(held)] = 0
+            mine = np.flatnonzero(held[own] == part)
+            sims[mine, own[mine]] = -2.0
+        rows, found, cosines = _nearest_rows(sims, q, wide, names, k)
+        out.append((part[rows], held[found], cosines))
+    return tuple(np.concatenate(x) for x in zip(*out))
+
+
 def _nearest_rows(sims: np.ndarray, queries: np.ndarray, unit: np.ndarray, names: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query, row, cosine), sorted by query: the k + 1 best rows in double precision, ties to the smaller of ``names``.
 
@@ -264,17 +326,28 @@ def _nearest_rows(sims: np.ndarray, queries: np.ndarray, unit: np.ndarray, names
     leaves in reach of the k-th best is a candidate, however many these are.
     """
     n, d = unit.shape
-    cosine = lambda i, j: np.round(np.einsum("ij,ij->i", unit[j], queries[i]), 14)
+
+    def cosine(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        # pair by pair, so that a pair has one value wherever it is met; copies agree to the last digits only, 14 make them ties
+        parts = [np.einsum("ij,ij->i", unit[j[a : a + 65_536]], queries[i[a : a + 65_536]]) for a in range(0, len(i), 65_536)]
+        return np.round(np.concatenate(parts), 14) if parts else np.zeros(0)
+
     least = np.partition(sims, n - min(k, n), axis=1)[:, n - min(k, n)]
     # a product of unit vectors is off by (d + 2) units of rounding at most, the k-th best as well
     i, j = np.nonzero((sims >= (least - 2 * (d + 4) * 2.0**-24)[:, None]) & (sims > -1.5))
-    # copies of a vector agree to the last digits only; 14 digits make them ties
-    found = cosine(i, j) if len(i) <= 32 * len(queries) else np.round(queries @ unit.T, 14)[i, j]
+    if len(i) > 32 * len(queries):
+        # many candidates: those that double precision leaves in reach of the best k + 1
+        rough = (queries @ unit.T)[i, j]
+        order = np.lexsort((-rough, i))
+        first = np.searchsorted(i, np.arange(len(queries)))
+        last = np.searchsorted(i, np.arange(len(queries)), side="right")
+        bound = np.where(last > first, rough[order[np.minimum(first + k, np.maximum(last - 1, 0))]], 0.0)
+        kept = rough >= bound[i] - 1e-13
+        i, j = i[kept], j[kept]
+    found = cosine(i, j)
     order = np.lexsort((names[j], -found, i))
-    i, j = i[order], j[order]
-    kept = np.arange(len(i)) - np.searchsorted(i, i) <= k
-    i, j = i[kept], j[kept]
-    return i, j, cosine(i, j)
+    kept = order[np.arange(len(i)) - np.searchsorted(i, i) <= k]
+    return i[kept], j[kept], found[kept]
 
 
 def hash_block(text: str) -> int:

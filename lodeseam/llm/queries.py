@@ -76,12 +76,8 @@ def p4_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documented_functions(_table(spark, sf_dir, "code_chunks"), JAVA_TRAILING_COMMA)
 
 
-#: Dimensions of the models of the embedding cache.
-DIMENSIONS = {"mesh-embed-base": 96, "mesh-embed-large": 128, "mesh-embed-mini": 64}
-
-
 def p5_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return nearest_vectors(_table(spark, sf_dir, "embedding_cache"), DIMENSIONS)
+    return nearest_vectors(_table(spark, sf_dir, "embedding_cache"))
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,7 +1,7 @@
 import numpy as np
 import pytest
 
-from lodeseam.llm.neighbours import CentroidGraph, balanced_centroids, nearest_vectors, neighbour_pairs, usable_vectors
+from lodeseam.llm.neighbours import CentroidGraph, balanced_centroids, model_dimensions, nearest_vectors, neighbour_pairs, usable_vectors
 
 DDL = "model string, text_hash string, embedding array<float>, created_at double, rank int"
 
@@ -89,7 +89,48 @@ def test_centroids_are_balanced_and_searched():
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     centroids, share = balanced_centroids(x, 400)
     assert share.max() < 6 / 400 and share.sum() == pytest.approx(1.0)
-    graph = CentroidGraph(centroids, ball=64, one_ball=100)
+    graph = CentroidGraph(centroids, ball=64)
+    assert len(graph.balls) > 50
     rows, ids = graph.search(x[:500], 1, 1.0)
     exact = np.argmax(x[:500] @ centroids.T, axis=1)
     assert (ids[np.argsort(rows)] == exact).mean() > 0.9
+
+
+def test_a_second_level_takes_over_beyond_the_centroids(spark):
+    """Two centroids for 1,500 vectors: their lists get centroids of their own, within a list and between its blocks."""
+    rows = clustered(1500, 16, 4)
+    want = brute(rows, 5)
+    for block in (10_000, 200):
+        got: dict = {}
+        for r in nearest_vectors(frame(spark, rows), list_size=60, max_centroids=2, inner=150, block=block).collect():
+            got.setdefault(r["text_hash"], []).append((r["rank"], r["neighbour"], r["cosine"]))
+        assert set(got) == set(rows) and all([x[0] for x in sorted(v)] == [1, 2, 3, 4, 5] for v in got.values())
+        assert all(h not in {n for _, n, _ in v} for h, v in got.items())
+        hit = sum(len({n for _, n, _ in got[h]} & set(want[h])) for h in rows)
+        assert hit / (5 * len(rows)) >= 0.95
+
+
+@pytest.mark.parametrize("n,k", [(12_000, 100), (40_000, 1_000)])
+def test_lists_hold_the_neighbours(n, k):
+    """The share of true neighbours that share a list, at some and at many centroids over the graph."""
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(n // 50, 32))
+    centres /= np.linalg.norm(centres, axis=1, keepdims=True)
+    x = centres[rng.integers(len(centres), size=n)] + 0.5 / np.sqrt(32) * rng.normal(size=(n, 32))
+    x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+    graph = CentroidGraph(balanced_centroids(x[: 32 * k], k)[0])
+    asked = rng.choice(n, 200, replace=False)
+    sims = x[asked] @ x.T
+    sims[np.arange(200), asked] = -2
+    near = np.argpartition(-sims, 5, axis=1)[:, :5]
+    needed = np.unique(np.concatenate([asked, near.ravel()]))
+    rows, ids = graph.search(x[needed], 10, 1.25)
+    held: dict = {}
+    for r, c in zip(needed[rows].tolist(), ids.tolist()):
+        held.setdefault(r, set()).add(c)
+    assert np.mean([bool(held[a] & held[b]) for a, bs in zip(asked.tolist(), near.tolist()) for b in bs]) >= 0.95
+
+
+def test_dimensions_come_from_the_data(spark):
+    rows = [("m", "a", [1.0, 0.0], 1.0, 0), ("m", "b", [0.0, 1.0], 1.0, 0), ("m", "c", [1.0], 1.0, 0), ("n", "a", [1.0, 1.0, 1.0], 1.0, 0), ("o", "a", [], 1.0, 0), ("o", "b", None, 1.0, 0), (None, "b", [1.0], 1.0, 0)]
+    assert model_dimensions(spark.createDataFrame(rows, DDL)) == {"m": 2, "n": 3}
