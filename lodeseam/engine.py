@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import shutil
 import time
 import uuid
+from functools import reduce
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,33 +20,60 @@ from lodeseam.sources import corpus, state
 from lodeseam.streaming import refresh
 
 
+def _new_name(kind: str) -> str:
+    return f"{kind}-{int(time.time())}-{uuid.uuid4().hex[:8]}"
+
+
 class Engine:
-    """An index of the source files below a root, kept as Parquet in a folder.
+    """An index of the source files below a root, kept as Parquet in a folder of any file system that Spark reaches.
 
-    Tables are written under a new version and become current by one small pointer file, so readers never see half an
-    index and a failed build leaves the old one in place.
+    An index is a full build and layers on top of it: every set of changed files that was indexed since then, with the
+    fresh rows of these files. The newest layer that names a file speaks for it. Layers become current by one small
+    pointer document, so readers never see half an index and a failed build leaves the old one in place; a full build
+    folds the layers in.
     """
 
+    #: Layers after which the next change folds them into a full build.
+    MOST_LAYERS = 16
+
     def __init__(self, spark: SparkSession, root: str, store: str, embedder: Embedder = hashing_embedder, ignore: list[str] = ()):
-        self.spark, self.root, self.store, self.embedder = spark, root, Path(store), embedder
+        self.spark, self.root, self.folder, self.embedder = spark, root, state.Folder(spark, store), embedder
         ignore_file = Path(root) / ".ignore"
         self.ignore = [*ignore, *(corpus.ignore_patterns(ignore_file.read_text()) if ignore_file.is_file() else [])]
 
     # ---- index
 
-    def _version(self) -> str | None:
-        return state.load_json(self.store / "current.json", {}).get("version")
+    def _current(self) -> dict:
+        return self.folder.load("current.json", {})
 
     def has_index(self) -> bool:
         """X29"""
-        return self._version() is not None
+        return bool(self._current().get("version"))
+
+    def ready(self) -> tuple[bool, str | None]:
+        """Whether semantic search can run, and why not."""
+        if not self.has_index():
+            return False, "not_indexed"
+        if self.table("chunks").limit(1).count() == 0:
+            return False, "empty_index"
+        return True, None
 
     def table(self, name: str) -> DataFrame:
         """A table of the current index: chunks or manifest."""
-        version = self._version()
-        if version is None:
+        current = self._current()
+        if not current.get("version"):
             raise FileNotFoundError("not indexed")
-        return self.spark.read.parquet(str(self.store / version / name))
+        base = self.spark.read.parquet(self.folder.path(current["version"], name))
+        layers = current.get("layers", [])
+        if not layers:
+            return base
+        key = "path" if name == "manifest" else "file_path"
+        rows = base.withColumn("_layer", F.lit(0))
+        for at, layer in enumerate(layers, 1):
+            rows = rows.unionByName(self.spark.read.parquet(self.folder.path(layer, name)).withColumn("_layer", F.lit(at)))
+        named = [self.spark.read.parquet(self.folder.path(layer, "paths")).withColumn("_newest", F.lit(at)) for at, layer in enumerate(layers, 1)]
+        newest = reduce(DataFrame.unionByName, named).groupBy(F.col("path").alias(key)).agg(F.max("_newest").alias("_newest"))
+        return rows.join(newest, key, "left").filter("_layer >= coalesce(_newest, 0)").select(*base.columns)
 
     def vectors(self) -> DataFrame:
         """(chunk_id, embedding) of the current index."""
@@ -55,53 +82,83 @@ class Engine:
     def files(self) -> DataFrame:
         return corpus.read_files(self.spark, self.root, self.ignore)
 
+    def _chunked(self, files: DataFrame) -> DataFrame:
+        fresh = chunking.chunk_files(files, modified="mtime").withColumn("rich", tx.rich_text(self.root))
+        return embed(fresh, "rich", self.embedder).drop("rich")
+
     def index(self, force: bool = False) -> dict[str, int]:
         """Chunk and embed what changed since the last index, keep the rest; counts of changes by kind."""
         files = self.files()
         manifest = files.select(*corpus.metadata(F.col("file_path"), F.col("content"), F.col("mtime")))
         stored = None if force or not self.has_index() else self.table("manifest")
         changes = incremental.changed_files(manifest, stored).persist()
+        old = self._current()
         try:
             counts = {r["change"]: r["count"] for r in changes.groupBy("change").count().collect()}
-            if not counts and self.has_index():
+            if not counts and old.get("version") and not old.get("layers"):
                 return {}
             fresh_files = files.join(changes.filter("change <> 'deleted'").select(F.col("path").alias("file_path")), "file_path", "left_semi")
-            fresh = chunking.chunk_files(fresh_files, modified="mtime").withColumn("rich", tx.rich_text(self.root))
-            fresh = embed(fresh, "rich", self.embedder).drop("rich")
+            fresh = self._chunked(fresh_files)
             rows = fresh if stored is None else incremental.apply_changes(self.table("chunks"), fresh, changes)
-            version = f"v-{int(time.time())}-{uuid.uuid4().hex[:8]}"
-            rows.write.mode("overwrite").parquet(str(self.store / version / "chunks"))
-            manifest.write.mode("overwrite").parquet(str(self.store / version / "manifest"))
+            version = _new_name("v")
+            rows.write.mode("overwrite").parquet(self.folder.path(version, "chunks"))
+            manifest.write.mode("overwrite").parquet(self.folder.path(version, "manifest"))
         finally:
             changes.unpersist()
-        old = self._version()
-        state.save_json(self.store / "current.json", {"version": version, "root": self.root, "indexed_at": time.time()})
-        if old:
-            shutil.rmtree(self.store / old, ignore_errors=True)
+        self.folder.save("current.json", {"version": version, "layers": [], "root": self.root, "indexed_at": time.time()})
+        self._drop(old)
         return counts
 
+    def reindex(self, paths: list[str]) -> int:
+        """M4: index the given files anew, and only these; ones that are gone leave the index. The number of files read.
+
+        The result is a layer on top of the index, whatever its size; nothing else is read or written. Repeating a call
+        changes nothing. Without an index the whole tree is indexed.
+        """
+        current = self._current()
+        if not current.get("version") or len(current.get("layers", [])) >= self.MOST_LAYERS:
+            self.index()
+            current = self._current()
+        paths = sorted(set(paths))
+        if not paths:
+            return 0
+        files = corpus.read_files(self.spark, self.root, self.ignore, paths)
+        layer = _new_name("l")
+        self._chunked(files).write.mode("overwrite").parquet(self.folder.path(layer, "chunks"))
+        manifest = files.select(*corpus.metadata(F.col("file_path"), F.col("content"), F.col("mtime")))
+        manifest.write.mode("overwrite").parquet(self.folder.path(layer, "manifest"))
+        self.spark.createDataFrame([(p,) for p in paths], "path string").coalesce(1).write.mode("overwrite").parquet(self.folder.path(layer, "paths"))
+        self.folder.save("current.json", {**current, "layers": [*current.get("layers", []), layer], "indexed_at": time.time()})
+        return self.spark.read.parquet(self.folder.path(layer, "manifest")).count()
+
+    def _drop(self, current: dict) -> None:
+        for name in filter(None, [current.get("version"), *current.get("layers", [])]):
+            self.folder.delete(name)
+
     def warm(self) -> int:
         """Keep the chunk table in memory; the number of its rows."""
         return self.table("chunks").persist().count()
 
     def follow(self, changes: DataFrame, checkpoint: str):
-        """M4-M6: reindex after every micro-batch of a stream of changed paths that are not ignored."""
+        """M4-M6: after every micro-batch of a stream of changed paths, index these paths anew, save ignored ones.
+
+        Only the batch's paths reach the driver, never contents; the source's own limit of files a trigger bounds them.
+        """
         kept = changes.filter(corpus.is_indexable(F.col("path"), self.ignore, self.root))
-        return refresh.refresh_index(kept, lambda paths, _: self.index() if paths.limit(1).count() else None, checkpoint)
+        return refresh.refresh_index(kept, lambda paths, _: self.reindex([r["path"] for r in paths.collect()]), checkpoint)
 
     def clear(self) -> None:
         """K4"""
-        version = self._version()
-        (self.store / "current.json").unlink(missing_ok=True)
-        if version:
-            shutil.rmtree(self.store / version, ignore_errors=True)
+        current = self._current()
+        self.folder.delete("current.json")
+        self._drop(current)
 
     def status(self) -> dict:
         """A5"""
         if not self.has_index():
             return {"indexed": False, "reason": "not_indexed"}
         row = incremental.index_stats(self.table("chunks")).first()
-        return {"indexed": True, **row.asDict(), **{k: v for k, v in state.load_json(self.store / "current.json", {}).items() if k == "indexed_at"}}
+        return {"indexed": True, **row.asDict(), "indexed_at": self._current().get("indexed_at")}
 
     # ---- reading
 
@@ -149,7 +206,8 @@ class Engine:
         if natural and not self.spark.range(1).select(tx.is_identifier_like(F.lit(query))).first()[0]:
             variants = planner.expanded_queries(query, expander)[:3]
         chunks = self.table("chunks")
-        asked = embed(self.spark.createDataFrame(list(enumerate(variants)), "variant bigint, text string"), "text", self.embedder)
+        vectors = [[float(x) for x in v] for v in self.embedder(variants)]
+        asked = self.spark.createDataFrame(list(enumerate(vectors)), "variant bigint, embedding array<float>").coalesce(1)
         found = search.vector_search(asked, self.vectors(), limit, "variant", "chunk_id", "embedding", exclude_self=False)
         scored = found.select(F.lit(0).cast("bigint").alias("query_id"), F.col("query_id").cast("int").alias("variant"), "row_id", vx.distance_to_score(1 - F.col("cosine")).alias("score"))
         best = search.best_of_variants(scored).withColumn("norm", vx.min_max(F.col("score"), "query_id"))
@@ -214,8 +272,7 @@ class Engine:
         if plan.run_ast:
             scope = files
             if not plan.ast_exhaustive and ast_top_files is not None:
-                found = (grep if plan.run_grep else semantic).groupBy("file_path").agg(F.max(F.greatest("grep_score", "semantic_score")).alias("best"))
-                scope = files.join(found.orderBy(F.desc("best"), "file_path").limit(ast_top_files), "file_path", "left_semi")
+                scope = files.join(ranking.top_files(grep if plan.run_grep else semantic, ast_top_files), "file_path", "left_semi")
             runs = [(plan.ast_language, list(plan.ast_patterns), None)] if plan.ast_patterns else []
             runs += [(*structural.load_rule(r), r) for r in plan.ast_rules]
             for language, patterns, rule in runs:
@@ -238,7 +295,7 @@ class Engine:
         level = diversity.LEVELS[diverse]
         # only what MMR looks at is embedded
         candidates = ranking.top_hits(ranking.dedupe_previews(scored), level.max_candidates)
-        ordered = diversity.mmr_rerank(embed(candidates, "preview", self.embedder, "vector"), level).drop("vector", "rank")
+        ordered = diversity.mmr_rerank(embed(candidates, "preview", self.embedder, "vector"), level, ready=True).drop("vector", "rank")
         cap = ordered.withColumn("score_kept", F.col("score")).withColumn("score", -F.col("mmr_rank").cast("double"))
         capped = ranking.cap_per_file(cap, max_per_file)
         if precise:
@@ -253,19 +310,19 @@ class Engine:
 
         fields = ("file_path", "start_line", "end_line", *FEATURES)
         row = [(search_id, query, [tuple(h[f] for f in fields) for h in hits], selected, at)]
-        state.append_feedback(self.spark.createDataFrame(row, "search_id bigint, " + FEEDBACK), str(self.store / "feedback"))
+        state.append_feedback(self.spark.createDataFrame(row, "search_id bigint, " + FEEDBACK), self.folder.path("feedback"))
 
     def events(self) -> DataFrame:
         from lodeseam.schemas import FEEDBACK
 
-        return self.spark.read.schema("search_id bigint, " + FEEDBACK).option("mode", "DROPMALFORMED").json(str(self.store / "feedback"))
+        return self.spark.read.schema("search_id bigint, " + FEEDBACK).option("mode", "DROPMALFORMED").json(self.folder.path("feedback"))
 
     def train(self, min_events: int = 5) -> dict[str, float] | None:
         """Fit and keep the ranking model; None for too little feedback."""
         weights = feedback.train_ltr(feedback.results_of(feedback.searches(self.events())), min_events)
         if weights:
-            state.save_json(self.store / "ltr.json", weights)
+            self.folder.save("ltr.json", weights)
         return weights
 
     def weights(self) -> dict[str, float] | None:
-        return state.load_json(self.store / "ltr.json", None)
+        return self.folder.load("ltr.json", None)

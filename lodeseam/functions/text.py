@@ -11,16 +11,27 @@ ASCII_WORD = r"([A-Za-z0-9_]+)"
 
 # Words that are no search terms.
 SEARCH_STOPWORDS = (
-    "the a an is are was were be been being have has had do does did will would could should may might must shall can need dare ought used to of in for on with at by from as into through "
-    "during before after above below between under again further then once here there when where why how all each every both few more most other some such no nor not only own same so than too "
-    "very just and but if or because until while that which who whom this these those what find search locate show me i my we our"
-).split()
+    "the", "a", "an", "is", "are", "was", "were", "be", "been", "being", "have", "has", "had", "do", "does", "did", "will", "would", "could", "should",
+    "may", "might", "must", "shall", "can", "need", "dare", "ought", "used", "to", "of", "in", "for", "on", "with", "at", "by", "from", "as", "into",
+    "through", "during", "before", "after", "above", "below", "between", "under", "again", "further", "then", "once", "here", "there", "when", "where",
+    "why", "how", "all", "each", "every", "both", "few", "more", "most", "other", "some", "such", "no", "nor", "not", "only", "own", "same", "so",
+    "than", "too", "very", "just", "and", "but", "if", "or", "because", "until", "while", "that", "which", "who", "whom", "this", "these", "those",
+    "what", "find", "search", "locate", "show", "me", "i", "my", "we", "our",
+)
 # Words that are left out when terms are compared with symbols.
-SYMBOL_STOPWORDS = "the a an is are in for to of and or how where what find".split()
+SYMBOL_STOPWORDS = (
+    "the", "a", "an", "is", "are", "in", "for", "to", "of", "and", "or", "how", "where", "what", "find",
+)
 # Words counted as filler when a query is profiled.
-PROFILE_STOPWORDS = "the a an is are in for to of and or how where what find show with from does do using use".split()
+PROFILE_STOPWORDS = (
+    "the", "a", "an", "is", "are", "in", "for", "to", "of", "and", "or", "how", "where", "what", "find", "show", "with", "from", "does", "do", "using",
+    "use",
+)
 # Words that mark natural language.
-CUE_WORDS = "where how what which find search locate handles implements does manages processes flow logic related responsible dealing".split()
+CUE_WORDS = (
+    "where", "how", "what", "which", "find", "search", "locate", "handles", "implements", "does", "manages", "processes", "flow", "logic", "related",
+    "responsible", "dealing",
+)
 # Shapes of identifiers, files and patterns.
 REGEX_META = r"[\\^$|?*+()\[\]{}]"
 QUOTED = r"\"([^\"]+)\"|'([^']+)'"
@@ -35,9 +46,23 @@ LANGUAGES = {
 }
 # What a query may call a language.
 LANGUAGE_ALIASES = {
-    "python": "py python", "typescript": "ts tsx typescript", "javascript": "js jsx javascript", "tsx": "tsx typescript", "jsx": "jsx javascript", "swift": "swift", "go": "go golang", "rust": "rs rust",
-    "ruby": "rb ruby", "java": "java", "kotlin": "kt kotlin", "c": "c", "cpp": "cpp c++ cc hpp", "markdown": "md markdown", "json": "json", "yaml": "yaml yml",
-}
+    "python": ("py", "python"),
+    "typescript": ("ts", "tsx", "typescript"),
+    "javascript": ("js", "jsx", "javascript"),
+    "tsx": ("tsx", "typescript"),
+    "jsx": ("jsx", "javascript"),
+    "swift": ("swift",),
+    "go": ("go", "golang"),
+    "rust": ("rs", "rust"),
+    "ruby": ("rb", "ruby"),
+    "java": ("java",),
+    "kotlin": ("kt", "kotlin"),
+    "c": ("c",),
+    "cpp": ("cpp", "c++", "cc", "hpp"),
+    "markdown": ("md", "markdown"),
+    "json": ("json",),
+    "yaml": ("yaml", "yml"),
+}
 
 
 def words(text: Column, pattern: str = WORD) -> Column:
@@ -85,7 +110,7 @@ def recency(last_modified: Column, now: Column, half_life_days: float = 30.0) ->
 
 def language_match(query: Column, language: Column) -> Column:
     """Whether the query names the language."""
-    aliases = F.create_map(*[x for k, v in LANGUAGE_ALIASES.items() for x in (F.lit(k), _strings(v.split()))])
+    aliases = F.create_map(*[x for k, v in LANGUAGE_ALIASES.items() for x in (F.lit(k), _strings(v))])
     lang = F.lower(language)
     named = F.arrays_overlap(F.coalesce(aliases[lang], F.array(lang)), search_terms(query))
     return F.when(F.coalesce(language, F.lit("")) == "", 0.0).when(named, 1.0).otherwise(0.0)
@@ -256,6 +281,11 @@ def normalised_text(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"[\s\x1c-\x1f\x85 ]+", " "))
 
 
+def iso_time(seconds: Column) -> Column:
+    """Epoch seconds as an ISO time in UTC, to the second."""
+    return F.date_format(F.timestamp_micros((seconds * 1_000_000).cast("bigint")), "yyyy-MM-dd'T'HH:mm:ss")
+
+
 def json_list(text: Column) -> Column:
     """A list from its JSON text, or from a comma list where that is none."""
     return F.coalesce(F.from_json(text, "array<string>"), F.filter(F.split(text, ","), lambda s: s != ""))

@@ -45,13 +45,14 @@ def mmr_order(scores: np.ndarray, vectors: np.ndarray, config: Diversity) -> lis
     return order
 
 
-def mmr_rerank(hits: DataFrame, config: Diversity = Diversity(), vector: str = "vector", by: str = "query_id") -> DataFrame:
+def mmr_rerank(hits: DataFrame, config: Diversity = Diversity(), vector: str = "vector", by: str = "query_id", ready: bool = False) -> DataFrame:
     """The best max_candidates hits of every query in MMR order, as column ``mmr_rank`` (1 first).
 
     Hits carry a vector column. A query's candidates are bounded by max_candidates, so a group always fits a task.
-    Null vectors count as zero vectors; duplicates by preview go first.
+    Null vectors count as zero vectors; duplicates by preview go first. Hits that are ``ready`` have been through both
+    steps and carry their rank.
     """
-    candidates = top_hits(dedupe_previews(hits, by), config.max_candidates, by)
+    candidates = hits if ready else top_hits(dedupe_previews(hits, by), config.max_candidates, by)
     schema = ", ".join(f"`{n}` {t}" for n, t in candidates.dtypes) + ", mmr_rank int"
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:

@@ -16,27 +16,48 @@ from lodeseam.operators.incremental import cache_split
 DIMENSION = 256
 _PART = re.compile(r"[A-Z]+(?=[A-Z][a-z])|[A-Z]?[a-z]+|[A-Z]+|\d+|[^\W\d_A-Za-z]+")
 Embedder = Callable[[list[str]], np.ndarray]
-_buckets: dict[str, tuple[int, float]] = {}
+
+
+class _Features(dict):
+    """part of a word as written -> feature number; parts that differ in case only share one."""
+
+    def __init__(self):
+        super().__init__()
+        self.numbers: dict[str, int] = {}
+        self.digests: list[tuple[int, float]] = []
+
+    def __missing__(self, part: str) -> int:
+        low = part.lower()
+        number = self.numbers.get(low)
+        if number is None:
+            digest = hashlib.md5(low.encode()).digest()
+            number = self.numbers[low] = len(self.digests)
+            self.digests.append((int.from_bytes(digest[:4], "big"), 1.0 if digest[4] & 1 else -1.0))
+        self[part] = number
+        return number
+
+
+_features = _Features()
+_MOST_FEATURES = 500_000
 
 
 def hashing_embedder(texts: list[str], dimension: int = DIMENSION) -> np.ndarray:
     """Feature hashing: the parts of words, signed by their MD5, damped and scaled to unit length. No model is needed; the whole text counts."""
-    out = np.zeros((len(texts), dimension), dtype=np.float32)
-    for row, text in enumerate(texts):
-        counts: dict[str, int] = {}
-        for part in _PART.findall(text):
-            part = part.lower()
-            counts[part] = counts.get(part, 0) + 1
-        for part, n in counts.items():
-            place = _buckets.get(part)
-            if place is None:
-                digest = hashlib.md5(part.encode()).digest()
-                place = int.from_bytes(digest[:4], "big") % dimension, 1.0 if digest[4] & 1 else -1.0
-                if len(_buckets) < 500_000:
-                    _buckets[part] = place
-            out[row, place[0]] += place[1] * (1.0 + np.log(n))
+    global _features
+    if len(_features) > _MOST_FEATURES:
+        _features = _Features()  # only a memory of digests: starting anew changes nothing
+    number = _features.__getitem__
+    rows = [[number(p) for p in _PART.findall(text)] for text in texts]
+    ids = np.fromiter((n for row in rows for n in row), dtype=np.int64, count=sum(map(len, rows)))
+    row = np.repeat(np.arange(len(texts), dtype=np.int64), [len(r) for r in rows])
+    many = max(1, len(_features.digests))
+    keys, counts = np.unique(row * many + ids, return_counts=True)
+    digests = np.array(_features.digests or [(0, 0.0)], dtype=np.float64)
+    row, ids = keys // many, keys % many
+    place = row * dimension + digests[ids, 0].astype(np.int64) % dimension
+    out = np.bincount(place, weights=digests[ids, 1] * (1.0 + np.log(counts)), minlength=len(texts) * dimension).reshape(len(texts), dimension)
     norms = np.linalg.norm(out, axis=1, keepdims=True)
-    return out / np.where(norms == 0, 1.0, norms)
+    return (out / np.where(norms == 0, 1.0, norms)).astype(np.float32)
 
 
 def embed(texts: DataFrame, column: str, embedder: Embedder = hashing_embedder, output: str = "embedding") -> DataFrame:

@@ -43,14 +43,18 @@ def recent_queries(events: DataFrame, top: int = 20) -> DataFrame:
     return events.filter("coalesce(query, '') <> ''").groupBy("query").agg(F.max("logged_at").alias("last_at")).orderBy(F.desc("last_at"), "query").limit(top)
 
 
-def attribute_reads(results: DataFrame, reads: DataFrame) -> DataFrame:
+def attribute_reads(results: DataFrame, reads: DataFrame, bin_lines: int = 64) -> DataFrame:
     """(read_id, search_id, idx): for each read and search the first result that holds the read line.
 
-    reads has read_id, file_path and line. An equi-join on the file with the range as its residual.
+    reads has read_id, file_path and line. Lines fall into bins and every result goes to the bins it covers, so the join
+    is on file and bin: a file that gets most hits is spread over its bins and only near ranges meet. Results without
+    a range hold nothing.
     """
-    r, q = reads.alias("r"), results.alias("q")
-    hit = (F.col("r.file_path") == F.col("q.file_path")) & F.col("r.line").between(F.col("q.start_line"), F.col("q.end_line"))
-    return q.join(r, hit).groupBy(F.col("r.read_id").alias("read_id"), F.col("q.search_id").alias("search_id")).agg(F.min("q.idx").alias("idx"))
+    first, last = (F.floor(F.col(c) / bin_lines).cast("bigint") for c in ("start_line", "end_line"))
+    spans = results.filter("start_line <= end_line").select("search_id", "idx", "file_path", "start_line", "end_line", F.explode(F.sequence(first, last)).alias("bin"))
+    placed = reads.select("read_id", "file_path", "line", F.floor(F.col("line") / bin_lines).cast("bigint").alias("bin"))
+    joined = spans.join(placed, ["file_path", "bin"]).filter(F.col("line").between(F.col("start_line"), F.col("end_line")))
+    return joined.groupBy("read_id", "search_id").agg(F.min("idx").alias("idx"))
 
 
 def train_ltr(results: DataFrame, min_events: int = 5, max_iter: int = 200) -> dict[str, float] | None:

@@ -52,6 +52,18 @@ class RankWeights:
 
 # Semantic, grep and AST weight by type of query.
 PRESETS = {"identifier": (0.2, 0.7, 0.3), "natural_language": (0.8, 0.1, 0.15), "pattern": (0.1, 0.8, 0.2)}
+
+
+def adapted_weights(query_type: Column, confidence: Column, base: RankWeights = RankWeights()) -> Column:
+    """X19 for many queries at once: the struct of semantic, grep and ast weight after the move towards the type's preset."""
+    a = F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.coalesce(confidence, F.lit(0.0))))
+    fields = []
+    for at, name in enumerate(("semantic", "grep", "ast")):
+        preset = F.create_map(*[F.lit(x) for kind, values in PRESETS.items() for x in (kind, values[at])])[query_type]
+        fields.append(F.coalesce(F.lit(getattr(base, name)) * (1 - a) + preset * a, F.lit(getattr(base, name))).alias(name))
+    return F.struct(*fields)
+
+
 #: What an AST match and a relevance signal add together.
 CONFIRMATION = 0.20
 
@@ -164,11 +176,29 @@ def rerank(hits: DataFrame, query: Column, now: float, k: int = 10, max_per_file
     return top_hits(cap_per_file(dedupe_previews(score_hits(hits, query, now, **scoring)), max_per_file), k)
 
 
-def precise(hits: DataFrame, by: str = "query_id") -> DataFrame:
-    """only hits that grep or AST confirm, where a query has any such hit."""
-    exact = (F.col("grep_score") > 0) | (F.col("ast_score") > 0)
-    some = F.max(exact.cast("int")).over(Window.partitionBy(by)) == 1
-    return hits.withColumn("some_exact", some).withColumn("exact", exact).filter("exact or not some_exact").drop("some_exact", "exact")
+def precise(hits: DataFrame, by: str = "query_id", salts: int = 64) -> DataFrame:
+    """only hits that grep or AST confirm, where a query has any such hit.
+
+    One flag per query is aggregated map-side and joined back under every salt, so a query with any number of hits stays
+    spread over that many tasks.
+    """
+    exact = F.coalesce((F.col("grep_score") > 0) | (F.col("ast_score") > 0), F.lit(False))
+    marked = hits.withColumns({"exact": exact, "salt": F.pmod(F.xxhash64("file_path", "start_line"), F.lit(salts))})
+    flags = marked.groupBy(F.col(by).alias("flag_of")).agg(F.max("exact").alias("some_exact"))
+    spread = flags.withColumn("flag_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint"))))
+    joined = marked.join(spread, F.col(by).eqNullSafe(F.col("flag_of")) & (F.col("salt") == F.col("flag_salt")))
+    return joined.filter("exact or not some_exact").select(*hits.columns)
+
+
+def top_files(hits: DataFrame, most: int) -> DataFrame:
+    """The files of the best hits, by best engine score, then path: what a narrowed structural search looks at."""
+    best = hits.groupBy("file_path").agg(F.max(F.greatest("grep_score", "semantic_score")).alias("best"))
+    return best.orderBy(F.desc("best"), "file_path").limit(most)
+
+
+def stage_counts(hits: DataFrame) -> DataFrame:
+    """A10: hits and files of each engine."""
+    return hits.groupBy("source").agg(F.count("*").alias("hits"), F.countDistinct("file_path").alias("files"))
 
 
 def only_related(hits: DataFrame, graph: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ white space, comments and line ends play no role.  This is weaker than a full gr
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from pathlib import Path
 
@@ -117,12 +118,14 @@ def find_matches(text: str, patterns: list[str], language: str = "") -> list[tup
     """(pattern, first line, first column, last line, last column, text, captures), 1-based lines, 0-based columns."""
     tokens = tokenise(text, language)
     ends = bracket_ends(tokens)
+    breaks = [m.start() for m in re.finditer("\n", text)]
     out = []
     for source in patterns:
         for a, b, caught in Pattern(source, language).find(tokens, ends):
             start, end = tokens[a][1], tokens[b - 1][2]
+            first, last = bisect_left(breaks, start), bisect_left(breaks, end)
             captures = {n: text[tokens[i][1] : tokens[j - 1][2]] if j > i else "" for n, (i, j) in caught.items()}
-            out.append((source, text.count("\n", 0, start) + 1, start - text.rfind("\n", 0, start) - 1, text.count("\n", 0, end) + 1, end - text.rfind("\n", 0, end) - 1, text[start:end], captures))
+            out.append((source, first + 1, start - (breaks[first - 1] + 1 if first else 0), last + 1, end - (breaks[last - 1] + 1 if last else 0), text[start:end], captures))
     return out
 
 
@@ -185,6 +188,15 @@ def load_rule(name: str, folders: list[Path] = ()) -> tuple[str | None, list[str
     raise ValueError(f"no rule named {name}")
 
 
+def list_rules(folders: list[Path] = ()) -> list[tuple[str, str]]:
+    """(name, where it comes from) of all rules, by name; a folder's rule hides that of later folders and the built-in one."""
+    found = {name: "built-in" for name in BUILTIN_RULES}
+    for folder in reversed([Path(f) for f in folders]):
+        for suffix in (".yaml", ".yml"):
+            found.update({p.stem: str(p) for p in folder.glob(f"*{suffix}") if p.is_file()})
+    return sorted(found.items())
+
+
 AST_JSON = (
     "array<struct<file:string,text:string,lines:string,language:string,range:struct<start:struct<line:int,column:int>,end:struct<line:int,column:int>>,"
     "metaVariables:struct<single:map<string,struct<text:string>>,multi:map<string,array<struct<text:string>>>>>>"

@@ -97,6 +97,19 @@ def exact_regex_ci(spark, sf_dir):
     return search.grep(doc_files(spark, sf_dir), r"(^|[^\p{L}])(index|cache)[a-z]*([^\p{L}]|$)", ignore_case=True)
 
 
+@query(f"SELECT file_path, line_no::INT AS line_no, line FROM {_LINES} WHERE regexp_matches(line, 'index[a-z]* +[a-z]+')")
+def exact_regex(spark, sf_dir):
+    """every line that a case-sensitive pattern matches; a text that the pattern requires is tested on whole files first."""
+    return search.grep(doc_files(spark, sf_dir), "index[a-z]* +[a-z]+")
+
+
+@query(f"SELECT DISTINCT path, {_language('path')} AS language FROM file_manifest WHERE {_language('path')} IN ('python', 'typescript', 'go')")
+def language_filter(spark, sf_dir):
+    """[F4, P15] the files of the languages asked for."""
+    paths = table(spark, sf_dir, "file_manifest").select("path").distinct()
+    return paths.withColumn("language", tx.language_for_path(F.col("path"))).filter(F.col("language").isin("python", "typescript", "go"))
+
+
 @query(
     f"SELECT file_path, line_no::INT AS line_no, line FROM (SELECT *, row_number() OVER (PARTITION BY file_path ORDER BY line_no) AS rn FROM {_LINES} WHERE contains(line, 'the ')) WHERE rn <= 3 ORDER BY file_path, line_no LIMIT 500"
 )
@@ -227,6 +240,22 @@ def query_profile(spark, sf_dir):
     return df.select("search_id", "p.query_type", F.round("p.confidence", 6).alias("confidence"), "p.word_count", F.round("p.camel_ratio", 6).alias("camel_ratio"), F.round("p.stop_ratio", 6).alias("stop_ratio"), tx.is_natural_language(F.col("query")).alias("natural_language"))
 
 
+_BLEND = "round({0} * (1 - confidence) + CASE query_type WHEN 'identifier' THEN {1} WHEN 'natural_language' THEN {2} WHEN 'pattern' THEN {3} ELSE {0} END * confidence, 6)"
+
+
+@query(f"SELECT search_id, {_BLEND.format(0.5, 0.2, 0.8, 0.1)} AS semantic, {_BLEND.format(0.3, 0.7, 0.1, 0.8)} AS grep, {_BLEND.format(0.15, 0.3, 0.15, 0.2)} AS ast FROM ({ORACLES['query_profile']})")
+def adaptive_weights(spark, sf_dir):
+    """[X19, X20, D13] the weights that each logged query is scored with."""
+    w = ranking.adapted_weights(F.col("query_type"), F.col("confidence"))
+    return query_profile(spark, sf_dir).withColumn("w", w).select("search_id", *[F.round(f"w.{c}", 6).alias(c) for c in ("semantic", "grep", "ast")])
+
+
+@query(f"SELECT search_id, list_sort(list_distinct(list_filter(regexp_extract_all(lower(coalesce(query, '')), '[\\p{{L}}\\p{{N}}_]+'), lambda w: length(w) > 2 AND NOT list_contains({_list(tx.SYMBOL_STOPWORDS)}, w)))) AS terms FROM {_EVENTS}")
+def symbol_terms(spark, sf_dir):
+    """[X12]"""
+    return feedback.searches(table(spark, sf_dir, "search_feedback")).select("search_id", F.array_sort(tx.symbol_terms(F.col("query"))).alias("terms"))
+
+
 _LONGEST = "CASE WHEN len({0}) = 0 THEN NULL ELSE list_filter({0}, lambda x: length(x) = list_max(list_transform({0}, lambda y: length(y))))[1] END"
 
 
@@ -249,7 +278,7 @@ def query_plans(spark, sf_dir):
     f"SELECT search_id, CASE WHEN len(s) > 1 AND (len(s) >= 3 OR list_has_any(s, {_list(tx.CUE_WORDS)})) THEN list_filter(v, lambda x, i: list_position(v, x) = i)[1:5] ELSE [query] END AS expansions FROM (SELECT *, list_concat([query],"
     " flatten(list_transform(s, lambda w: list_transform(coalesce(m[w], []::VARCHAR[]), lambda t: replace(low, w, t)))), flatten(list_transform(s, lambda w: list_transform(coalesce(m[w], []::VARCHAR[])[1:2], lambda t: low || ' ' || t)))) AS v FROM ("
     "SELECT search_id, query, lower(query) AS low, list_filter(regexp_split_to_array(lower(query), '\\s+'), lambda x: x <> '') AS s, "
-    + "map(" + _list(planner.CONCEPTS) + ", [" + ", ".join(_list(v.split(", ")[:3]) for v in planner.CONCEPTS.values()) + "]) AS m"
+    + "map(" + _list(planner.CONCEPTS) + ", [" + ", ".join(_list(v[:3]) for v in planner.CONCEPTS.values()) + "]) AS m"
     + f" FROM {_EVENTS} WHERE query IS NOT NULL))"
 )
 def query_expansion(spark, sf_dir):
@@ -304,7 +333,12 @@ def vector_cap_per_group(spark, sf_dir):
     return topk(spark, sf_dir).join(labels, "row_id").withColumn("place", F.row_number().over(w)).filter("place <= 3").select("query_id", "row_id", "label", "place")
 
 
-@query()
+@query(
+    f"WITH RECURSIVE c AS MATERIALIZED (SELECT query_id, row_id, rank, cosine, embedding::DOUBLE[] AS v FROM {_TOPK} JOIN (SELECT vec_id, embedding FROM embeddings) ON vec_id = row_id), near AS MATERIALIZED (SELECT a.query_id, a.row_id, a.rank, a.cosine, list(list_cosine_similarity(a.v, b.v) ORDER BY b.rank) AS sims FROM c a JOIN c b ON a.query_id = b.query_id GROUP BY ALL),"
+    " walk AS (SELECT DISTINCT query_id, 1 AS step, [1::BIGINT] AS chosen FROM near UNION ALL SELECT query_id, any_value(step) + 1, list_append(any_value(chosen), min_by(rank, {'w': 1 - close < 0.3, 'v': -CASE WHEN 1 - close < 0.3 THEN cosine ELSE 0.7 * cosine - 0.3 * close END, 'r': rank})) FROM"
+    " (SELECT w.query_id, w.step, w.chosen, n.rank, n.cosine, list_max(list_transform(w.chosen, lambda x: n.sims[x])) AS close FROM walk w JOIN near n ON n.query_id = w.query_id AND NOT list_contains(w.chosen, n.rank)) GROUP BY query_id)"
+    " SELECT query_id, row_id::VARCHAR AS file_path, rank::INT AS rank, list_position(chosen, rank)::INT AS mmr_rank FROM near JOIN (SELECT query_id, max_by(chosen, step) AS chosen FROM walk GROUP BY query_id) USING (query_id)"
+)
 def vector_mmr(spark, sf_dir):
     """[W5, D14] neighbours in MMR order."""
     rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("row_id"), F.col("embedding").alias("vector"))
@@ -572,6 +606,69 @@ def graph_filter(spark, sf_dir):
     return ranking.only_related(merge.merge_ordered(engine_hits(spark, sf_dir)), related).select("file_path", "start_line", "end_line")
 
 
+@query(f"SELECT e.source, e.target, e.edge_type, e.source_file FROM {_EDGES} e WHERE target IS NOT NULL AND source_file NOT IN (SELECT path FROM file_manifest WHERE {_language('path')} = 'python')")
+def graph_without_files(spark, sf_dir):
+    """[K6, X33] the edges that are left when the Python files of the manifest are taken out."""
+    gone = table(spark, sf_dir, "file_manifest").select(F.col("path").alias("file_path")).filter(tx.language_for_path(F.col("file_path")) == "python")
+    return graph.without_files(graph.graph_edges(chunks(spark, sf_dir)), gone, "source_file")
+
+
+@query(
+    f"SELECT chunk_id, file_path, CASE WHEN {_language('file_path')} = 'go' THEN 'fresh' ELSE 'kept' END AS state FROM (SELECT DISTINCT chunk_id, file_path FROM code_chunks WHERE file_path IS NOT NULL) WHERE {_language('file_path')} <> 'python'"
+)
+def index_upsert(spark, sf_dir):
+    """[K1, K3, S11, M4] an index after the Python files are deleted and the Go files are chunked anew: rows of changed files go, fresh ones come."""
+    index = table(spark, sf_dir, "code_chunks").filter("file_path is not null").select("chunk_id", "file_path").distinct()
+    language = tx.language_for_path(F.col("file_path"))
+    changes = index.select("file_path").distinct().filter(language.isin("python", "go")).select(F.col("file_path").alias("path"), F.when(language == "go", "modified").otherwise("deleted").alias("change"))
+    fresh = index.filter(language == "go").withColumn("state", F.lit("fresh"))
+    return incremental.apply_changes(index.withColumn("state", F.lit("kept")), fresh, changes)
+
+
+@query(
+    f"SELECT chunk_id, CASE WHEN len(symbols) % 2 = 0 THEN list_filter(string_split(array_to_string(symbols, ','), ','), lambda x: x <> '') ELSE symbols END AS symbols FROM {_CHUNKS} WHERE symbols IS NOT NULL AND len(list_filter(symbols, lambda x: x IS NULL)) = 0"
+)
+def stored_lists(spark, sf_dir):
+    """[X22] lists read back from JSON text, or from comma lists where the text is none."""
+    rows = chunks(spark, sf_dir).filter(F.col("symbols").isNotNull() & ~F.exists("symbols", lambda x: x.isNull()))
+    stored = F.when(F.size("symbols") % 2 == 0, F.array_join("symbols", ",")).otherwise(F.to_json("symbols"))
+    return rows.select("chunk_id", tx.json_list(stored).alias("symbols"))
+
+
+@query("SELECT DISTINCT path, strftime(make_timestamp((mtime * 1000000)::BIGINT), '%Y-%m-%dT%H:%M:%S') AS modified_at FROM file_manifest WHERE mtime IS NOT NULL")
+def iso_times(spark, sf_dir):
+    """[X24]"""
+    return table(spark, sf_dir, "file_manifest").filter("mtime is not null").select("path", tx.iso_time(F.col("mtime")).alias("modified_at")).distinct()
+
+
+@query(
+    f"SELECT file_path, start_line::INT AS start_line, (start_line + 2)::INT AS end_line, length(content)::INT AS start_col, 'python' AS language, md5(content) AS preview_hash, chunk_id AS caught, coalesce(array_to_string(symbols, ', '), '') AS caught_all, 0.9::DOUBLE AS ast_score FROM {_CHUNKS} WHERE file_path IS NOT NULL AND content IS NOT NULL AND start_line IS NOT NULL"
+)
+def match_json(spark, sf_dir):
+    """[G3] the hits of structural search tools, read from the JSON they print: zero-based lines, single and multiple captures."""
+    rows = chunks(spark, sf_dir).filter("file_path is not null and content is not null and start_line is not null")
+    place = lambda line: F.struct(line.cast("int").alias("line"), F.length("content").alias("column"))
+    many = F.transform(F.coalesce("symbols", F.expr("cast(array() as array<string>)")), lambda x: F.struct(x.alias("text")))
+    one = F.struct(
+        F.col("file_path").alias("file"), F.col("content").alias("text"), F.lit("Python").alias("language"), F.struct(place(F.col("start_line") - 1).alias("start"), place(F.col("start_line") + 1).alias("end")).alias("range"),
+        F.struct(F.create_map(F.lit("A"), F.struct(F.col("chunk_id").alias("text"))).alias("single"), F.create_map(F.lit("B"), many).alias("multi")).alias("metaVariables"),
+    )
+    hits = structural.parse_match_json(rows.select(F.to_json(F.array(one)).alias("json")))
+    return hits.select("file_path", "start_line", "end_line", "start_col", "language", F.md5("preview").alias("preview_hash"), F.col("ast_captures")["A"].alias("caught"), F.col("ast_captures")["B"].alias("caught_all"), "ast_score")
+
+
+@query(f"SELECT CASE ord WHEN 0 THEN 'grep' WHEN 1 THEN 'semantic' ELSE 'ast' END AS source, count(*) AS hits, count(DISTINCT file_path) AS files FROM ({_HITS}) GROUP BY ord")
+def stage_counts(spark, sf_dir):
+    """[A10] what each engine's stand-in hits come to."""
+    return ranking.stage_counts(engine_hits(spark, sf_dir))
+
+
+@query(f"SELECT file_path, round(max(greatest(gs, ss)), 6) AS best FROM ({_HITS}) WHERE ord < 2 GROUP BY file_path ORDER BY max(greatest(gs, ss)) DESC, file_path LIMIT 100")
+def narrowed_files(spark, sf_dir):
+    """[J12] the hundred files of the best hits, to which a structural search is narrowed: the limit is the feature."""
+    return ranking.top_files(engine_hits(spark, sf_dir).filter("source <> 'ast'"), 100).select("file_path", F.round("best", 6).alias("best"))
+
+
 @query()
 def chunk_code(spark, sf_dir):
     """[P1-P5, P9-P13, X33] all source files put together and cut anew."""
@@ -675,7 +772,11 @@ def sessions_idle_flush(spark, sf_dir):
     return df.select("user_id", F.col("flush").cast("int").alias("flush"), "first_at", "last_at", "events")
 
 
-@query()
+@query(
+    "WITH RECURSIVE e AS MATERIALIZED (SELECT user_id, ts, props, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n, count(*) OVER (PARTITION BY user_id) AS all_n FROM events WHERE user_id IS NOT NULL),"
+    " walk AS (SELECT user_id, n, all_n, ts, 0 AS flush, [props] AS dirty FROM e WHERE n = 1 UNION ALL SELECT e.user_id, e.n, e.all_n, e.ts, CASE WHEN len(w.dirty) = 20 THEN w.flush + 1 ELSE w.flush END, CASE WHEN len(w.dirty) = 20 THEN [e.props] WHEN list_contains(w.dirty, e.props) THEN w.dirty ELSE list_append(w.dirty, e.props) END FROM walk w JOIN e ON e.user_id = w.user_id AND e.n = w.n + 1)"
+    " SELECT user_id, flush::INT AS flush, len(dirty)::INT AS items, ts AS flushed_at FROM walk WHERE len(dirty) = 20 OR n = all_n"
+)
 def dirty_threshold_flush(spark, sf_dir):
     """[M1, M3] flushes of each user's dirty set at 20 different items."""
     return refresh.threshold_flushes(table(spark, sf_dir, "events"), "user_id", "ts", "props")

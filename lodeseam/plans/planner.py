@@ -12,54 +12,59 @@ from pyspark.sql import functions as F
 from lodeseam.functions.text import CAMEL, CUE_WORDS, DOTTED, FILE_EXT, QUOTED, REGEX_META, SNAKE, quoted, strip_quotes, words
 
 # Words that speak for a semantic search.
-SEMANTIC_CUES = "where how what why show find handle handles implement implements validate validates called calls used usage flow".split()
+SEMANTIC_CUES = (
+    "where", "how", "what", "why", "show", "find", "handle", "handles", "implement", "implements", "validate", "validates", "called", "calls", "used",
+    "usage", "flow",
+)
 # Words that are never picked as a pattern.
-TOKEN_STOPWORDS = "the and or to of in on for with from where how what why show find we is are does do it this that a an".split()
+TOKEN_STOPWORDS = (
+    "the", "and", "or", "to", "of", "in", "on", "for", "with", "from", "where", "how", "what", "why", "show", "find", "we", "is", "are", "does", "do",
+    "it", "this", "that", "a", "an",
+)
 # Related terms by concept.
 CONCEPTS = {
-    "authentication": "auth, login, signin, sign-in, authenticate, session, token, jwt, oauth",
-    "auth": "authentication, login, signin, authenticate, session, token",
-    "login": "signin, sign-in, authenticate, auth, session",
-    "logout": "signout, sign-out, session destroy, clear session",
-    "database": "db, sql, query, model, repository, persistence, storage",
-    "db": "database, sql, query, model, repository",
-    "query": "sql, database, fetch, select, find",
-    "api": "endpoint, route, handler, controller, rest, http",
-    "endpoint": "api, route, handler, path",
-    "route": "endpoint, path, url, handler, controller",
-    "request": "http, api, fetch, call",
-    "response": "http, return, result, reply",
-    "error": "exception, catch, throw, failure, fault, crash",
-    "exception": "error, catch, throw, try",
-    "handling": "handler, catch, process, manage",
-    "flow": "process, pipeline, sequence, chain, workflow",
-    "pipeline": "flow, process, chain, sequence",
-    "state": "store, redux, context, data, model",
-    "store": "state, redux, storage, persist",
-    "test": "spec, unit, integration, mock, assert, expect",
-    "mock": "stub, fake, spy, test double",
-    "config": "configuration, settings, options, preferences, env",
-    "settings": "config, configuration, options, preferences",
-    "validation": "validate, check, verify, sanitize, parse",
-    "validate": "check, verify, validation, sanitize",
-    "cache": "memoize, store, persist, buffer",
-    "async": "await, promise, concurrent, parallel, task",
-    "concurrent": "async, parallel, thread, dispatch",
-    "render": "display, view, component, draw, show",
-    "component": "view, widget, element, ui",
-    "view": "screen, page, component, ui, display",
-    "navigation": "navigate, router, route, coordinator, flow",
-    "router": "navigation, route, coordinator",
-    "network": "http, api, fetch, request, connection",
-    "fetch": "request, get, load, download, http",
-    "file": "io, read, write, stream, path",
-    "read": "load, parse, fetch, get",
-    "write": "save, store, persist, output",
-    "security": "auth, encryption, permission, access, secure",
-    "encryption": "encrypt, decrypt, hash, crypto",
-    "permission": "access, authorize, role, acl",
+    "authentication": ("auth", "login", "signin", "sign-in", "authenticate", "session", "token", "jwt", "oauth"),
+    "auth": ("authentication", "login", "signin", "authenticate", "session", "token"),
+    "login": ("signin", "sign-in", "authenticate", "auth", "session"),
+    "logout": ("signout", "sign-out", "session destroy", "clear session"),
+    "database": ("db", "sql", "query", "model", "repository", "persistence", "storage"),
+    "db": ("database", "sql", "query", "model", "repository"),
+    "query": ("sql", "database", "fetch", "select", "find"),
+    "api": ("endpoint", "route", "handler", "controller", "rest", "http"),
+    "endpoint": ("api", "route", "handler", "path"),
+    "route": ("endpoint", "path", "url", "handler", "controller"),
+    "request": ("http", "api", "fetch", "call"),
+    "response": ("http", "return", "result", "reply"),
+    "error": ("exception", "catch", "throw", "failure", "fault", "crash"),
+    "exception": ("error", "catch", "throw", "try"),
+    "handling": ("handler", "catch", "process", "manage"),
+    "flow": ("process", "pipeline", "sequence", "chain", "workflow"),
+    "pipeline": ("flow", "process", "chain", "sequence"),
+    "state": ("store", "redux", "context", "data", "model"),
+    "store": ("state", "redux", "storage", "persist"),
+    "test": ("spec", "unit", "integration", "mock", "assert", "expect"),
+    "mock": ("stub", "fake", "spy", "test double"),
+    "config": ("configuration", "settings", "options", "preferences", "env"),
+    "settings": ("config", "configuration", "options", "preferences"),
+    "validation": ("validate", "check", "verify", "sanitize", "parse"),
+    "validate": ("check", "verify", "validation", "sanitize"),
+    "cache": ("memoize", "store", "persist", "buffer"),
+    "async": ("await", "promise", "concurrent", "parallel", "task"),
+    "concurrent": ("async", "parallel", "thread", "dispatch"),
+    "render": ("display", "view", "component", "draw", "show"),
+    "component": ("view", "widget", "element", "ui"),
+    "view": ("screen", "page", "component", "ui", "display"),
+    "navigation": ("navigate", "router", "route", "coordinator", "flow"),
+    "router": ("navigation", "route", "coordinator"),
+    "network": ("http", "api", "fetch", "request", "connection"),
+    "fetch": ("request", "get", "load", "download", "http"),
+    "file": ("io", "read", "write", "stream", "path"),
+    "read": ("load", "parse", "fetch", "get"),
+    "write": ("save", "store", "persist", "output"),
+    "security": ("auth", "encryption", "permission", "access", "secure"),
+    "encryption": ("encrypt", "decrypt", "hash", "crypto"),
+    "permission": ("access", "authorize", "role", "acl"),
 }
-_CONCEPTS = {k: v.split(", ") for k, v in CONCEPTS.items()}
 
 
 @dataclass(frozen=True)
@@ -164,14 +169,14 @@ def plan_columns(query: Column) -> Column:
     parts, found = quoted(q), words(q, r"([A-Za-z0-9_]+)")
     matches = lambda p: F.rlike(q, F.lit(p))
     has_quotes, is_regex = F.size(parts) > 0, matches(REGEX_META)
-    natural = (F.size(found) >= 4) | F.exists(found, lambda w: F.lower(w).isin(SEMANTIC_CUES))
+    natural = (F.size(found) >= 4) | F.exists(found, lambda w: F.lower(w).isin(*SEMANTIC_CUES))
     weight = lambda c, v: F.when(c, v).otherwise(0.0)
     grep = weight(has_quotes, 0.7) + weight(matches(CAMEL) | matches(SNAKE) | matches(DOTTED), 0.5) + weight(matches(FILE_EXT), 0.3) + weight(is_regex, 0.6)
     semantic = weight(natural, 0.6) + weight(F.size(found) >= 6, 0.2)
     exact = F.rlike(q, F.lit(f"^(?:{QUOTED})$")) | (is_regex & ~has_quotes & ~natural) | ((grep >= 0.9) & (semantic <= 0.3))
     mode = F.when(q == "", "exact").when(exact, "exact").when((semantic >= 0.7) & (grep <= 0.4), "semantic").otherwise("hybrid")
     tokens = F.filter(F.regexp_extract_all(q, F.lit(r"([A-Za-z0-9_./:-]+)"), 1), lambda t: F.length(t) >= 3)
-    telling = F.filter(tokens, lambda t: ~F.lower(t).isin(TOKEN_STOPWORDS))
+    telling = F.filter(tokens, lambda t: ~F.lower(t).isin(*TOKEN_STOPWORDS))
     longest = lambda a: F.aggregate(a, F.lit(""), lambda best, t: F.when(F.length(t) > F.length(best), t).otherwise(best))
     some = lambda c: F.when(c != "", c)
     first = lambda p: some(F.regexp_extract(q, "(" + p + ")", 1))
@@ -190,7 +195,7 @@ def plan_columns(query: Column) -> Column:
 
 def expand_query(query: str, most: int = 5, concepts: dict[str, list[str]] | None = None) -> list[str]:
     """The query, then variants with related terms in its place or behind it, in the order they arise (Q2)."""
-    table = _CONCEPTS if concepts is None else concepts
+    table = CONCEPTS if concepts is None else concepts
     low = query.lower()
     parts = low.split()
     if len(parts) <= 1 or not (len(parts) >= 3 or any(w in CUE_WORDS for w in parts)):
@@ -202,7 +207,7 @@ def expand_query(query: str, most: int = 5, concepts: dict[str, list[str]] | Non
 
 def expansions(query: Column, most: int = 5) -> Column:
     """X13 as an array expression, for many queries at once."""
-    table = F.create_map(*[x for k, v in _CONCEPTS.items() for x in (F.lit(k), F.array(*[F.lit(t) for t in v[:3]]))])
+    table = F.create_map(*[x for k, v in CONCEPTS.items() for x in (F.lit(k), F.array(*[F.lit(t) for t in v[:3]]))])
     none = F.expr("cast(array() as array<string>)")
     low = F.lower(query)
     parts = F.filter(F.split(low, r"\s+"), lambda w: w != "")

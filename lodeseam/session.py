@@ -1,11 +1,10 @@
-"""Session helpers: settings every job of this package relies on, and lineage cuts that survive lost executors."""
+"""Session helpers: settings every job of this package relies on."""
 
 from __future__ import annotations
 
 import os
-import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
 #: Runtime settings; all may be set on a live session.
 SETTINGS = {
@@ -41,16 +40,3 @@ def local_session(cpus: int = 8, partitions: int = 8, app: str = "lodeseam") ->
         .config("spark.sql.session.timeZone", "UTC")
         .getOrCreate()
     )
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Write a stage to reliable storage and continue from the files, so that a lost executor costs no recomputation.
-
-    The folder is spark.checkpoint.dir of the session (shared by the cluster). Only where that is unset, as in local
-    tests, a temporary folder of this machine is used.
-    """
-    context = df.sparkSession.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="lodeseam-checkpoint-"))
-    return df.checkpoint(eager=True)

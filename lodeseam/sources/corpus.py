@@ -96,12 +96,18 @@ def metadata(path: Column, content: Column, mtime: Column, sampled: bool = False
     return [path.alias("path"), mtime.cast("double").alias("mtime"), size.alias("size"), F.md5(F.concat(F.substring(binary, 1, 8192), F.encode(size.cast("string"), "utf-8")) if sampled else binary).alias("content_hash")]
 
 
-def read_files(spark: SparkSession, root: str, patterns: list[str] = ()) -> DataFrame:
-    """(file_path, language, size, mtime, content) of the files to index below a folder.
+def read_files(spark: SparkSession, root: str, patterns: list[str] = (), only: list[str] | None = None) -> DataFrame:
+    """(file_path, language, size, mtime, content) of the files to index below a folder, or of the given ones that exist.
 
     Paths are filtered before contents are decoded; bytes that are no UTF-8 are replaced.
     """
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    reader = spark.read.format("binaryFile")
+    if only is None:
+        raw = reader.option("recursiveFileLookup", "true").load(root)
+    else:
+        hadoop = spark._jvm.org.apache.hadoop.fs
+        there = [p for p in only if (at := hadoop.Path(p)).getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)]
+        raw = reader.load(there) if there else spark.createDataFrame([], "path string, modificationTime timestamp, length bigint, content binary")
     path = F.regexp_replace("path", "^file:/*", "/")
     return (
         raw.withColumn("file_path", path)

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, SimpleDataSourceStreamReader
 from pyspark.sql.streaming import StreamingQuery
 
 DIRTY_LIMIT, IDLE_SECONDS = 20, 2.0
@@ -79,6 +81,58 @@ def idle_sessions(events: DataFrame, key: str, time: str, gap: str = "2 seconds"
     )
 
 
+class WatchSource(DataSource):
+    """A stream of (path, modified_at) of the files below ``path`` that were written since the last batch.
+
+    Registered as ``lodeseam_watch``; the offset is the newest modification time seen, so nothing is kept per file and
+    a restarted query goes on where it was. Deletions leave no trace on a file system; whoever deletes names the path.
+    """
+
+    @classmethod
+    def name(cls) -> str:
+        return "lodeseam_watch"
+
+    def schema(self) -> str:
+        return "path string, modified_at double"
+
+    def simpleStreamReader(self, schema) -> "_WatchReader":
+        return _WatchReader(self.options["path"], float(self.options.get("since", 0)))
+
+
+class _WatchReader(SimpleDataSourceStreamReader):
+    def __init__(self, root: str, since: float):
+        self.root, self.since = root, since
+
+    def initialOffset(self) -> dict:
+        return {"at": self.since}
+
+    def _written(self, after: float, until: float) -> list[tuple[str, float]]:
+        found = []
+        for folder, _, names in os.walk(self.root):
+            for name in names:
+                path = os.path.join(folder, name)
+                try:
+                    at = os.stat(path).st_mtime
+                except OSError:
+                    continue
+                if after < at <= until:
+                    found.append((path, at))
+        return sorted(found)
+
+    def read(self, start: dict):
+        found = self._written(start["at"], float("inf"))
+        return iter(found), {"at": max((at for _, at in found), default=start["at"])}
+
+    def readBetweenOffsets(self, start: dict, end: dict):
+        return iter(self._written(start["at"], end["at"]))
+
+
+def watched_files(spark: SparkSession, root: str, since: float = 0.0) -> DataFrame:
+    """The stream of files below a folder of this machine that are written from now on, or since a time."""
+    spark.dataSource.register(WatchSource)
+    return spark.readStream.format(WatchSource.name()).option("since", str(since)).load(root)
+
+
 def refresh_index(changes: DataFrame, apply: Callable[[DataFrame, int], None], checkpoint: str, available_now: bool = True, interval: str = "2 seconds") -> StreamingQuery:
     """M4-M6: each micro-batch of changed paths, without repeats, goes to ``apply(paths, batch_id)``.
 

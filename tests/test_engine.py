@@ -87,3 +87,41 @@ def test_follow(engine, spark, tmp_path):
     q = engine.follow(spark.readStream.schema("path string").json(str(tmp_path / "changes")), str(tmp_path / "ck"))
     q.awaitTermination(120)
     assert q.exception() is None and engine.table("chunks").filter("array_contains(symbols, 'Again')").count() == 1
+
+
+def test_follow_reads_the_dirty_files_only(engine, spark, tmp_path):
+    """A batch with one changed and one deleted file reads one file; the rest of the index stays as it was."""
+    engine.index()
+    before = {r["path"]: r["content_hash"] for r in engine.table("manifest").collect()}
+    changed, gone = (os.path.join(engine.root, n) for n in ("db/query.go", "notes.md"))
+    with open(changed, "a") as f:
+        f.write("\nfunc Later() error {\n\treturn nil\n}\n")
+    os.remove(gone)
+    with open(os.path.join(engine.root, "auth/login.py"), "a") as f:
+        f.write("\n\ndef unseen():\n    pass\n")
+    read = []
+    reindex = engine.reindex
+    engine.reindex = lambda paths: read.append(reindex(paths))
+    spark.createDataFrame([(changed,), (gone,), (changed,), (os.path.join(engine.root, "vendor/skip.py"),)], "path string").coalesce(1).write.json(str(tmp_path / "changes"))
+    q = engine.follow(spark.readStream.schema("path string").json(str(tmp_path / "changes")), str(tmp_path / "ck"))
+    q.awaitTermination(120)
+    assert q.exception() is None and read == [1]
+    rows = engine.table("chunks")
+    assert rows.filter("array_contains(symbols, 'Later')").count() == 1 and rows.filter("array_contains(symbols, 'unseen')").count() == 0
+    after = {r["path"]: r["content_hash"] for r in engine.table("manifest").collect()}
+    assert set(after) == set(before) - {gone} and [p for p in after if after[p] != before[p]] == [changed]
+    assert reindex([changed]) == 1 and engine.table("chunks").count() == rows.count()
+    assert engine.index() == {"modified": 1} and engine.table("chunks").filter("array_contains(symbols, 'unseen')").count() == 1
+    assert engine.ready() == (True, None)
+
+
+def test_state_survives_replacement(spark, tmp_path):
+    from lodeseam.sources.state import Folder
+
+    folder = Folder(spark, str(tmp_path / "s"))
+    assert folder.load("a.json", {"none": 1}) == {"none": 1}
+    folder.save("a.json", {"x": "é"})
+    folder.save("a.json", {"x": 2})
+    assert folder.load("a.json", None) == {"x": 2} and folder.exists("a.json")
+    (tmp_path / "s" / "b.json").write_text("{broken")
+    assert folder.load("b.json", []) == []

@@ -128,3 +128,34 @@ def test_embedding_reads_the_whole_text():
     head = "alpha " * 2000
     short, long = hashing_embedder([head, head + "omega"])
     assert (short != long).any()
+
+
+def test_precise_judges_each_query_by_itself(spark):
+    from lodeseam.schemas import as_hits
+
+    rows = [(1, "a", 0.5, 0.0), (1, "b", 0.0, 0.0), (2, "c", 0.0, 0.0), (2, "d", None, None), (3, "e", 0.0, 0.9), (None, "f", 0.0, 0.0)]
+    hits = as_hits(spark.createDataFrame([(q, p, 1, 2, g, a) for q, p, g, a in rows], "query_id bigint, file_path string, start_line int, end_line int, grep_score double, ast_score double"))
+    from lodeseam.operators import ranking
+
+    assert sorted(r["file_path"] for r in ranking.precise(hits).collect()) == ["a", "c", "d", "e", "f"]
+
+
+def test_hot_files_attribute_reads_by_bins(spark):
+    from lodeseam.operators import feedback
+
+    results = spark.createDataFrame([(1, 0, "a", 1, 500), (1, 1, "a", 60, 70), (2, 0, "a", 64, 64), (3, 0, "b", 1, 9), (4, 0, "a", None, None), (5, 0, "a", 9, 3)], "search_id bigint, idx int, file_path string, start_line int, end_line int")
+    reads = spark.createDataFrame([(10, "a", 64), (11, "a", 63), (12, "a", 501), (13, None, 1), (14, "b", None)], "read_id int, file_path string, line int")
+    got = {(r["read_id"], r["search_id"], r["idx"]) for r in feedback.attribute_reads(results, reads).collect()}
+    assert got == {(10, 1, 0), (10, 2, 0), (11, 1, 0)}
+
+
+def test_rules_are_listed_by_name(tmp_path):
+    from lodeseam.operators.structural import list_rules
+
+    (tmp_path / "a").mkdir()
+    (tmp_path / "b").mkdir()
+    (tmp_path / "a" / "mine.yml").write_text("rule:\n  pattern: f($X)\n")
+    (tmp_path / "b" / "mine.yaml").write_text("rule:\n  pattern: g($X)\n")
+    (tmp_path / "b" / "swift-no-print.yml").write_text("rule:\n  pattern: h($X)\n")
+    rules = dict(list_rules([tmp_path / "a", tmp_path / "b", tmp_path / "none"]))
+    assert rules["mine"].endswith("a/mine.yml") and rules["swift-no-print"].endswith("swift-no-print.yml") and rules["swift-try-catch"] == "built-in"

@@ -102,3 +102,28 @@ def test_session_and_profile(tmp_path):
         p.asked(x)
     p.opened("f"), p.opened("f"), p.opened("g")
     assert p.recent_queries == ["a", "c"] and p.affinities() == {"f": 2 / 3, "g": 1 / 3} and UserProfile().affinities() == {}
+
+
+def test_watched_files(spark, tmp_path):
+    """Files that were written since the last batch come once; a restarted query goes on where it was."""
+    import os
+
+    from lodeseam.streaming.refresh import watched_files
+
+    root = tmp_path / "root"
+    (root / "sub").mkdir(parents=True)
+    for k, name in enumerate(("a.py", "sub/b.py")):
+        (root / name).write_text("x")
+        os.utime(root / name, (1000 + k, 1000 + k))
+    seen = []
+
+    def run():
+        q = refresh_index(watched_files(spark, str(root)), lambda paths, n: seen.append(sorted(os.path.basename(r["path"]) for r in paths.collect())), str(tmp_path / "ck"))
+        q.awaitTermination(120)
+        assert q.exception() is None
+
+    run()
+    (root / "sub" / "b.py").write_text("y")
+    os.utime(root / "sub" / "b.py", (2000, 2000))
+    run()
+    assert [x for x in seen if x] == [["a.py", "b.py"], ["b.py"]]
