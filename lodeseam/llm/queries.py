@@ -114,6 +114,12 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_files, p3_found, p3_rates, p4_found, p4_pairs, p5_found, p5_neighbours, p6_containers, p7_found, p7_leaks, p7_cleaned, p8_found, p8_levels)}
 
+_USABLE = (
+    "(SELECT model, text_hash, embedding::DOUBLE[] AS v FROM (SELECT *, row_number() OVER (PARTITION BY model, text_hash ORDER BY created_at DESC NULLS LAST, embedding DESC) AS rn FROM embedding_cache WHERE model IS NOT NULL AND text_hash IS NOT NULL AND embedding IS NOT NULL"
+    " AND len(embedding) = CASE model WHEN 'mesh-embed-base' THEN 96 WHEN 'mesh-embed-large' THEN 128 WHEN 'mesh-embed-mini' THEN 64 END AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0) WHERE rn = 1)"
+)
+
 ORACLES: dict[str, str] = {
+    "p5_found": f"SELECT DISTINCT model, least(a, b) AS hash_a, greatest(a, b) AS hash_b FROM (SELECT x.model, x.text_hash AS a, y.text_hash AS b, row_number() OVER (PARTITION BY x.model, x.text_hash ORDER BY round(list_cosine_similarity(x.v, y.v), 14) DESC, y.text_hash) AS place FROM {_USABLE} x JOIN {_USABLE} y ON x.model = y.model AND x.text_hash <> y.text_hash) WHERE place <= 5",
     "p1_found": "SELECT chunk_id FROM code_chunks WHERE chunk_id IS NOT NULL GROUP BY chunk_id HAVING length(arg_max(content, indexed_at)) > 2000",
 }

@@ -134,3 +134,19 @@ def test_lists_hold_the_neighbours(n, k):
 def test_dimensions_come_from_the_data(spark):
     rows = [("m", "a", [1.0, 0.0], 1.0, 0), ("m", "b", [0.0, 1.0], 1.0, 0), ("m", "c", [1.0], 1.0, 0), ("n", "a", [1.0, 1.0, 1.0], 1.0, 0), ("o", "a", [], 1.0, 0), ("o", "b", None, 1.0, 0), (None, "b", [1.0], 1.0, 0)]
     assert model_dimensions(spark.createDataFrame(rows, DDL)) == {"m": 2, "n": 3}
+
+
+def test_p5_found_equals_its_sql(spark):
+    """All pairs of the small tables, by SQL over all pairs of vectors."""
+    import os
+
+    from lodeseam.llm.queries import ORACLES, p5_found
+
+    folder = os.environ.get("LODESEAM_TEST_TABLES", "/root/testdata/sf0.001")
+    if not os.path.isdir(folder):
+        pytest.skip("no test tables")
+    import duckdb
+
+    con = duckdb.connect()
+    con.sql(f"create view embedding_cache as select * from '{folder}/embedding_cache.parquet'")
+    assert {tuple(r) for r in p5_found(spark, folder).select("model", "hash_a", "hash_b").collect()} == set(con.sql(ORACLES["p5_found"]).fetchall())
