@@ -212,7 +212,8 @@ class Engine:
         scored = found.select(F.lit(0).cast("bigint").alias("query_id"), F.col("query_id").cast("int").alias("variant"), "row_id", vx.distance_to_score(1 - F.col("cosine")).alias("score"))
         best = search.best_of_variants(scored).withColumn("norm", vx.min_max(F.col("score"), "query_id"))
         top = best.withColumn("bounded", vx.confidence_bounds(F.col("norm"))).orderBy(F.desc("bounded"), F.desc("score"), "row_id").limit(limit)
-        rows = chunks.drop("embedding").dropDuplicates(["chunk_id"]).join(F.broadcast(top.withColumnRenamed("row_id", "chunk_id")), "chunk_id")
+        # the few hits are looked up first, so repeated chunks collapse among them and not over the whole table
+        rows = chunks.drop("embedding").join(F.broadcast(top.withColumnRenamed("row_id", "chunk_id")), "chunk_id").dropDuplicates(["chunk_id"])
         symbols = F.when(F.size("symbols") > 0, F.col("symbols")).otherwise(tx.python_symbols(F.col("content")))
         return as_hits(
             rows.select(

@@ -32,8 +32,17 @@ def apply_changes(index: DataFrame, fresh: DataFrame, changes: DataFrame) -> Dat
     return index.join(touched, "file_path", "left_anti").unionByName(fresh.select(*index.columns))
 
 
-def latest_embeddings(cache: DataFrame, dimensions: dict[str, int]) -> DataFrame:
-    """The usable embedding of each (model, text_hash) that was written last."""
+def model_dimensions(cache: DataFrame) -> dict[str, int]:
+    """The dimension of every model: the length that most of its vectors have, of equally frequent ones the larger."""
+    sizes = cache.filter(F.col("model").isNotNull() & (F.size("embedding") > 0)).groupBy("model", F.size("embedding").alias("size")).count()
+    return {r["model"]: r["best"]["size"] for r in sizes.groupBy("model").agg(F.max(F.struct("count", "size")).alias("best")).collect()}
+
+
+def latest_embeddings(cache: DataFrame, dimensions: dict[str, int] | None = None) -> DataFrame:
+    """The usable embedding of each (model, text_hash) that was written last; dimensions come from the data unless given."""
+    dimensions = model_dimensions(cache) if dimensions is None else dimensions
+    if not dimensions:
+        return cache.select("model", "text_hash", "embedding", "created_at").limit(0)
     size = F.create_map(*[F.lit(x) for item in dimensions.items() for x in item])[F.col("model")]
     bad = F.exists("embedding", lambda x: x.isNull() | F.isnan(x))
     usable = cache.filter((F.size("embedding") == size) & ~bad & F.exists("embedding", lambda x: x != 0))

@@ -28,7 +28,6 @@ IGNORED = ("*.min.js", "/quillmesh/units/", "tests/", "src/core/*.py", "dist_*/"
 NOW = 1_750_000_000.0
 TERMS = ("index", "cache", "search")
 QUERY = "where do we load the window cache"
-DIMENSIONS = {"mesh-embed-base": 96, "mesh-embed-large": 128, "mesh-embed-mini": 64}
 WEIGHTS = {"intercept": -1.2, "grep_score": 0.8, "semantic_score": 1.1, "ast_score": 0.4, "symbol_boost": 2.0, "lexical_boost": 1.5, "recency_boost": 0.7, "user_affinity_boost": 3.0}
 
 
@@ -352,7 +351,7 @@ def vector_mmr(spark, sf_dir):
 )
 def embedding_cache_latest(spark, sf_dir):
     """[K7, F10, D4, S14]"""
-    df = incremental.latest_embeddings(table(spark, sf_dir, "embedding_cache"), DIMENSIONS)
+    df = incremental.latest_embeddings(table(spark, sf_dir, "embedding_cache"))
     return df.select("model", "text_hash", "created_at", F.round(vx.dot(F.col("embedding"), F.col("embedding")), 4).alias("squared"))
 
 
@@ -455,7 +454,7 @@ class TableEngine(Engine):
         return files(self.spark, self.sf_dir)
 
     def table(self, name: str) -> DataFrame:
-        return chunks(self.spark, self.sf_dir)
+        return table(self.spark, self.sf_dir, "code_chunks")
 
     def vectors(self) -> DataFrame:
         return embed_chunks(self.spark, self.sf_dir)
