@@ -18,6 +18,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodeseam.operators.incremental import model_dimensions
+
 
 class CentroidGraph:
     """Centroids with a graph of near ones.
@@ -110,12 +112,6 @@ def balanced_centroids(sample: np.ndarray, k: int, rounds: int = 8) -> tuple[np.
     return centroids.astype(np.float32), counts / len(sample)
 
 
-def model_dimensions(cache: DataFrame) -> dict[str, int]:
-    """The dimension of every model: the length that most of its vectors have, of equally frequent ones the larger."""
-    sizes = cache.filter(F.col("model").isNotNull() & (F.size("embedding") > 0)).groupBy("model", F.size("embedding").alias("size")).count()
-    return {r["model"]: r["best"]["size"] for r in sizes.groupBy("model").agg(F.max(F.struct("count", "size")).alias("best")).collect()}
-
-
 def usable_vectors(cache: DataFrame, dimensions: dict[str, int]) -> DataFrame:
     """(model, text_hash, embedding): the latest usable row of each key; of equal times the larger vector stands.
 

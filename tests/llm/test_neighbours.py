@@ -1,7 +1,8 @@
 import numpy as np
 import pytest
 
-from lodeseam.llm.neighbours import CentroidGraph, balanced_centroids, model_dimensions, nearest_vectors, neighbour_pairs, usable_vectors
+from lodeseam.llm.neighbours import CentroidGraph, balanced_centroids, nearest_vectors, neighbour_pairs, usable_vectors
+from lodeseam.operators.incremental import model_dimensions
 
 DDL = "model string, text_hash string, embedding array<float>, created_at double, rank int"
 
