@@ -61,12 +61,14 @@ VENDORED = re.compile(
     r"/(?:vendor|vendors|_vendor|vendored|_vendored|third[-_]?party|3rd[-_]?party|thirdparty|extern|externals|deps|contrib|node_modules|bower_components|site-packages|godeps|pods|carthage|jspm_packages|packages/bundled|bundled|static/lib|static/libs)/",
     re.I,
 )
-GENERATED_PATH = re.compile(r"/(?:generated|__generated__|autogen|auto_generated|gen|codegen_out|generated-sources)/|(?:_pb2(?:_grpc)?|\.pb|\.pb\.gw|\.g|\.gen|\.generated|\.designer|_generated|_gen)\.\w+$", re.I)
+GENERATED_PATH = re.compile(r"/(?:generated|__generated__|autogen|auto_generated|gen|codegen_out|generated-sources)/|(?:_pb2(?:_grpc)?|\.pb|\.pb\.gw|\.g|\.gen|\.generated|\.designer|_generated)\.\w+$", re.I)
 MINIFIED_PATH = re.compile(r"(?:[.-]min|\.bundle|\.chunk|\.packed|-[0-9a-f]{6,32})\.(?:js|ts|css|mjs|cjs)$", re.I)
 LOCKFILE = re.compile(r"/(?:package-lock\.json|yarn\.lock|pnpm-lock\.yaml|poetry\.lock|cargo\.lock|go\.sum|composer\.lock|gemfile\.lock)$", re.I)
 NOT_CODE = re.compile(r"\.(?:json|md|markdown)$", re.I)
 COMMENT = re.compile(r"^\s*(?:#!?|//+!?|/\*+!?|\*+/?|<!--|\"\"\"|'''|--|;)\s?(.*?)\s*(?:\*+/|-->)?\s*$")
 LITERALS = re.compile(rb'"(?:[^"\\\n]|\\.)*"|\'(?:[^\'\\\n]|\\.)*\'|`[^`]*`|(?<![\w.])-?(?:0x[0-9a-fA-F]+|\d[\d_.]*(?:[eE][+-]?\d+)?)\w*')
+_DOCSTRING = re.compile(rb"^[ \t]*[rRuU]?(\"\"\"|''').*?\1[ \t]*$|^__all__ = [\[(][^\])]*[\])]", re.M | re.S)
+_CALL_LINE = re.compile(rb"^[ \t]*[\w.$]+\([^\n]*\);?[ \t]*$", re.M)
 _HASH_COMMENT, _SLASH_COMMENT = re.compile(rb"^[ \t]*#[^\n]*$", re.M), re.compile(rb"/\*.*?\*/|^[ \t]*//[^\n]*$", re.M | re.S)
 
 #: Share of a file's code that literals make up from which it is data, and the literals it then has at least.
@@ -157,12 +159,13 @@ def provenance(path: str, text: str, project: str | None = None) -> str | None:
 
 def _by_content(text: str, python: bool) -> str | None:
     raw = text.encode("utf-8", "replace")
-    code = (_HASH_COMMENT if python else _SLASH_COMMENT).sub(b"", raw)
+    code = _HASH_COMMENT.sub(b"", _DOCSTRING.sub(b"", raw)) if python else _SLASH_COMMENT.sub(b"", raw)
     lines = [x for x in (y.strip() for y in code.split(b"\n")) if x]
     size = sum(map(len, lines))
     if not size:
         return None
-    literals = LITERALS.findall(code)
+    # what is handed to a function is code, however many literals it has
+    literals = LITERALS.findall(_CALL_LINE.sub(b"", code))
     if len(literals) >= DATA_LITERALS:
         lengths = list(map(len, literals))
         # one long text (a query, a message) does not make a file data

@@ -1,7 +1,13 @@
 """Ordinary code of every language, written by hand: what compilers take must pass and what they refuse must not."""
 
+import zipfile
+from pathlib import Path
+
+import pyspark
 import pytest
 
+from lodeseam.llm.docpairs import file_pairs
+from lodeseam.llm.provenance import provenance
 from lodeseam.llm.syntax import parses
 
 VALID = {
@@ -1167,3 +1173,36 @@ def test_compilers_take_it(language, text):
 @pytest.mark.parametrize("language,text", cases(INVALID))
 def test_compilers_refuse_it(language, text):
     assert not parses(text, language), text
+
+
+SPARK = Path(pyspark.__path__[0])
+
+
+def test_scripts_that_spark_ships_parse():
+    """Pages of Spark and the libraries that they use, minified or not, as JavaScript and as TypeScript."""
+    jars = sorted(SPARK.glob("jars/spark-core_*.jar"))
+    if not jars:
+        pytest.skip("no jar of Spark")
+    with zipfile.ZipFile(jars[0]) as jar:
+        scripts = {n: jar.read(n).decode("utf-8", "replace") for n in jar.namelist() if n.endswith(".js")}
+    assert len(scripts) > 20
+    for name, text in scripts.items():
+        assert parses(text, "javascript") and parses(text, "typescript"), name
+        assert not parses(text + "\n}) function", "javascript"), name
+        own = provenance(f"/x/src/{name}", text, "spark")
+        assert own in ("vendored", "minified") if ".min." in name else own is None, (name, own)
+
+
+def test_sources_of_pyspark():
+    """They all parse, generated modules are named, and hardly any of the others is."""
+    named, others = [], 0
+    for path in sorted(SPARK.rglob("*.py")):
+        text = path.read_text(encoding="utf-8")
+        verdict = provenance(f"/x/src/{path.relative_to(SPARK)}", text, "spark")
+        generated = "_pb2" in path.name or path.name == "shared.py"
+        assert not generated or verdict == "generated", path
+        others += not generated
+        if verdict and not generated:
+            named.append(path.name)
+        assert file_pairs(str(path), text) is not None, path
+    assert len(named) <= 0.01 * others, named

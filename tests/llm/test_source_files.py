@@ -159,6 +159,9 @@ PLAIN = {
     "init.py": "class Settings:\n    def __init__(self, source):\n" + "".join(f"        self.field_{k} = source.field_{k}\n" for k in range(16)),
     "iota.go": "package a\n\ntype Kind int\n\nconst (\n\tNone Kind = iota\n" + "".join(f"\tKind{k}\n" for k in range(20)) + ")\n",
     "index.ts": "".join(f"export {{ Part{k} }} from './part{k}';\n" for k in range(24)),
+    "pages.js": "$(function () {\n" + "".join(f"  collapse('collapse-aggregated-{k}', 'aggregated-{k}');\n" for k in range(40)) + "});\n",
+    "exports.py": "__all__ = [\n" + "".join(f"    'function_{k}',\n" for k in range(60)) + "]\nfrom .impl import *\n",
+    "docs_gen.py": "def table(rows):\n    \"\"\"\n    Shows the rows.\n\n" + "".join(f"    {k} {k * 3} 'x{k}'\n" for k in range(60)) + "    \"\"\"\n    return rows\n",
     "routes.js": "".join(f"app.get('/r{k}', handlers.r{k});\n" for k in range(8)) + "export default app;\n",
     "codegen.py": "\"\"\"Writes the header 'Code generated by x. DO NOT EDIT.' to files.\"\"\"\n\ndef header(tool):\n    return f'# Code generated by {tool}. DO NOT EDIT.'\n",
 }
