@@ -155,6 +155,23 @@ def grep_hits(spark, sf_dir):
     return hits.withColumn("symbols", tx.python_symbols(F.col("preview"))).withColumn("grep_score", tx.grep_relevance(F.col("preview"), F.col("file_path"), ["cache"], F.col("end_line") - F.col("start_line") + 1))
 
 
+_INDENT = "(length({0}) - length(regexp_replace({0}, '^[\\s\\x0B\\x1c-\\x1f\\x{{85}}\\x{{a0}}]+', '')))"
+_HEAD = "regexp_matches({0}, '^\\s*(async def|def|class)\\s+[\\p{{L}}\\p{{N}}_]')"
+
+
+@query(
+    f"WITH f AS (SELECT file_path, string_split(replace(content, chr(13) || chr(10), chr(10)), chr(10)) AS l FROM {_FILES} WHERE contains(content, 'return')), m AS (SELECT file_path, l, unnest(list_filter(range(1, len(l) + 1), lambda i: contains(l[i], 'return'))) AS n FROM f),"
+    f" k AS (SELECT *, list_max(list_filter(range(1, n + 1), lambda i: {_HEAD.format('l[i]')} AND (i = n OR {_INDENT.format('l[i]')} <= {_INDENT.format('l[n]')}))) AS k FROM m),"
+    f" e AS (SELECT *, CASE WHEN k IS NULL THEN greatest(1, n - 15) ELSE k END AS first, CASE WHEN k IS NULL THEN least(len(l), n + 15) ELSE coalesce(list_min(list_filter(range(n + 1, len(l) + 1), lambda j: {_INDENT.format('l[j]')} < length(l[j]) AND NOT regexp_matches(l[j], '^\\s*#') AND {_INDENT.format('l[j]')} <= {_INDENT.format('l[k]')})) - 1, len(l)) END AS last FROM k)"
+    " SELECT file_path, n::INT AS line_no, first::INT AS start_line, last::INT AS end_line, CASE WHEN k IS NULL THEN 'file' WHEN regexp_matches(l[k], '^\\s*class') THEN 'class' ELSE 'function' END AS block_type, CASE WHEN k IS NOT NULL THEN regexp_extract(l[k], '^\\s*(?:async def|def|class)\\s+([\\p{L}\\p{N}_]+)', 1) END AS block_name, md5(array_to_string(l[first:last], chr(10))) AS preview_hash FROM e"
+)
+def document_blocks(spark, sf_dir):
+    """[P18, P19, P20] the block around every line of the documents that holds a word."""
+    source = doc_files(spark, sf_dir)
+    hits = chunking.matches_to_hits(search.grep(source, "return", fixed=True), source)
+    return hits.select("file_path", "line_no", "start_line", "end_line", "block_type", "block_name", F.md5("preview").alias("preview_hash"))
+
+
 # --------------------------------------------------------------------------- corpus
 
 
@@ -674,7 +691,15 @@ def chunk_code(spark, sf_dir):
     return chunking.chunk_files(files(spark, sf_dir))
 
 
-@query()
+_SOLID = "regexp_matches({0}, '[^\\s\\x0B\\x1c-\\x1f\\x{{85}}\\x{{a0}}]')"
+_REACH = "least(s.n, greatest({1}, len(list_filter(s.sums, lambda x: x <= s.sums[{0}] + 2000)) - 1))"
+
+
+@query(
+    f"WITH RECURSIVE s AS MATERIALIZED (SELECT *, len(l) AS n, list_prepend(0, list_transform(range(1, len(l) + 1), lambda i: list_sum(list_transform(l[1:i], lambda x: length(x) + 1))::BIGINT)) AS sums FROM (SELECT row_number() OVER () AS id, file_path, string_split(t, chr(10)) AS l FROM (SELECT file_path, replace(content, chr(13) || chr(10), chr(10)) AS t FROM {_FILES}) WHERE {_SOLID.format('t')})),"
+    f" walk AS (SELECT s.id, 1::BIGINT AS first, {_REACH.format('1', '1')} AS last FROM s UNION ALL SELECT id, first, {_REACH.format('first', 'fresh')} FROM (SELECT w.id AS wid, w.last + 1 AS fresh, w.last + 1 - CASE WHEN w.last - w.first + 1 > 3 THEN 3 ELSE 0 END AS first FROM walk w) JOIN s ON s.id = wid AND fresh <= s.n)"
+    f" SELECT left(md5(file_path || ':' || first || ':' || content), 12) AS chunk_id, file_path, first::INT AS start_line, last::INT AS end_line, content FROM (SELECT s.file_path, w.first, w.last, array_to_string(s.l[w.first:w.last], chr(10)) AS content FROM walk w JOIN s USING (id)) WHERE {_SOLID.format('content')}"
+)
 def chunk_documents(spark, sf_dir):
     """[P6] all documents packed by lines."""
     return chunking.chunk_files(doc_files(spark, sf_dir)).select("chunk_id", "file_path", "start_line", "end_line", "content")
@@ -692,6 +717,19 @@ def embed_chunks(spark, sf_dir):
     return embedding.embed(chunks(spark, sf_dir).select("chunk_id", tx.rich_text(ROOT).alias("rich")), "rich").select("chunk_id", "embedding")
 
 
+_RICH = ORACLES["rich_text"].replace("SELECT chunk_id, md5(", "SELECT chunk_id, (", 1).replace(" AS rich_hash", " AS rich", 1)
+
+
+@query(
+    f"WITH parts AS (SELECT chunk_id, lower(unnest(regexp_extract_all(regexp_replace(rich, '([A-Z]+)([A-Z][a-z])', '\\1 \\2', 'g'), '[A-Z]?[a-z]+|[A-Z]+|[0-9]+|[^\\P{{L}}A-Za-z]+'))) AS part FROM ({_RICH})), places AS (SELECT chunk_id, ('0x' || substr(md5(part), 7, 2))::INT AS place, CASE WHEN substr(md5(part), 10, 1) IN ('1', '3', '5', '7', '9', 'b', 'd', 'f') THEN 1 ELSE -1 END * (1 + ln(count(*))) AS v FROM parts GROUP BY chunk_id, part),"
+    " sums AS (SELECT chunk_id, place, sum(v) AS v FROM places GROUP BY chunk_id, place) SELECT chunk_id, round(sum(CASE WHEN place < 128 THEN v ELSE 0 END) / sqrt(sum(v * v)), 3) AS low, round(sum(CASE WHEN place >= 128 THEN v ELSE 0 END) / sqrt(sum(v * v)), 3) AS high FROM sums GROUP BY chunk_id"
+)
+def embedding_sums(spark, sf_dir):
+    """[X26, X27, K2] the sums of both halves of every chunk's embedding."""
+    half = lambda at: F.round(F.aggregate(F.slice("embedding", at, 128), F.lit(0.0), lambda a, x: a + x), 3)
+    return embed_chunks(spark, sf_dir).select("chunk_id", half(1).alias("low"), half(129).alias("high"))
+
+
 @query(f"SELECT search_id, '{{\"search_id\":' || search_id || ',\"selected_idx\":' || selected_idx || '}}' AS json FROM {_EVENTS} WHERE selected_idx IS NOT NULL")
 def json_rows(spark, sf_dir):
     """[K11]"""
