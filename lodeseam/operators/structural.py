@@ -19,17 +19,17 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 MATCH_SCORE = 0.9
-_TOKEN = re.compile(
-    r"(?P<skip>\s+|//[^\n]*|/\*.*?\*/)|(?P<meta>\${1,3}[A-Z_][A-Z0-9_]*|\${2,3})|(?P<str>\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|`(?:[^`\\]|\\.)*`)|(?P<word>\w+)|(?P<op>->|=>|::|:=|==|!=|<=|>=|&&|\|\||\+\+|--|.)", re.S
-)
-_HASH_TOKEN = re.compile(_TOKEN.pattern.replace(r"//[^\n]*|/\*.*?\*/", r"#[^\n]*"), re.S)
+_SKIPPED = r"\s+|//[^\n]*|/\*.*?\*/"
+_PIECES = r"\${1,3}[A-Z_][A-Z0-9_]*|\${2,3}|\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|`(?:[^`\\]|\\.)*`|\w+|->|=>|::|:=|==|!=|<=|>=|&&|\|\||\+\+|--|.|\Z"
+_TOKEN = re.compile(rf"(?:{_SKIPPED})*+({_PIECES})", re.S)
+_HASH_TOKEN = re.compile(rf"(?:\s+|#[^\n]*)*+({_PIECES})", re.S)
 _PAIRS = {"(": ")", "[": "]", "{": "}"}
 
 
 def tokenise(text: str, language: str = "") -> list[tuple[str, int, int]]:
     """(token, start, end) without white space and comments."""
     pattern = _HASH_TOKEN if language in ("python", "ruby", "yaml") else _TOKEN
-    return [(m.group(), m.start(), m.end()) for m in pattern.finditer(text) if m.lastgroup != "skip"]
+    return [(m[1], m.start(1), m.end()) for m in pattern.finditer(text) if m[1]]
 
 
 def bracket_ends(tokens: list[tuple[str, int, int]]) -> list[int]:
@@ -49,6 +49,8 @@ class Pattern:
     def __init__(self, text: str, language: str = ""):
         self.parts = [t for t, _, _ in tokenise(text, language)]
         self.first = next((p for p in self.parts[:1] if not p.startswith("$")), None)
+        #: words that every match holds
+        self.words = {p for p in self.parts if p[0].isalnum() or p[0] == "_"}
 
     def find(self, tokens: list[tuple[str, int, int]], ends: list[int]) -> Iterator[tuple[int, int, dict[str, tuple[int, int]]]]:
         """(first token, token behind the last, captures) of matches from left to right; they do not overlap."""
@@ -119,9 +121,13 @@ def find_matches(text: str, patterns: list[str], language: str = "") -> list[tup
     tokens = tokenise(text, language)
     ends = bracket_ends(tokens)
     breaks = [m.start() for m in re.finditer("\n", text)]
+    there = {t for t, _, _ in tokens}
     out = []
     for source in patterns:
-        for a, b, caught in Pattern(source, language).find(tokens, ends):
+        pattern = Pattern(source, language)
+        if not pattern.words <= there:
+            continue
+        for a, b, caught in pattern.find(tokens, ends):
             start, end = tokens[a][1], tokens[b - 1][2]
             first, last = bisect_left(breaks, start), bisect_left(breaks, end)
             captures = {n: text[tokens[i][1] : tokens[j - 1][2]] if j > i else "" for n, (i, j) in caught.items()}
