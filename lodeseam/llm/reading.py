@@ -11,6 +11,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -61,7 +62,7 @@ class ReadingModel:
                     if w[0].isalpha():
                         known.setdefault(w, len(known) + 1)
         get = _Lookup(known).__getitem__
-        ids = np.fromiter((get(w) for line in lines for w in line), dtype=np.int32, count=sum(map(len, lines)))
+        ids = np.fromiter(map(get, chain.from_iterable(lines)), dtype=np.int32, count=sum(map(len, lines)))
         docs = np.repeat(np.arange(len(lines)), [len(x) for x in lines])
         word = ids >= 0
         change = np.ones(len(ids), dtype=bool)
